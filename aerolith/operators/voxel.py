@@ -33,3 +33,66 @@ def occupied_per_group(frames: DataFrame, group: str, resolution: float) -> Data
     vox = cells.groupBy(group).agg(F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("n_voxels"))
     n = frames.groupBy(group).agg(F.count(F.lit(1)).alias("n_frames"))
     return n.join(vox, group, "left").select(group, "n_frames", F.coalesce("n_points", F.lit(0)).alias("n_points"), F.coalesce("n_voxels", F.lit(0)).alias("n_voxels"))
+
+
+_BITS, _MASK, _SIGN = 21, (1 << 21) - 1, 1 << 20
+
+
+def pack_key(i: Column, j: Column, k: Column) -> Column:
+    """Three indices in 21 bits each; an index outside [-2^20, 2^20) wraps."""
+    def low(c: Column) -> Column:
+        return c.cast("bigint").bitwiseAND(F.lit(_MASK))
+
+    return F.shiftleft(low(i), 2 * _BITS).bitwiseOR(F.shiftleft(low(j), _BITS)).bitwiseOR(low(k))
+
+
+def unpack_key(key: Column) -> tuple[Column, Column, Column]:
+    """The indices of a packed key, with their signs."""
+    def signed(shift: int) -> Column:
+        v = F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(_MASK))
+        return F.when(v >= _SIGN, v - (1 << _BITS)).otherwise(v)
+
+    return signed(2 * _BITS), signed(_BITS), signed(0)
+
+
+def centre(index: Column, resolution: float) -> Column:
+    return index * F.lit(resolution) + F.lit(resolution / 2)
+
+
+def truncated_cell(c: Column, low: float, resolution: float) -> Column:
+    """Planner index, truncated towards zero and not clipped; null where it does not fit an int."""
+    return F.try_divide(c - F.lit(low), F.lit(resolution)).cast("double").try_cast("int")
+
+
+def clipped_cell(c: Column, low: float, resolution: float, n: int) -> Column:
+    """Planner index, truncated and clipped to [0, n)."""
+    at = (c - F.lit(low)) / F.lit(resolution)
+    return F.least(F.lit(float(n - 1)), F.greatest(F.lit(0.0), at)).cast("int")
+
+
+def grid_world(index: Column, low: float, resolution: float) -> Column:
+    return F.lit(low) + (index + 0.5) * F.lit(resolution)
+
+
+def dense_counts(points: DataFrame, resolution: float, shape: tuple[int, int, int]) -> DataFrame:
+    """(ix, iy, iz, n) of a dense grid with the origin in its middle; points outside are dropped."""
+    idx = [(F.floor(F.col(a) / resolution).cast("bigint") + n // 2).alias(f"i{a}") for a, n in zip("xyz", shape)]
+    inside = [F.col(f"i{a}").between(0, n - 1) for a, n in zip("xyz", shape)]
+    return points.select(*idx).where(inside[0] & inside[1] & inside[2]).groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_box(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    for c, (lo, hi) in limits.items():
+        df = df.where(F.col(c).between(lo, hi))
+    return df
+
+
+def radius_crop(points: DataFrame, group: str, radius: float, least: int) -> DataFrame:
+    """Points within ``radius`` of the origin; a group with fewer than ``least`` of them keeps all, as does radius <= 0."""
+    from pyspark.sql import Window
+
+    if radius <= 0:
+        return points
+    near = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z") <= radius * radius
+    counted = points.withColumn("__near", near).withColumn("__n", F.count_if("__near").over(Window.partitionBy(group)))
+    return counted.where(F.col("__near") | (F.col("__n") < least)).drop("__near", "__n")
