@@ -16,13 +16,12 @@ SHARD_SLOTS = 512
 BLOCK_SHARDS = 1024
 
 
-def next_over_shards(summary: DataFrame, source: str, block_shards: int = BLOCK_SHARDS) -> DataFrame:
+def next_over_shards(blocks: DataFrame, source: str) -> DataFrame:
     """The carry state of each shard: first reading of the source's next shard that has any.
 
-    ``summary``: one row per (source, __shard) with ``__first``. A scan in two levels: blocks of
-    shards are summarised and scanned first, then the shards within each block.
+    ``blocks``: one row per (source, __block, __shard) with ``__first``. A scan in two levels: blocks
+    of shards are summarised and scanned first, then the shards within each block.
     """
-    blocks = summary.withColumn("__block", F.floor(F.col("__shard") / block_shards))
     firsts = blocks.groupBy(source, "__block").agg(F.min_by("__first", "__shard").alias("__block_first"))
     over_blocks = Window.partitionBy(source).orderBy("__block")
     carried = firsts.withColumn("__after", F.lead("__block_first").over(over_blocks)).drop("__block_first")
@@ -66,12 +65,16 @@ def regular_grid(
     slot = F.expr(f"(__ts - pmod(__ts, {int(period_ns)}L)) div {int(period_ns)}L")
     slots = slots.withColumn("__slot", slot).withColumn("__shard", F.expr(f"(__slot - pmod(__slot, {int(shard_slots)}L)) div {int(shard_slots)}L"))
     # One exchange for all that follows: the slots' aggregate, the shards' summaries, the windows within shards.
+    # The filters say what the joins below would infer for some branches only; with them all branches read the
+    # same exchange, and Spark reuses it.
+    slots = slots.withColumn("__block", F.floor(F.col("__shard") / BLOCK_SHARDS))
+    slots = slots.where(F.col("__slot").isNotNull() & F.col("__shard").isNotNull() & F.col("__block").isNotNull())
     slots = (
         slots.repartition("__source", "__shard")
-        .groupBy("__source", "__shard", "__slot")
+        .groupBy("__source", "__block", "__shard", "__slot")
         .agg(F.max_by("__value", F.struct("__ts", "__order")).alias("__value"))
     )
-    summary = slots.groupBy("__source", "__shard").agg(F.min_by(F.struct("__slot", "__value"), "__slot").alias("__first"))
+    summary = slots.groupBy("__source", "__block", "__shard").agg(F.min_by(F.struct("__slot", "__value"), "__slot").alias("__first"))
     carry = next_over_shards(summary, "__source")
     in_shard = Window.partitionBy("__source", "__shard").orderBy("__slot")
     steps = (
