@@ -14,13 +14,12 @@ SHARD_NS = 60_000_000_000
 BLOCK_SHARDS = 1024
 
 
-def carry_over_shards(summary: DataFrame, entity: str, kinds: list[str], block_shards: int = BLOCK_SHARDS) -> DataFrame:
+def carry_over_shards(b: DataFrame, entity: str, kinds: list[str]) -> DataFrame:
     """Per (entity, __shard) and kind the last value of earlier shards and the first of later ones.
 
-    ``summary`` has first_<kind> and last_<kind>, null where a shard has none of the kind; the
-    result has prev_<kind> and next_<kind>.
+    ``b``: one row per (entity, __block, __shard) with first_<kind> and last_<kind>, null where a
+    shard has none of the kind; the result has prev_<kind> and next_<kind>.
     """
-    b = summary.withColumn("__block", F.floor(F.col("__shard") / block_shards))
     tops = []
     for k in kinds:
         tops.append(F.min_by(f"first_{k}", F.when(F.col(f"first_{k}").isNotNull(), F.col("__shard"))).alias(f"bf_{k}"))
@@ -58,11 +57,13 @@ def bracket(left: DataFrame, right: DataFrame, entity: str, ts: str, kind: Colum
     payload = F.struct(*[F.col(c) for c in left.columns])
     all_left = left.select(F.col(entity).alias("__e"), F.col(ts).alias("__ts"), payload.alias("__l"))
     whole = F.col("__e").isNotNull() & F.col("__ts").isNotNull()
-    both = r.unionByName(all_left.where(whole), allowMissingColumns=True).withColumn("__shard", shard).repartition("__e", "__shard")
+    both = r.unionByName(all_left.where(whole), allowMissingColumns=True).withColumn("__shard", shard).withColumn("__block", F.floor(F.col("__shard") / BLOCK_SHARDS))
+    # These filters are what joins infer for some branches only; with them all branches share one exchange.
+    both = both.where(F.col("__e").isNotNull() & F.col("__shard").isNotNull() & F.col("__block").isNotNull()).repartition("__e", "__shard")
     mine = {k: F.when(F.col("__kind") == k, F.col("__r")) for k in kinds}
     first = [F.min_by("__r", F.when(F.col("__kind") == k, F.struct("__ts", "__tie"))).alias(f"first_{k}") for k in kinds]
     last = [F.max_by("__r", F.when(F.col("__kind") == k, F.struct("__ts", "__tie"))).alias(f"last_{k}") for k in kinds]
-    summary = both.groupBy("__e", "__shard").agg(*first, *last)
+    summary = both.groupBy("__e", "__block", "__shard").agg(*first, *last)
     carry = carry_over_shards(summary, "__e", kinds)
     w = Window.partitionBy("__e", "__shard").orderBy("__ts", F.col("__l").isNotNull(), "__tie")
     seen = [F.last(mine[k], True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"b_{k}") for k in kinds]
