@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold QUERIES and SQL.
-MODULES = ["core_training", "scalar", "joins", "aggregates"]
+MODULES = ["core_training", "scalar", "joins", "aggregates", "windows", "planner", "mapping", "files", "streams"]
 
 
 def registered() -> tuple[dict, dict[str, str]]:
