@@ -24,18 +24,19 @@ def carry_over_shards(b: DataFrame, entity: str, kinds: list[str]) -> DataFrame:
     for k in kinds:
         tops.append(F.min_by(f"first_{k}", F.when(F.col(f"first_{k}").isNotNull(), F.col("__shard"))).alias(f"bf_{k}"))
         tops.append(F.max_by(f"last_{k}", F.when(F.col(f"last_{k}").isNotNull(), F.col("__shard"))).alias(f"bl_{k}"))
-    over = Window.partitionBy(entity).orderBy("__block")
-    inner = Window.partitionBy(entity, "__block").orderBy("__shard")
-    back, ahead = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+    # What follows is taken in reverse order: a frame that grows is linear, one that shrinks is quadratic in Spark.
+    before = (Window.unboundedPreceding, -1)
+    over, over_back = (Window.partitionBy(entity).orderBy(o).rowsBetween(*before) for o in (F.asc("__block"), F.desc("__block")))
+    inner, inner_back = (Window.partitionBy(entity, "__block").orderBy(o).rowsBetween(*before) for o in (F.asc("__shard"), F.desc("__shard")))
     blocks = b.groupBy(entity, "__block").agg(*tops).select(
         entity, "__block",
-        *[F.last(f"bl_{k}", True).over(over.rowsBetween(*back)).alias(f"bp_{k}") for k in kinds],
-        *[F.first(f"bf_{k}", True).over(over.rowsBetween(*ahead)).alias(f"bn_{k}") for k in kinds],
+        *[F.last(f"bl_{k}", True).over(over).alias(f"bp_{k}") for k in kinds],
+        *[F.last(f"bf_{k}", True).over(over_back).alias(f"bn_{k}") for k in kinds],
     )
     within = b.select(
         entity, "__block", "__shard",
-        *[F.last(f"last_{k}", True).over(inner.rowsBetween(*back)).alias(f"ip_{k}") for k in kinds],
-        *[F.first(f"first_{k}", True).over(inner.rowsBetween(*ahead)).alias(f"in_{k}") for k in kinds],
+        *[F.last(f"last_{k}", True).over(inner).alias(f"ip_{k}") for k in kinds],
+        *[F.last(f"first_{k}", True).over(inner_back).alias(f"in_{k}") for k in kinds],
     )
     return within.join(blocks, [entity, "__block"]).select(
         entity, "__shard", *[F.coalesce(f"ip_{k}", f"bp_{k}").alias(f"prev_{k}") for k in kinds], *[F.coalesce(f"in_{k}", f"bn_{k}").alias(f"next_{k}") for k in kinds]
@@ -65,9 +66,12 @@ def bracket(left: DataFrame, right: DataFrame, entity: str, ts: str, kind: Colum
     last = [F.max_by("__r", F.when(F.col("__kind") == k, F.struct("__ts", "__tie"))).alias(f"last_{k}") for k in kinds]
     summary = both.groupBy("__e", "__block", "__shard").agg(*first, *last)
     carry = carry_over_shards(summary, "__e", kinds)
-    w = Window.partitionBy("__e", "__shard").orderBy("__ts", F.col("__l").isNotNull(), "__tie")
-    seen = [F.last(mine[k], True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"b_{k}") for k in kinds]
-    ahead = [F.first(mine[k], True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias(f"a_{k}") for k in kinds]
+    shards = Window.partitionBy("__e", "__shard")
+    left_last = F.col("__l").isNotNull()
+    w = shards.orderBy(F.asc("__ts"), left_last.asc(), F.asc_nulls_first("__tie")).rowsBetween(Window.unboundedPreceding, 0)
+    back = shards.orderBy(F.desc("__ts"), left_last.desc(), F.desc_nulls_last("__tie")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = [F.last(mine[k], True).over(w).alias(f"b_{k}") for k in kinds]
+    ahead = [F.last(mine[k], True).over(back).alias(f"a_{k}") for k in kinds]
     at = both.select("__e", "__shard", "__l", *seen, *ahead).where(F.col("__l").isNotNull()).join(carry, ["__e", "__shard"])
     out = at.select("__l.*", *[F.coalesce(f"b_{k}", f"prev_{k}").alias(f"before_{k}") for k in kinds], *[F.coalesce(f"a_{k}", f"next_{k}").alias(f"after_{k}") for k in kinds])
     return out.unionByName(all_left.where(~whole).select("__l.*"), allowMissingColumns=True)

@@ -53,15 +53,14 @@ def trajectory_error(actual: DataFrame, path: DataFrame, path_id: str, seq: str,
 
 def hits_circle(ax: Column, ay: Column, bx: Column, by: Column, circles: list[tuple[float, float, float]], samples: int = 10) -> Column:
     """Does a plane segment touch a circle, by evenly spaced samples, ends and borders inclusive."""
-    def touch(i: Column) -> Column:
-        t = i / float(samples - 1)
+    # Written out, not as a higher-order function: few terms, and they stay in generated code.
+    hit = F.lit(False)
+    for i in range(samples):
+        t = F.lit(i) / float(samples - 1)
         x, y = ax + (bx - ax) * t, ay + (by - ay) * t
-        hit = F.lit(False)
         for cx, cy, r in circles:
             hit = hit | (F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= r)
-        return hit
-
-    return F.exists(F.sequence(F.lit(0), F.lit(samples - 1)), touch)
+    return hit
 
 
 def shortcuts(path: DataFrame, path_id: str, seq: str, circles: list[tuple[float, float, float]]) -> DataFrame:

@@ -11,7 +11,9 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "fitness double, rmse double, tx double, ty double, tz double, angle_deg double, matrix array<double>"
@@ -305,20 +307,26 @@ def register_pairs(pairs: DataFrame, key: list[str], method: str, scales: list[t
     return pairs.select(*key, "src", "tgt").mapInPandas(run, schema)
 
 
-def context_distance(a: str, b: str, rings: int, sectors: int):
-    """Least mean cosine distance of two descriptors over all sector shifts, as a column; infinite if no sector has height."""
+def context_distance(a: Column, b: Column, rings: int, sectors: int) -> Column:
+    """Least mean cosine distance of two descriptors (ring by ring) over all sector shifts; infinite if no sector has height.
 
-    def shifted(shift):
-        def sector(s):
-            t = (s + shift) % sectors
-            ring = F.sequence(F.lit(0), F.lit(rings - 1))
-            at = lambda col, n: F.transform(ring, lambda r: F.element_at(F.col(col), (r * sectors + n + 1).cast("int")))
-            x, y = at(a, s), at(b, t)
-            dot = F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
-            nx, ny = (F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, u: acc + u * u)) for v in (x, y))
-            return F.when((nx > 0) & (ny > 0), 1 - dot / (nx * ny))
-
-        per = F.filter(F.transform(F.sequence(F.lit(0), F.lit(sectors - 1)), sector), lambda v: v.isNotNull())
-        return F.when(F.size(per) > 0, F.aggregate(per, F.lit(0.0), lambda acc, v: acc + v) / F.size(per)).otherwise(F.lit(float("inf")))
+    A null descriptor gives null. Batches of descriptors are compared as whole matrices.
+    """
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(sectors - 1)), shifted))
+    @F.arrow_udf("double")
+    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
+        ok = pc.and_(x.is_valid(), y.is_valid()).to_numpy(zero_copy_only=False)
+        u, v = (c.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(-1, rings, sectors) for c in (x, y))
+        nu, nv = np.sqrt((u * u).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
+        best = np.full(len(u), np.inf)
+        for shift in range(sectors):
+            w, nw = np.roll(v, -shift, axis=2), np.roll(nv, -shift, axis=1)
+            both = (nu > 0) & (nw > 0)
+            n = both.sum(axis=1)
+            cos = np.where(both, 1 - (u * w).sum(axis=1) / np.where(both, nu * nw, 1.0), 0.0)
+            best = np.minimum(best, np.where(n > 0, cos.sum(axis=1) / np.maximum(n, 1), np.inf))
+        out = np.full(len(ok), np.nan)
+        out[ok] = best
+        return pa.array(out, mask=~ok)
+
+    return distance(a, b)

@@ -44,22 +44,24 @@ def _asof(sensors: tuple[str, ...]) -> str:
 SENSORS = ["imu", "gps", "state"]
 
 
-def bracketed(spark: SparkSession, sf: str, kinds: list[str]) -> DataFrame:
+def bracketed(spark: SparkSession, sf: str, kinds: list[str], values: bool = True) -> DataFrame:
+    """Scans with their brackets; without ``values`` only ids and times travel."""
     sc = scans(spark, sf).select("scan_id", "recording", "vehicle", "ns")
-    return bracket(sc, readings(spark, sf), "vehicle", "ns", F.col("sensor"), kinds, F.struct("sample_id", "v"), F.col("sample_id"))
+    what = F.struct("sample_id", "v") if values else F.struct("sample_id")
+    return bracket(sc, readings(spark, sf).where(F.col("sensor").isin(kinds)), "vehicle", "ns", F.col("sensor"), kinds, what, F.col("sample_id"))
 
 
 @book.query("join_j01_bracket", f"WITH {_asof(('imu',))} SELECT scan_id, imu_bid AS before_id, imu_aid AS after_id FROM j")
 def j01(spark: SparkSession, sf: str) -> DataFrame:
     """The imu readings just before and after each scan."""
-    return bracketed(spark, sf, ["imu"]).select("scan_id", F.col("before_imu.v.sample_id").alias("before_id"), F.col("after_imu.v.sample_id").alias("after_id"))
+    return bracketed(spark, sf, ["imu"], False).select("scan_id", F.col("before_imu.v.sample_id").alias("before_id"), F.col("after_imu.v.sample_id").alias("after_id"))
 
 
 @book.query("join_j02_guarded_bracket", f"WITH {_asof(('gps',))}, n AS (SELECT vehicle, count(*) AS n FROM rd WHERE sensor = 'gps' GROUP BY vehicle) SELECT scan_id, CASE WHEN n.n >= 2 THEN coalesce(gps_bid, gps_aid) END AS before_id, CASE WHEN n.n >= 2 THEN coalesce(gps_aid, gps_bid) END AS after_id FROM j LEFT JOIN n ON j.vehicle = n.vehicle")
 def j02(spark: SparkSession, sf: str) -> DataFrame:
     """At the ends of the series both sides are the end reading; a vehicle with fewer than two readings has none."""
     n = readings(spark, sf).where("sensor = 'gps'").groupBy("vehicle").agg(F.count(F.lit(1)).alias("n"))
-    b = bracketed(spark, sf, ["gps"]).join(n, "vehicle", "left")
+    b = bracketed(spark, sf, ["gps"], False).join(n, "vehicle", "left")
     before, after, enough = F.col("before_gps.v.sample_id"), F.col("after_gps.v.sample_id"), F.col("n") >= 2
     return b.select("scan_id", F.when(enough, F.coalesce(before, after)).alias("before_id"), F.when(enough, F.coalesce(after, before)).alias("after_id"))
 
@@ -67,14 +69,14 @@ def j02(spark: SparkSession, sf: str) -> DataFrame:
 @book.query("join_j03_carry_forward", f"WITH {_asof(('gps', 'state'))} SELECT scan_id, gps_bid AS gps_id, state_bid AS state_id FROM j")
 def j03(spark: SparkSession, sf: str) -> DataFrame:
     """The latest state and GPS fix at each scan, however old."""
-    b = bracketed(spark, sf, ["gps", "state"])
+    b = bracketed(spark, sf, ["gps", "state"], False)
     return b.select("scan_id", F.col("before_gps.v.sample_id").alias("gps_id"), F.col("before_state.v.sample_id").alias("state_id"))
 
 
 @book.query("join_j04_three_sensors", f"WITH {_asof(('imu', 'gps', 'state'))} SELECT scan_id, " + ", ".join(f"{s}_bid AS {s}_before, {s}_aid AS {s}_after" for s in ("imu", "gps", "state")) + " FROM j")
 def j04(spark: SparkSession, sf: str) -> DataFrame:
     """State, imu and GPS brackets of each scan in one pass."""
-    b = bracketed(spark, sf, SENSORS)
+    b = bracketed(spark, sf, SENSORS, False)
     return b.select("scan_id", *[F.col(f"{side}_{s}.v.sample_id").alias(f"{s}_{side}") for s in SENSORS for side in ("before", "after")])
 
 
@@ -123,7 +125,7 @@ def p08(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query("fn_p10_bracket_gaps", f"WITH {_asof(('state',))} SELECT scan_id, round(least(ns - state_bns, state_ans - ns) / 1e6, 6) AS near_ms, round(greatest(ns - state_bns, state_ans - ns) / 1e6, 6) AS far_ms FROM j WHERE state_bid IS NOT NULL AND state_aid IS NOT NULL")
 def p10(spark: SparkSession, sf: str) -> DataFrame:
-    b = bracketed(spark, sf, ["state"]).where("before_state is not null and after_state is not null")
+    b = bracketed(spark, sf, ["state"], False).where("before_state is not null and after_state is not null")
     x, y = F.col("ns") - F.col("before_state.ts"), F.col("after_state.ts") - F.col("ns")
     return b.select("scan_id", r6(F.least(x, y) / 1e6).alias("near_ms"), r6(F.greatest(x, y) / 1e6).alias("far_ms"))
 
@@ -135,7 +137,7 @@ def p10(spark: SparkSession, sf: str) -> DataFrame:
 )
 def f08(spark: SparkSession, sf: str) -> DataFrame:
     """Brackets whose near edge is over 10 ms away or far edge over 20 ms are dropped, with the reason."""
-    b = bracketed(spark, sf, ["state"])
+    b = bracketed(spark, sf, ["state"], False)
     x, y = (F.col("ns") - F.col("before_state.ts")) / 1e6, (F.col("after_state.ts") - F.col("ns")) / 1e6
     none = F.col("before_state").isNull() | F.col("after_state").isNull()
     return b.select("scan_id", F.when(none, "no bracket").when(F.least(x, y) > 10, "near too far").when(F.greatest(x, y) > 20, "far too far").otherwise("good").alias("verdict"))

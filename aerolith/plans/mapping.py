@@ -64,8 +64,8 @@ def j07(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dist")).alias("mean_dist"), r6(F.max("dist")).alias("max_dist"))
 
 
-_CTX = f"""{CONTEXT}, one2 AS (SELECT recording, frame_id, min(file_id) AS file_id FROM fr GROUP BY ALL), d AS (SELECT o.recording, o.frame_id, sc.ring, sc.sector, sc.h FROM one2 o JOIN sc USING (file_id)),
-pr AS (SELECT a.recording, a.frame_id, b.frame_id AS earlier FROM one2 a JOIN one2 b ON a.recording = b.recording AND b.frame_id < a.frame_id - 3),
+_CTX = f"""{CONTEXT}, one2 AS (SELECT recording, frame_id, min(file_id) AS file_id, arg_min(px, file_id) AS px, arg_min(py, file_id) AS py, arg_min(pz, file_id) AS pz FROM fr GROUP BY ALL), d AS (SELECT o.recording, o.frame_id, sc.ring, sc.sector, sc.h FROM one2 o JOIN sc USING (file_id)),
+pr AS (SELECT a.recording, a.frame_id, b.frame_id AS earlier FROM one2 a JOIN one2 b ON a.recording = b.recording AND b.frame_id < a.frame_id - 3 AND pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) <= 2500),
 co2 AS (SELECT pr.recording, pr.frame_id, pr.earlier, sh.s AS shift, x.sector, sum(x.h * y.h) AS dot, sqrt(sum(x.h * x.h)) AS nx, sqrt(sum(y.h * y.h)) AS ny FROM pr, generate_series(0, {SECTORS - 1}) sh(s), d x, d y
   WHERE x.recording = pr.recording AND x.frame_id = pr.frame_id AND y.recording = pr.recording AND y.frame_id = pr.earlier AND y.ring = x.ring AND y.sector = (x.sector + sh.s) % {SECTORS} GROUP BY ALL),
 sd AS (SELECT recording, frame_id, earlier, shift, coalesce(avg(CASE WHEN nx > 0 AND ny > 0 THEN 1 - dot / (nx * ny) END), 'Infinity'::DOUBLE) AS dist FROM co2 GROUP BY ALL),
@@ -73,16 +73,18 @@ bd AS (SELECT recording, frame_id, earlier, round(min(dist), 6) AS dist FROM sd
 
 
 def context_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames at least 3 apart whose poses lie within 50 m, found by cells, with their context distance."""
     c = scan_context(spark, sf)
-    one = c.groupBy("recording", "frame_id").agg(F.min_by("desc", "file_id").alias("desc"))
-    b = one.select("recording", F.col("frame_id").alias("earlier"), F.col("desc").alias("desc_b"))
-    p = one.join(b, "recording").where("earlier < frame_id - 3")
-    return p.select("recording", "frame_id", "earlier", r6(registration.context_distance("desc", "desc_b", RINGS, SECTORS)).alias("dist"))
+    desc = c.groupBy("recording", "frame_id").agg(F.min_by("desc", "file_id").alias("desc"))
+    f = one_pose(spark, sf)
+    near = S.within(f, f.withColumnRenamed("frame_id", "earlier"), 50.0, ["recording"], "frame_id", "earlier").where("earlier < frame_id - 3").drop("d2")
+    p = near.join(desc, ["recording", "frame_id"]).join(desc.select("recording", F.col("frame_id").alias("earlier"), F.col("desc").alias("desc_b")), ["recording", "earlier"])
+    return p.select("recording", "frame_id", "earlier", r6(registration.context_distance(F.col("desc"), F.col("desc_b"), RINGS, SECTORS)).alias("dist"))
 
 
 @book.query("reg_r06_context_distance", f"WITH {_CTX} SELECT recording, frame_id, earlier, dist FROM bd")
 def r06(spark: SparkSession, sf: str) -> DataFrame:
-    """Scan-context distance of all frame pairs of a recording more than 3 frames apart."""
+    """Scan-context distance of a recording's frame pairs more than 3 frames apart and within 50 m."""
     return context_pairs(spark, sf)
 
 

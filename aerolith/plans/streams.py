@@ -79,7 +79,7 @@ _READY = f"{_asof(('imu', 'gps', 'state'))}, rdy AS (SELECT recording, scan_id,
 @book.query("str_t04_blocked_queue", f"WITH {_READY} SELECT recording, scan_id, bool_and(ready) OVER (PARTITION BY recording ORDER BY ns, scan_id ROWS UNBOUNDED PRECEDING) AS emitted FROM rdy")
 def t04(spark: SparkSession, sf: str) -> DataFrame:
     """A scan waits until all sensors have a later reading, and all scans behind it wait with it."""
-    b = bracketed(spark, sf, SENSORS)
+    b = bracketed(spark, sf, SENSORS, False)
     ready = F.col("after_imu").isNotNull() & F.col("after_gps").isNotNull() & F.col("after_state").isNotNull()
     return folds.blocked(b.select("recording", "scan_id", "ns", ready.alias("ready")), "recording", ["ns", "scan_id"], "ready").select("recording", "scan_id", "emitted")
 
@@ -87,7 +87,7 @@ def t04(spark: SparkSession, sf: str) -> DataFrame:
 @book.query("str_t05_dropped_counts", f"WITH {_asof(('state',))} SELECT recording, count(*) AS n, CAST(count_if(state_bid IS NULL OR state_aid IS NULL OR least(ns - state_bns, state_ans - ns) > 10000000 OR greatest(ns - state_bns, state_ans - ns) > 20000000) AS BIGINT) AS dropped FROM j GROUP BY recording")
 def t05(spark: SparkSession, sf: str) -> DataFrame:
     """How many scans of a recording are dropped for a poor bracket."""
-    b = bracketed(spark, sf, ["state"])
+    b = bracketed(spark, sf, ["state"], False)
     x, y = F.col("ns") - F.col("before_state.ts"), F.col("after_state.ts") - F.col("ns")
     bad = F.col("before_state").isNull() | F.col("after_state").isNull() | (F.least(x, y) > 10_000_000) | (F.greatest(x, y) > 20_000_000)
     return b.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("dropped"))
