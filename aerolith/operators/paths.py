@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.geometry import Vec
@@ -51,16 +51,26 @@ def trajectory_error(actual: DataFrame, path: DataFrame, path_id: str, seq: str,
     return n.join(last, path_id).select(path_id, sample, F.col("dist").alias("error"), F.least(F.col("__at.seq"), F.col("__end") - 1).alias("segment"))
 
 
-def hits_circle(ax: Column, ay: Column, bx: Column, by: Column, circles: list[tuple[float, float, float]], samples: int = 10) -> Column:
-    """Does a plane segment touch a circle, by evenly spaced samples, ends and borders inclusive."""
-    # Written out, not as a higher-order function: few terms, and they stay in generated code.
+def with_hits(df: DataFrame, circles: list[tuple[float, float, float]], samples: int = 10) -> DataFrame:
+    """Adds ``hit``: does the plane segment (ax, ay)-(bx, by) touch a circle, by evenly spaced samples, ends and borders inclusive.
+
+    Of evenly spaced samples the one next to the centre's projection is the nearest, so one is tested
+    per circle. The steps are columns of their own, so that each stays small in generated code.
+    """
+    last = float(samples - 1)
+    d = df.withColumns({"__dx": F.col("bx") - F.col("ax"), "__dy": F.col("by") - F.col("ay")})
+    d = d.withColumn("__n2", F.col("__dx") * F.col("__dx") + F.col("__dy") * F.col("__dy"))
+    parts = {}
+    for n, (cx, cy, _) in enumerate(circles):
+        along = ((F.lit(cx) - F.col("ax")) * F.col("__dx") + (F.lit(cy) - F.col("ay")) * F.col("__dy")) / F.col("__n2")
+        parts[f"__t{n}"] = F.when(F.col("__n2") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.floor(along * last + 0.5) / last))).otherwise(F.lit(0.0))
+    d = d.withColumns(parts)
+    offs = {f"__{c}{n}": F.col(f"a{c}") + F.col(f"__d{c}") * F.col(f"__t{n}") - (cx, cy)[c == "y"] for n, (cx, cy, _) in enumerate(circles) for c in "xy"}
+    d = d.withColumns(offs)
     hit = F.lit(False)
-    for i in range(samples):
-        t = F.lit(i) / float(samples - 1)
-        x, y = ax + (bx - ax) * t, ay + (by - ay) * t
-        for cx, cy, r in circles:
-            hit = hit | (F.sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) <= r)
-    return hit
+    for n, (_, _, r) in enumerate(circles):
+        hit = hit | (F.sqrt(F.col(f"__x{n}") * F.col(f"__x{n}") + F.col(f"__y{n}") * F.col(f"__y{n}")) <= r)
+    return d.withColumn("hit", hit).drop("__dx", "__dy", "__n2", *parts, *offs)
 
 
 def shortcuts(path: DataFrame, path_id: str, seq: str, circles: list[tuple[float, float, float]]) -> DataFrame:
@@ -71,8 +81,8 @@ def shortcuts(path: DataFrame, path_id: str, seq: str, circles: list[tuple[float
     """
     p = path.select(path_id, F.col(seq).alias("s"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     q = path.select(path_id, F.col(seq).alias("t"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    free = ~hits_circle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), circles)
-    far = p.join(q, path_id).where((F.col("t") > F.col("s")) & ((F.col("t") == F.col("s") + 1) | free)).groupBy(path_id, "s").agg(F.max("t").alias("t"))
+    ahead = with_hits(p.join(q, path_id).where(F.col("t") > F.col("s")), circles)
+    far = ahead.groupBy(path_id, "s").agg(F.max(F.when((F.col("t") == F.col("s") + 1) | ~F.col("hit"), F.col("t"))).alias("t"))
     chain = far.groupBy(path_id).agg(F.map_from_entries(F.collect_list(F.struct("s", "t"))).alias("m"), F.min("s").alias("first"))
     follow = "aggregate(sequence(1, size(m)), array(first), (a, i) -> CASE WHEN m[element_at(a, -1)] IS NULL THEN a ELSE array_append(a, m[element_at(a, -1)]) END)"
     return chain.select(path_id, F.posexplode(F.expr(follow)).alias("hop", seq))
