@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from aerolith.runtime import shared_dir
+from aerolith.runtime import path_handle, shared_dir
 
 #: Length of a time shard.
 SHARD_NS = 300_000_000_000
 #: The time of the row that closes a bounded stream: later than any data (year 2261).
 CLOSE_NS = 9_180_000_000_000_000_000
 LEFT = 0
+#: The stream's clock in microseconds is half the time in microseconds plus this. So every 64-bit time in ns
+#: lies between 1970, where a watermark starts, and 2262, where batches' timestamps end.
+CLOCK_ZERO = 4_611_686_018_427_388
 
 _PAIR = np.dtype([("ts", "<i8"), ("id", "<i8")])
 OUTPUT = "left_id bigint, side int, right_id bigint, left_ts bigint, right_ts bigint"
@@ -96,7 +99,8 @@ def joiner(sides: list[Side]):
             left = np.concatenate([left, new(LEFT)])
             right = [np.concatenate([r, new(s.number)]) for r, s in zip(right, sides)]
         right = [_tidy(r) for r in right]
-        mark = state.getCurrentWatermarkMs() * 1_000_000 if state.getCurrentWatermarkMs() > 0 else None
+        now = state.getCurrentWatermarkMs()
+        mark = (now * 1000 - CLOCK_ZERO) * 2000 if now > 0 else None
         if mark is not None and len(left):
             due = left["ts"] + widest < mark
             ready, left = left[due], left[~due]
@@ -116,7 +120,7 @@ def joiner(sides: list[Side]):
             return
         state.update((left.tobytes(), [r.tobytes() for r in right]))
         wake = int(left["ts"].min()) + widest if len(left) else max(int(r["ts"].max()) + s.tolerance_ns for r, s in zip(right, sides) if len(r))
-        state.setTimeoutTimestamp(max(wake // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max((wake // 2000 + CLOCK_ZERO) // 1000 + 2, now + 1))
 
     return hold
 
@@ -136,49 +140,56 @@ def side_rows(df: DataFrame, side: Side | None, entity: Column, ts_ns: Column, r
         d = d.withColumn("shard", F.expr(shard("ts")))
     else:
         d = d.withColumn("shard", F.explode(F.expr(f"sequence({shard(f'ts - {side.tolerance_ns}L')}, {shard(f'ts + {side.tolerance_ns}L')})")))
-    return d.withColumn("event_time", F.timestamp_micros(F.expr("ts div 1000L")))
+    return d.withColumn("event_time", F.timestamp_micros(F.expr(f"ts div 2000L + {CLOCK_ZERO}L")))
 
 
-def join_stream(rows: DataFrame, sides: list[Side], lateness: str = "0 seconds") -> DataFrame:
+def join_stream(rows: DataFrame, sides: list[Side], lateness_ns: int = 0) -> DataFrame:
     """The streaming join of the union of ``side_rows``: (left_id, side, right_id, left_ts, right_ts).
 
-    A left row without any partner within the tolerance has no row. Rows later than ``lateness``
-    behind the newest event are too late and dropped by the watermark, so ``lateness`` must cover
-    the source's delays wherever the stream runs in several batches.
+    A left row without any partner within the tolerance has no row. Rows later than ``lateness_ns``
+    behind the newest event are too late and dropped by the watermark, so it must cover the source's
+    delays wherever the stream runs in several batches.
     """
     return (
-        rows.withWatermark("event_time", lateness)
+        rows.withWatermark("event_time", f"{-(-lateness_ns // 2_000_000)} milliseconds")
         .groupBy("entity", "shard")
         .applyInPandasWithState(joiner(sides), OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def match_bounded(spark: SparkSession, rows: DataFrame, sides: list[Side], lateness: str = "0 seconds") -> DataFrame:
+def match_bounded(spark: SparkSession, rows: DataFrame, sides: list[Side], lateness_ns: int = 0) -> DataFrame:
     """Run the streaming join over all that the sources hold now, to the end, and read the result.
 
-    The stream is closed by one more row, later than all data: it moves the watermark past every
-    horizon, so the last left rows go out too and all state is evicted. Sources without a limit per
-    trigger come in one batch, and nothing in it is late, however old. A left row written again
-    gives one row. Checkpoint, state and result lie in the shared folder.
+    Once the sources are read, the stream is closed by one more row, later than all data: it moves
+    the watermark past every horizon, so the last left rows go out too and all state is evicted.
+    Sources without a limit per trigger come in one batch, and nothing in it is late, however old.
+    A left row written again gives one row. Checkpoint, state and result lie in the shared folder.
     """
     base = shared_dir(spark, "nearest-time")
     closing = spark.range(1).select(
         F.lit("").alias("entity"), F.lit(-1).cast("bigint").alias("shard"), F.lit(-1).alias("side"), F.lit(CLOSE_NS).cast("bigint").alias("ts"), F.lit(-1).cast("bigint").alias("id"),
-        F.timestamp_micros(F.lit(CLOSE_NS // 1000)).alias("event_time"),
+        F.timestamp_micros(F.lit(CLOSE_NS // 2000 + CLOCK_ZERO)).alias("event_time"),
     )
-    closing.write.parquet(f"{base}/closing")
+    fs, folder = path_handle(spark, f"{base}/closing")
+    fs.mkdirs(folder)
     end = spark.readStream.schema(closing.schema).parquet(f"{base}/closing")
     cols = ["entity", "shard", "side", "ts", "id", "event_time"]
-    stream = join_stream(rows.select(*cols).union(end.select(*cols)), sides, lateness)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    stream = join_stream(rows.select(*cols).union(end.select(*cols)), sides, lateness_ns)
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    closing.write.mode("append").parquet(f"{base}/closing")
+    run()
     names = F.create_map(*[x for s in sides for x in (F.lit(s.number), F.lit(s.name))])
     out = spark.read.schema(OUTPUT).parquet(f"{base}/out")
     return out.dropDuplicates(["left_id", "side"]).select("left_id", names[F.col("side")].alias("side"), "right_id", "left_ts", "right_ts")

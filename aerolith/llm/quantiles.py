@@ -1,12 +1,13 @@
 """Percentiles of very large numeric columns by deterministic buffer collapsing.
 
-A sketch holds buffers of ``k`` sorted values; all values of a buffer have its weight. When more
-than ``b`` buffers are full, all those of the lowest level (two at least) collapse into one: the
+A sketch holds buffers of ``k`` sorted values; all values of a buffer have its weight. Collapses form
+a tree: as soon as ``b`` buffers of one level are full, they become one of the next level. Their
 values, each repeated by its weight, are laid out in order, and ``k`` evenly spaced ones stay with
 the summed weight W. A collapse moves the rank of any value by at most W / 2, so the summed W / 2
 of all collapses plus half the largest weight bounds the error of every answer; the sketch carries
-that bound. Values not yet in a full buffer stay as they are. Sketches of partitions, files or days
-merge by pooling their buffers, so the order of merging does not matter for the bound.
+that bound. Each level adds n / 2k, and there are log_b(n / k) levels: for a billion values, k = 1024
+and b = 4 half a percent of the ranks at worst. Values not yet in a full buffer stay as they are.
+Sketches of partitions, files or days merge by pooling their buffers level by level.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from aerolith.llm.arrowgroups import flat, lists, runs
 
-#: Values in a buffer, and full buffers that a sketch may hold.
-K = 512
-B = 10
+#: Values in a buffer, and buffers of a level that collapse into one of the next.
+K = 1024
+B = 4
 #: Sketches that one merge takes in; more are merged as a tree.
 FAN_IN = 64
 #: Values that one partition's sketches may hold before they are passed on.
@@ -59,8 +60,7 @@ class Sketch:
             whole = len(pool) // self.k * self.k
             for part in pool[:whole].reshape(-1, self.k):
                 self.full.append((0, 1, np.sort(part)))
-                if len(self.full) > 2 * self.b:
-                    self._shrink()
+                self._shrink()
             self.tail, self.tail_n = [pool[whole:].copy()], len(pool) - whole
 
     def merge(self, n: int, moved: float, full: list[tuple[int, int, np.ndarray]], tail: np.ndarray) -> None:
@@ -71,14 +71,17 @@ class Sketch:
         self._shrink()
 
     def _shrink(self) -> None:
-        while len(self.full) > self.b:
-            self.full.sort(key=lambda x: x[0])
-            low = self.full[0][0]
-            take = max(2, sum(x[0] == low for x in self.full))
-            self._collapse(take)
-
-    def _collapse(self, take: int) -> None:
-        parts, self.full = self.full[:take], self.full[take:]
+        while True:
+            levels = [x[0] for x in self.full]
+            ripe = [v for v in set(levels) if levels.count(v) >= self.b]
+            if not ripe:
+                return
+            self._collapse(min(ripe))
+
+    def _collapse(self, level: int) -> None:
+        same = [x for x in self.full if x[0] == level]
+        parts = same[: self.b]
+        self.full = [x for x in self.full if x[0] != level] + same[self.b :]
         values = np.concatenate([v for _, _, v in parts])
         weights = np.repeat([w for _, w, _ in parts], self.k)
         order = np.argsort(values, kind="stable")
@@ -90,7 +93,7 @@ class Sketch:
             offset = whole // 2 + self.odd
             self.odd = not self.odd
         at = np.searchsorted(upto, np.arange(self.k, dtype=np.int64) * whole + offset)
-        self.full.append((max(x[0] for x in parts) + 1, whole, values[order[at]]))
+        self.full.append((level + 1, whole, values[order[at]]))
         self.moved += whole
 
     def rank_error(self) -> float:
