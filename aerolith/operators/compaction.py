@@ -8,6 +8,7 @@ counts, and only then swap the folders by rename. A failed run leaves the live f
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,15 +85,12 @@ def compact(
     smallest ``file_id`` is kept, whole, with every other column it has. Rows with null in any
     column are ordinary rows; a null ``file_id`` counts as larger than all others. ``size`` names
     the bytes of a row; null or negative counts as the mean, and without it rows count as 1 KiB.
-    An empty source gives one empty file. Columns named ``__fp`` or ``__kept`` are not allowed.
+    An empty source gives one empty file. Other columns may have any names.
 
     Only (fingerprint, file_id) is shuffled to find copies, with a partial minimum first, so a
     record that holds a third of all rows costs no more than others.
     """
     spark = source.sparkSession
-    clash = {"__fp", "__kept", "__n"} & set(source.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
     staging = live + ".staging"
     ids = source.select(F.col(file_id).alias("file_id"), fingerprint(source, record).alias("__fp"))
     # Fingerprints are written once: they are read for the groups, the membership and the records.
@@ -105,8 +103,9 @@ def compact(
     members.select("file_id", "kept_id").write.parquet(f"{staging}/membership")
     members = spark.read.parquet(f"{staging}/membership")
 
-    firsts = members.where(F.col("file_id").eqNullSafe(F.col("kept_id"))).select(F.col("file_id").alias("__kept")).distinct()
-    records = source.join(firsts, F.col(file_id).eqNullSafe(F.col("__kept")), "left_semi")
+    own = f"__kept_{uuid.uuid4().hex}"
+    firsts = members.where(F.col("file_id").eqNullSafe(F.col("kept_id"))).select(F.col("file_id").alias(own)).distinct()
+    records = source.join(firsts, F.col(file_id).eqNullSafe(F.col(own)), "left_semi")
     if size:
         w = records.agg(F.sum(F.when(F.col(size) >= 0, F.col(size))), F.count(F.when(F.col(size) >= 0, 1)), F.count(F.lit(1))).first()
         total = (w[0] or 0) / max(1, w[1]) * w[2]

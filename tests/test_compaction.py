@@ -52,12 +52,12 @@ def test_failed_reconciliation_leaves_the_live_folder(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/live/records").count() == 5
 
 
-def test_empty_and_reserved_names(spark, tmp_path):
+def test_empty_and_clashing_names(spark, tmp_path):
     done = run(spark, [], tmp_path)
     assert done.records.count() == 0 and done.membership.count() == 0
-    with pytest.raises(ValueError):
-        df = spark.range(1).select(F.col("id").alias("file_id"), F.lit(1).alias("__fp"))
-        compact(df, f"file://{tmp_path}/x", ["file_id"], "file_id", ["file_id"])
+    df = spark.range(3).select(F.col("id").alias("file_id"), F.lit(1).alias("__fp"), F.lit(2).alias("kept_id"), F.lit(3).alias("__n"))
+    done = compact(df, f"file://{tmp_path}/x", ["__fp"], "file_id", ["kept_id"])
+    assert done.records.columns == df.columns and groups(done) == [(0, 0), (0, 1), (0, 2)]
 
 
 def test_hot_record(spark, tmp_path, monkeypatch):
