@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.arrowgroups import flat, lists, runs
@@ -36,7 +36,7 @@ FIT_ROWS = 4000
 #: Vectors of a cell that one task compares a query with.
 BLOCK = 4096
 #: Queries in one matrix product.
-CHUNK = 2048
+CHUNK = 1024
 #: So many crowded cells at most travel in the plan; more are joined.
 LISTED = 20_000
 
@@ -271,8 +271,6 @@ def nearest_vectors(df: DataFrame, row_id: str, vec: Column, dims: int, k: int,
     merged = merged.select("rep", F.slice(F.array_sort(F.array_distinct("hits")), 1, k).alias("hits"))
 
     # The k + 1 smallest ids of each class: the limit inside the window applies before the exchange too.
-    from pyspark.sql import Window
-
     ranked = rows.select("fp", "id").withColumn("rn", F.row_number().over(Window.partitionBy("fp").orderBy("id"))).where(F.col("rn") <= k + 1)
     firsts = ranked.groupBy("fp").agg(F.array_sort(F.collect_list("id")).alias("firsts"))
     classes = reps.select("fp", "rep", "n").join(firsts, "fp")

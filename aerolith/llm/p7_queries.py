@@ -13,6 +13,8 @@ def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[int, int]]
     """Every post under every profile; each tokenizer reads each text once. pack_profile has 4 rows and does not grow."""
     profiles = table(spark, sf_dir, "pack_profile").where("profile_id is not null and tokenizer is not null and capacity > 0").select("profile_id", "tokenizer", "capacity").collect()
     docs = table(spark, sf_dir, "documents")
+    if not profiles:
+        return spark.createDataFrame([], "profile_id int, doc_id bigint, n_tokens bigint"), {}
     names = sorted({p["tokenizer"] for p in profiles})
     counts = docs.select("doc_id", *[token_counts(F.col("text"), n).alias(n) for n in names])
     counts = written(counts, "token-counts")

@@ -123,8 +123,10 @@ def pack(items: DataFrame, capacities: dict[int, int], shard_items: int = SHARD_
     tokens (null, empty texts, or a null count) have one row with a null container. Rows of unknown
     profiles come out the same way. Repeated rows are items of their own.
     """
-    cap = F.create_map(*[x for p, c in capacities.items() for x in (F.lit(p), F.lit(c))])
-    d = items.select("profile_id", "doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.try_element_at(cap, F.col("profile_id")).cast("bigint").alias("__cap"))
+    cap = F.lit(None)
+    if capacities:
+        cap = F.try_element_at(F.create_map(*[x for p, c in capacities.items() for x in (F.lit(p), F.lit(c))]), F.col("profile_id"))
+    d = items.select("profile_id", "doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), cap.cast("bigint").alias("__cap"))
     d = d.withColumn("__cap", F.coalesce("__cap", F.lit(0))).withColumn("__pieces", F.when((F.col("__cap") > 0) & (F.col("n_tokens") > 0), F.ceil(F.col("n_tokens") / F.col("__cap"))).otherwise(1))
     d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("__pieces").cast("int") - 1)))
     d = d.withColumn("start", F.col("piece") * F.col("__cap")).withColumn("n_tokens", F.when(F.col("__cap") > 0, F.least(F.col("__cap"), F.col("n_tokens") - F.col("start"))).otherwise(F.col("n_tokens")))

@@ -54,6 +54,7 @@ def test_shards_hold_everything_once(spark):
 
 def test_empty(spark):
     assert P.pack(items(spark, []), {1: 10}).count() == 0
+    assert [r["container_id"] for r in P.pack(items(spark, [(1, 1, 5, "c")]), {}).collect()] == [None]
 
 
 @pytest.mark.skipif(not os.path.isdir(P.TOKENIZERS), reason="no public tokenizers")
