@@ -14,13 +14,20 @@ from aerolith.runtime import table
 
 book = Book()
 RX, RY, RZ = rotated_sql("x", "y", "z")
-POSE = G.Quat(*[F.col(f"q{a}") for a in "wxyz"]), G.Vec(F.col("px"), F.col("py"), F.col("pz"))
-PT = G.Vec(F.col("x"), F.col("y"), F.col("z"))
+
+
+def pose() -> tuple[G.Quat, G.Vec]:
+    """Orientation and position columns of ``frames`` and ``points``."""
+    return G.Quat(*[F.col(f"q{a}") for a in "wxyz"]), G.Vec(F.col("px"), F.col("py"), F.col("pz"))
+
+
+def pt() -> G.Vec:
+    return G.Vec(F.col("x"), F.col("y"), F.col("z"))
 
 
 @book.query("fn_p01_world_points", f"WITH {POINTS} SELECT file_id, CAST(pt_id AS BIGINT) AS pt_id, round({RX} + px, 6) AS wx, round({RY} + py, 6) AS wy, round({RZ} + pz, 6) AS wz FROM pt")
 def world_points(spark: SparkSession, sf: str) -> DataFrame:
-    w = G.to_world(*POSE, PT)
+    w = G.to_world(*pose(), pt())
     return points(spark, sf).select("file_id", "pt_id", *w.named("wx", "wy", "wz", 6))
 
 
@@ -29,7 +36,7 @@ def world_points(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {FRAMES} SELECT file_id, round(1 - 2 * (qy * qy + qz * qz), 6) AS r0, round(2 * (qx * qy - qw * qz), 6) AS r1, round(2 * (qx * qz + qw * qy), 6) AS r2, round(2 * (qx * qy + qw * qz), 6) AS r3, round(1 - 2 * (qx * qx + qz * qz), 6) AS r4, round(2 * (qy * qz - qw * qx), 6) AS r5, round(2 * (qx * qz - qw * qy), 6) AS r6, round(2 * (qy * qz + qw * qx), 6) AS r7, round(1 - 2 * (qx * qx + qy * qy), 6) AS r8 FROM fr",
 )
 def rotation_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return frames(spark, sf).select("file_id", *[r6(c).alias(f"r{i}") for i, c in enumerate(G.matrix(POSE[0]))])
+    return frames(spark, sf).select("file_id", *[r6(c).alias(f"r{i}") for i, c in enumerate(G.matrix(pose()[0]))])
 
 
 #: A fixed mount pose for the three-step chain: half a metre ahead, turned 90 degrees about z.
@@ -38,7 +45,7 @@ MOUNT = [0.0, -1.0, 0.0, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, -0.25]
 
 @book.query("fn_p04_apply_matrix", f"WITH {POINTS} SELECT file_id, CAST(pt_id AS BIGINT) AS pt_id, round(-y + 0.5, 6) AS bx, round(x, 6) AS by_, round(z - 0.25, 6) AS bz FROM pt")
 def apply_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).select("file_id", "pt_id", *G.apply_matrix(MOUNT, PT).named("bx", "by_", "bz", 6))
+    return points(spark, sf).select("file_id", "pt_id", *G.apply_matrix(MOUNT, pt()).named("bx", "by_", "bz", 6))
 
 
 @book.query(
@@ -55,7 +62,7 @@ def pose_between(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("recording").orderBy("frame_id", "file_id")
     d = one.select("file_id", "px", "py", "pz", "qw", "qx", "qy", "qz", *[F.lag(c).over(w).alias(f"a_{c}") for c in ("px", "py", "pz", "qw", "qx", "qy", "qz")]).where("a_qw is not null")
     qa, ta = G.Quat(*[F.col(f"a_q{a}") for a in "wxyz"]), G.Vec(*[F.col(f"a_p{a}") for a in "xyz"])
-    dq, dt = G.between(qa, ta, *POSE)
+    dq, dt = G.between(qa, ta, *pose())
     return d.select("file_id", *dt.named("tx", "ty", "tz", 6), r6(dq.w).alias("dw"))
 
 
@@ -66,8 +73,8 @@ def pose_between(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sensor_to_world(spark: SparkSession, sf: str) -> DataFrame:
     """Sensor to body by the mount pose, self-returns within 1 m of the body cut, body to world."""
-    body = points(spark, sf).select("file_id", "pt_id", "px", "py", "pz", "qw", "qx", "qy", "qz", *G.apply_matrix(MOUNT, PT).named())
-    return body.where(PT.norm() >= 1.0).select("file_id", "pt_id", *G.to_world(*POSE, PT).named("wx", "wy", "wz", 6))
+    body = points(spark, sf).select("file_id", "pt_id", "px", "py", "pz", "qw", "qx", "qy", "qz", *G.apply_matrix(MOUNT, pt()).named())
+    return body.where(pt().norm() >= 1.0).select("file_id", "pt_id", *G.to_world(*pose(), pt()).named("wx", "wy", "wz", 6))
 
 
 @book.query(
@@ -76,7 +83,7 @@ def sensor_to_world(spark: SparkSession, sf: str) -> DataFrame:
   round(degrees(asin(least(1, greatest(-1, 2 * (qw * qy - qz * qx))))), 6) AS pitch, round(degrees(atan2(2 * (qw * qx + qy * qz), 1 - 2 * (qx * qx + qy * qy))), 6) AS roll FROM fr""",
 )
 def yaw_pitch_roll(spark: SparkSession, sf: str) -> DataFrame:
-    q = POSE[0]
+    q = pose()[0]
     return frames(spark, sf).select("file_id", r6(G.yaw_deg(q)).alias("yaw"), r6(G.pitch_deg(q)).alias("pitch"), r6(G.roll_deg(q)).alias("roll"))
 
 
@@ -86,7 +93,7 @@ def yaw_pitch_roll(spark: SparkSession, sf: str) -> DataFrame:
   + pow(degrees(asin(least(1, greatest(-1, 2 * (qw * qy - qz * qx))))), 2) + pow(degrees(atan2(2 * (qw * qx + qy * qz), 1 - 2 * (qx * qx + qy * qy))), 2)), 6) AS euler_deg FROM fr""",
 )
 def euler_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return frames(spark, sf).select("file_id", r6(G.euler_norm_deg(POSE[0])).alias("euler_deg"))
+    return frames(spark, sf).select("file_id", r6(G.euler_norm_deg(pose()[0])).alias("euler_deg"))
 
 
 @book.query(
@@ -94,7 +101,7 @@ def euler_norm(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {FRAMES} SELECT file_id, round(degrees(acos(least(1, greatest(-1, ((1 - 2 * (qy * qy + qz * qz)) + (1 - 2 * (qx * qx + qz * qz)) + (1 - 2 * (qx * qx + qy * qy)) - 1) / 2)))), 4) AS angle FROM fr",
 )
 def rotation_angle(spark: SparkSession, sf: str) -> DataFrame:
-    return frames(spark, sf).select("file_id", F.round(G.angle_deg(G.matrix(POSE[0])), 4).alias("angle"))
+    return frames(spark, sf).select("file_id", F.round(G.angle_deg(G.matrix(pose()[0])), 4).alias("angle"))
 
 
 @book.query("fn_p15_angle_wrap", "SELECT event_id, round(((value * 10 + 180) % 360 + 360) % 360 - 180, 6) AS wrapped FROM events")
@@ -128,7 +135,8 @@ def _with_home(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("recording", "file_id", "gps").join(home, "recording")
 
 
-GPS = [F.col(f"gps.{m}") for m in ("lat", "lon", "alt")] + [F.col(f"h.{m}") for m in ("lat", "lon", "alt")]
+def gps() -> list:
+    return [F.col(f"gps.{m}") for m in ("lat", "lon", "alt")] + [F.col(f"h.{m}") for m in ("lat", "lon", "alt")]
 
 
 @book.query(
@@ -137,7 +145,7 @@ GPS = [F.col(f"gps.{m}") for m in ("lat", "lon", "alt")] + [F.col(f"h.{m}") for
 )
 def gps_to_ned(spark: SparkSession, sf: str) -> DataFrame:
     """Position relative to the first fix of the recording."""
-    return _with_home(spark, sf).select("file_id", *G.gps_to_ned(*GPS).named("n", "e", "d", 4))
+    return _with_home(spark, sf).select("file_id", *G.gps_to_ned(*gps()).named("n", "e", "d", 4))
 
 
 @book.query(
@@ -145,13 +153,13 @@ def gps_to_ned(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_HOME} SELECT file_id, round(radians(gps.lon - h.lon) * cos(radians((gps.lat + h.lat) / 2)) * 6378137.0, 4) AS e, round(radians(gps.lat - h.lat) * 6378137.0, 4) AS n, round(gps.alt - h.alt, 4) AS u FROM lidar_frame JOIN h USING (recording) WHERE gps IS NOT NULL",
 )
 def latlon_to_enu(spark: SparkSession, sf: str) -> DataFrame:
-    return _with_home(spark, sf).select("file_id", *G.latlon_to_enu(*GPS).named("e", "n", "u", 4))
+    return _with_home(spark, sf).select("file_id", *G.latlon_to_enu(*gps()).named("e", "n", "u", 4))
 
 
 @book.query("fn_p42_drone_position", f"WITH {_HOME} SELECT recording, round(max(sqrt(pow(radians(gps.lat - h.lat) * 6378137.0, 2) + pow(radians(gps.lon - h.lon) * 6378137.0 * cos(radians(h.lat)), 2))), 4) AS reach_m, count(*) AS n FROM lidar_frame JOIN h USING (recording) WHERE gps IS NOT NULL GROUP BY recording")
 def drone_position(spark: SparkSession, sf: str) -> DataFrame:
     """How far a recording's GPS positions lie from its home."""
-    p = G.gps_to_ned(*GPS)
+    p = G.gps_to_ned(*gps())
     return _with_home(spark, sf).groupBy("recording").agg(F.round(F.max(F.sqrt(p.x * p.x + p.y * p.y)), 4).alias("reach_m"), F.count(F.lit(1)).alias("n"))
 
 
@@ -346,7 +354,7 @@ def valid_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query("flt_f02_self_returns", f"WITH {POINTS} SELECT recording, count(*) AS n_all, CAST(count_if(sqrt(x * x + y * y + z * z) >= 1.0) AS BIGINT) AS n_kept FROM pt GROUP BY recording")
 def self_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).groupBy("recording").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(PT.norm() >= 1.0).alias("n_kept"))
+    return points(spark, sf).groupBy("recording").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(pt().norm() >= 1.0).alias("n_kept"))
 
 
 @book.query("flt_f03_box", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 5 AND 30 AND l_discount BETWEEN 0.02 AND 0.07 AND l_tax BETWEEN 0.01 AND 0.05")
@@ -367,7 +375,7 @@ def radius_crop(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query("flt_f05_target_crop", f"WITH {MAPS} SELECT map_id, count(*) AS n FROM mp WHERE x * x + y * y + z * z <= 900 GROUP BY map_id")
 def target_crop(spark: SparkSession, sf: str) -> DataFrame:
-    return map_points(spark, sf).where(PT.dot(PT) <= 900.0).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+    return map_points(spark, sf).where(pt().dot(pt()) <= 900.0).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @book.query("flt_f06_minimum_scan", "SELECT file_id, CAST(len(points) AS INTEGER) AS n FROM lidar_frame WHERE len(points) * 3 >= 9")
@@ -408,7 +416,7 @@ def registration_gate(spark: SparkSession, sf: str) -> DataFrame:
 def sanity_clamp(spark: SparkSession, sf: str) -> DataFrame:
     """A transform that moves or turns too far is replaced by none."""
     turn = 2 * F.acos(F.least(F.lit(1.0), F.abs(F.col("qw"))))
-    return frames(spark, sf).select("file_id", F.when((POSE[1].norm() > 15) | (turn > 0.3), "rejected").otherwise("kept").alias("verdict"))
+    return frames(spark, sf).select("file_id", F.when((pose()[1].norm() > 15) | (turn > 0.3), "rejected").otherwise("kept").alias("verdict"))
 
 
 @book.query("flt_f16_f19_population", f"WITH {POINTS}, c AS (SELECT recording, {_IJK.format('(1.0 / 2.0)')}, count(*) AS n FROM pt GROUP BY ALL) SELECT recording, i, j, k, n FROM c WHERE n >= 5")
