@@ -213,7 +213,7 @@ def gps_to_ned(lat: Column, lon: Column, alt: Column, home_lat: Column, home_lon
     return Vec(
         F.radians(lat - home_lat) * EARTH_RADIUS_M,
         F.radians(lon - home_lon) * EARTH_RADIUS_M * F.cos(F.radians(home_lat)),
-        -(alt - home_alt),
+        home_alt - alt,
     )
 
 

@@ -38,7 +38,8 @@ def trials(df: DataFrame, label: list[str], metrics: list[str], digits: int = 6)
 
 
 def histogram(df: DataFrame, value: str, top: DataFrame, bins: int) -> DataFrame:
-    """(bin, n) of ``bins`` equal bins from 0 to ``top`` (one row, column ``top``); the last bin is closed, larger values are left out."""
-    d = df.select(F.col(value).alias("v")).crossJoin(F.broadcast(top)).where((F.col("v") >= 0) & (F.col("v") <= F.col("top")))
+    """(bin, n) of ``bins`` equal bins from 0 to ``top`` (one row, one column); the last bin is closed, larger values are left out."""
+    limit = top.scalar()
+    d = df.select(F.col(value).alias("v"), limit.alias("top")).where((F.col("v") >= 0) & (F.col("v") <= F.col("top")))
     at = F.least(F.lit(bins), F.floor(F.col("v") / (F.col("top") / bins)) + 1).cast("bigint")
     return d.select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

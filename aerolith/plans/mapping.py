@@ -69,7 +69,7 @@ pr AS (SELECT a.recording, a.frame_id, b.frame_id AS earlier FROM one2 a JOIN on
 co2 AS (SELECT pr.recording, pr.frame_id, pr.earlier, sh.s AS shift, x.sector, sum(x.h * y.h) AS dot, sqrt(sum(x.h * x.h)) AS nx, sqrt(sum(y.h * y.h)) AS ny FROM pr, generate_series(0, {SECTORS - 1}) sh(s), d x, d y
   WHERE x.recording = pr.recording AND x.frame_id = pr.frame_id AND y.recording = pr.recording AND y.frame_id = pr.earlier AND y.ring = x.ring AND y.sector = (x.sector + sh.s) % {SECTORS} GROUP BY ALL),
 sd AS (SELECT recording, frame_id, earlier, shift, coalesce(avg(CASE WHEN nx > 0 AND ny > 0 THEN 1 - dot / (nx * ny) END), 'Infinity'::DOUBLE) AS dist FROM co2 GROUP BY ALL),
-bd AS (SELECT recording, frame_id, earlier, round(min(dist), 6) AS dist FROM sd GROUP BY ALL)"""
+bd AS (SELECT recording, frame_id, earlier, abs(round(min(dist), 6)) AS dist FROM sd GROUP BY ALL)"""
 
 
 def context_pairs(spark: SparkSession, sf: str) -> DataFrame:

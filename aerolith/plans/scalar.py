@@ -141,7 +141,7 @@ def gps() -> list:
 
 @book.query(
     "fn_p18_gps_to_ned",
-    f"WITH {_HOME} SELECT file_id, round(radians(gps.lat - h.lat) * 6378137.0, 4) AS n, round(radians(gps.lon - h.lon) * 6378137.0 * cos(radians(h.lat)), 4) AS e, round(-(gps.alt - h.alt), 4) AS d FROM lidar_frame JOIN h USING (recording) WHERE gps IS NOT NULL",
+    f"WITH {_HOME} SELECT file_id, round(radians(gps.lat - h.lat) * 6378137.0, 4) AS n, round(radians(gps.lon - h.lon) * 6378137.0 * cos(radians(h.lat)), 4) AS e, CASE WHEN abs(h.alt - gps.alt) < 0.00005 THEN 0 ELSE round(h.alt - gps.alt, 4) END AS d FROM lidar_frame JOIN h USING (recording) WHERE gps IS NOT NULL",
 )
 def gps_to_ned(spark: SparkSession, sf: str) -> DataFrame:
     """Position relative to the first fix of the recording."""
@@ -150,7 +150,7 @@ def gps_to_ned(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query(
     "fn_p19_latlon_to_enu",
-    f"WITH {_HOME} SELECT file_id, round(radians(gps.lon - h.lon) * cos(radians((gps.lat + h.lat) / 2)) * 6378137.0, 4) AS e, round(radians(gps.lat - h.lat) * 6378137.0, 4) AS n, round(gps.alt - h.alt, 4) AS u FROM lidar_frame JOIN h USING (recording) WHERE gps IS NOT NULL",
+    f"WITH {_HOME} SELECT file_id, round(radians(gps.lon - h.lon) * cos(radians((gps.lat + h.lat) / 2)) * 6378137.0, 4) AS e, round(radians(gps.lat - h.lat) * 6378137.0, 4) AS n, CASE WHEN abs(gps.alt - h.alt) < 0.00005 THEN 0 ELSE round(gps.alt - h.alt, 4) END AS u FROM lidar_frame JOIN h USING (recording) WHERE gps IS NOT NULL",
 )
 def latlon_to_enu(spark: SparkSession, sf: str) -> DataFrame:
     return _with_home(spark, sf).select("file_id", *G.latlon_to_enu(*gps()).named("e", "n", "u", 4))
