@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from aerolith.runtime import HOT_SHARE, salted_join, written
 
+#: So many candidate ids (of 24 bytes) may be broadcast.
+FEW = 200_000
+
 # Signs that have the shape of a basic Latin letter, by that letter.
 SAME_SHAPE = {
     "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СᏟⅭϹꓚ", "D": "ⅮᎠꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻꓧ", "I": "ΙІӀⅠꓲ", "J": "ЈᎫꓙͿ",
@@ -76,8 +79,8 @@ def lookalikes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
     empty table gives two empty tables.
 
     Documents are reduced to one row per raw text by a partial aggregate before anything is grouped
-    by look, so copies that are a third of all rows weigh no more than one text, and a whole text is
-    shuffled only if another text has its collation hash.
+    by look, so copies that are a third of all rows weigh no more than one text, and only texts that
+    share their collation hash with another are grouped whole.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -88,9 +91,13 @@ def lookalikes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
     crowded = raws.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     wanted = raws.join(crowded, "hash", "left_semi").select("first_id", "raw")
 
-    # Whole texts of the candidates only, one document per raw text, grouped under the collation.
+    # Whole texts of the candidates only, one document per raw text, grouped under the collation. While the
+    # candidates are few, which is checked, their ids go to the texts; else the texts are shuffled by id once.
+    wanted = written(wanted, "look-candidates")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
     texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text"))
-    cand = wanted.join(texts, "first_id").where(F.unhex(F.md5("text")) == F.col("raw")).dropDuplicates(["raw"])
+    cand = texts.join(wanted, "first_id").where(F.unhex(F.md5("text")) == F.col("raw")).dropDuplicates(["raw"])
     cand = cand.select("first_id", "raw", mapped(F.col("text")).alias("look"), F.length(F.regexp_replace("text", r"[\x00-\x7F]+", "")).alias("odd"))
     classes = spark.sql(
         """SELECT min(first_id) AS class_id, min_by(first_id, struct(odd, first_id)) AS canonical_id, collect_set(raw) AS raws
