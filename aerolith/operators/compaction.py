@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from aerolith.runtime import HOT_SHARE, path_handle, salted_join
 
 TARGET_BYTES = 256 * 1024 * 1024
+#: So many copies (an id and a print of 32 bytes each) may be broadcast.
+FEW = 200_000
 
 
 class ReconcileError(RuntimeError):
@@ -82,8 +84,9 @@ def compact(
 
     Two rows are the same record if all ``record`` columns are exactly equal; null equals null,
     null arrays differ from empty ones, 0.0 equals -0.0 and NaN equals NaN. The row with the
-    smallest ``file_id`` is kept, whole, with every other column it has. Rows with null in any
-    column are ordinary rows; a null ``file_id`` counts as larger than all others. ``size`` names
+    smallest ``file_id`` is kept, whole, with every other column it has; of rows written again under
+    one id one is kept. Rows with null in any column are ordinary rows; a null ``file_id`` counts as
+    larger than all others. ``size`` names
     the bytes of a row; null or negative counts as the mean, and without it rows count as 1 KiB.
     An empty source gives one empty file. Other columns may have any names.
 
@@ -100,12 +103,23 @@ def compact(
     n_rows = ids.count()
     hot = [r[0] for r in kept.where(F.col("__n") * HOT_SHARE > F.lit(n_rows)).select("__fp").collect()] if n_rows > 100_000 else []
     members = salted_join(ids, kept.drop("__n"), "__fp", F.col("file_id"), hot)
+    members.select("file_id", "kept_id", "__fp").write.parquet(f"{staging}/_members")
+    members = spark.read.parquet(f"{staging}/_members")
     members.select("file_id", "kept_id").write.parquet(f"{staging}/membership")
-    members = spark.read.parquet(f"{staging}/membership")
 
-    own = f"__kept_{uuid.uuid4().hex}"
-    firsts = members.where(F.col("file_id").eqNullSafe(F.col("kept_id"))).select(F.col("file_id").alias(own)).distinct()
-    records = source.join(firsts, F.col(file_id).eqNullSafe(F.col(own)), "left_semi")
+    # Mostly few rows are copies: then these are taken out by a broadcast of a checked size, and the records
+    # meet only the exchange that sorts them. Rows are told apart by id, and where ids repeat by their print too.
+    tag = uuid.uuid4().hex
+    fp, rid = f"__fp_{tag}", f"__id_{tag}"
+    unique = members.agg(F.count_distinct("file_id")).first()[0] == n_rows
+    copies = members.where(~F.col("file_id").eqNullSafe(F.col("kept_id"))).select(F.col("__fp").alias(f"{fp}_r"), F.col("file_id").alias(rid))
+    n_copies, n_records = copies.count(), members.select("__fp").distinct().count()
+    some = F.broadcast(copies) if n_copies <= FEW else copies
+    if unique:
+        records = source.join(some.drop(f"{fp}_r"), F.col(file_id) == F.col(rid), "left_anti")
+    else:
+        same = (F.col(fp) == F.col(f"{fp}_r")) & F.col(file_id).eqNullSafe(F.col(rid))
+        records = source.withColumn(fp, fingerprint(source, record)).join(some, same, "left_anti").dropDuplicates([fp]).drop(fp)
     if size:
         w = records.agg(F.sum(F.when(F.col(size) >= 0, F.col(size))), F.count(F.when(F.col(size) >= 0, 1)), F.count(F.lit(1))).first()
         total = (w[0] or 0) / max(1, w[1]) * w[2]
@@ -116,11 +130,13 @@ def compact(
     spread.sortWithinPartitions(*cluster_by).write.parquet(f"{staging}/records")
 
     back = spark.read.parquet(f"{staging}/records")
-    stored = back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.col(file_id).cast("string"), F.lit("")))).first()
-    held = members.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("kept_id").cast("string"), F.lit("")))).first()
-    if not (stored[0] == stored[1] == held[1] and held[0] == n_rows):
-        raise ReconcileError(f"{n_rows} rows, {held[0]} assigned to {held[1]} records, {stored[0]} written of {stored[1]} ids")
-    fs, prints = path_handle(spark, f"{staging}/_prints")
-    fs.delete(prints, True)
+    told = F.col(file_id) if unique else fingerprint(back, record)
+    stored = back.select(told.alias("one")).agg(F.count(F.lit(1)), F.count_distinct("one")).first()
+    held = members.count()
+    if not (stored[0] == stored[1] == n_records and held == n_rows):
+        raise ReconcileError(f"{n_rows} rows, {held} assigned to {n_records} records, {stored[0]} written, {stored[1]} different")
+    for part in ("_prints", "_members"):
+        fs, p = path_handle(spark, f"{staging}/{part}")
+        fs.delete(p, True)
     swap_in(spark, staging, live)
     return Compacted(live, spark.read.parquet(f"{live}/records"), spark.read.parquet(f"{live}/membership"), n_files)

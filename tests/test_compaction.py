@@ -44,14 +44,36 @@ def test_files_by_size_are_sorted_and_swapped(spark, tmp_path):
     assert again.records.count() == 10 and sorted(os.listdir(tmp_path)) == ["live"]
 
 
-def test_failed_reconciliation_leaves_the_live_folder(spark, tmp_path):
+def test_failed_reconciliation_leaves_the_live_folder(spark, tmp_path, monkeypatch):
     data = [(i, "r", i, None, None, 1, "x") for i in range(5)]
     run(spark, data, tmp_path)
+    whole = compaction.fingerprint
+    calls = []
+
+    def broken(df, columns):  # the last of three calls looks at the written files
+        calls.append(1)
+        return whole(df, columns) if len(calls) < 3 else F.lit("same")
+
+    monkeypatch.setattr(compaction, "fingerprint", broken)
     with pytest.raises(ReconcileError):
-        run(spark, [(1, "r", 1, None, None, 1, "x"), (1, "r", 2, None, None, 1, "x")], tmp_path)  # one id, two records
+        run(spark, [*data[:3], data[0]], tmp_path)
     assert spark.read.parquet(f"file://{tmp_path}/live/records").count() == 5
 
 
+def test_rows_written_again_and_shared_ids(spark, tmp_path):
+    a, b, null = (1, "r", 1, None, None, 1, "x"), (1, "r", 2, None, None, 1, "x"), (None, "r", 1, None, None, 1, "x")
+    done = run(spark, [a, a, b, null, null, (2, "r", 9, None, None, 1, "x")], tmp_path)
+    assert sorted((r["file_id"], r["frame_id"]) for r in done.records.collect()) == [(1, 1), (1, 2), (2, 9)]
+    assert done.membership.count() == 6
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_many_copies_are_not_broadcast(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(compaction, "FEW", few)
+    done = run(spark, [(i, "r", i // 3, None, None, 1, "x") for i in range(30)], tmp_path)
+    assert sorted(r["file_id"] for r in done.records.collect()) == list(range(0, 30, 3))
+
+
 def test_empty_and_clashing_names(spark, tmp_path):
     done = run(spark, [], tmp_path)
     assert done.records.count() == 0 and done.membership.count() == 0
