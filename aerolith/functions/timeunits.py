@@ -1,4 +1,4 @@
-"""Timestamps of unknown unit, and frames of reference of clocks."""
+"""Timestamps of unknown unit, and which readings are usable."""
 
 from __future__ import annotations
 
