@@ -9,6 +9,7 @@ which is joined back to its documents.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,19 @@ def mapped(text: Column) -> Column:
     return F.when(text.isNotNull(), look)
 
 
+def _collation_key(text: Column) -> Column:
+    """The sort key of ``text`` under UNICODE, equal exactly for equal texts; no SQL function gives it, and hash functions ignore the collation."""
+    jvm = SparkContext._active_spark_context._jvm
+    expr = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return Column(expr.column(jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(expr.expression(F.collate(text, "UNICODE")._jc))))
+
+
+def _visible(look: Column) -> Column:
+    """Does more than blanks and ignorable signs stand in ``look``; a visible ASCII sign answers at once."""
+    bare = F.collate(F.regexp_replace(look, r"\s+", ""), "UNICODE")
+    return F.when(look.rlike("[!-~]"), True).otherwise(bare != F.collate(F.lit(""), "UNICODE"))
+
+
 def lookalikes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(documents, classes) of the texts that look like another text without being the same characters.
 
@@ -74,7 +88,7 @@ def lookalikes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
     a class has two at least. ``class_id`` is the smallest doc_id of the class and ``canonical_id``
     its canonical member: of the texts with the fewest signs outside ASCII the smallest doc_id.
 
-    Null, empty and blank texts (also of signs without width only) and rows without id are left
+    Null, empty and blank texts (also of signs without width or ignorable signs only) and rows without id are left
     out. Exact copies share a raw print and count once in a class. Other columns are not read. An
     empty table gives two empty tables.
 
@@ -84,8 +98,8 @@ def lookalikes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("look", mapped(F.col("text"))).where(F.col("look").rlike(r"\S"))
-    prints = rows.select("doc_id", F.unhex(F.md5("text")).alias("raw"), F.xxhash64(F.collate("look", "UNICODE")).alias("hash"))
+    rows = rows.withColumn("look", mapped(F.col("text"))).where(_visible(F.col("look")))
+    prints = rows.select("doc_id", F.unhex(F.md5("text")).alias("raw"), F.xxhash64(_collation_key(F.col("look"))).alias("hash"))
     prints = written(prints, "look-prints")
     raws = prints.groupBy("hash", "raw").agg(F.min("doc_id").alias("first_id"))
     crowded = raws.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")

@@ -60,3 +60,9 @@ def test_map_is_a_function_onto_plain_signs():
     assert sum(map(len, L.SAME_SHAPE.values())) <= 200
     letters = list(itertools.chain(*L.SAME_SHAPE.values()))
     assert len(letters) == len(set(letters))
+
+
+@pytest.mark.parametrize("sign", ["\u0001", "\u007f", "\ufff9", "\U000e0041", "\U000e0100"])
+def test_ignorable_signs_left_to_the_collation(spark, sign):
+    assert sign not in L.shape_map()
+    assert found(spark, [(1, "ab"), (2, f"a{sign}b"), (3, "aB"), (4, sign), (5, f" {sign}{sign}")]) == [(1, 2)]
