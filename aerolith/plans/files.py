@@ -193,9 +193,9 @@ def _csv(d: DataFrame, purpose: str) -> DataFrame:
 
 @book.query("snk_k08_frame_rows", "SELECT run_id, frame, raw_pts, voxel_count FROM frame_timing WHERE frame % 10 = 0")
 def k08(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-frame rows through CSV; only the listed columns are written."""
+    """The row of every frame through CSV; only the listed columns are written."""
     where = shared_dir(spark, "frame-csv")
-    d = table(spark, sf, "frame_timing").where("frame % 10 = 0").select("run_id", "frame", "raw_pts", "voxel_count")
+    d = table(spark, sf, "frame_timing").select("run_id", "frame", "raw_pts", "voxel_count")
     d.write.option("header", True).csv(where)
     return spark.read.schema(d.schema).option("header", True).csv(where)
 
