@@ -173,10 +173,14 @@ _CAS = f"""{_COL}, {_WAY}, cs AS (SELECT ca.cid, g, x, y, z, coalesce(gain, 0) A
 ct AS (SELECT *, CASE WHEN dist < 3 THEN 'too_close' WHEN again THEN 'revisited' WHEN occ THEN 'occupied' WHEN gain <= 0 THEN 'zero_frustum' ELSE 'scored' END AS status FROM cs)"""
 
 
+def waypoints(spark: SparkSession, sf: str) -> DataFrame:
+    """(wid, x, y, z): every different pose, the whole history that a revisit is judged by."""
+    return frames(spark, sf).select(F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")).distinct().withColumn("wid", F.xxhash64("x", "y", "z"))
+
+
 def cascade(spark: SparkSession, sf: str) -> DataFrame:
     c, gain, g = with_gain(spark, sf)
-    way = frames(spark, sf).where("file_id % 20 = 0").select(F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")).distinct().withColumn("wid", F.xxhash64("x", "y", "z"))
-    again = S.within(c, way, 2.5, [], "cid", "wid").select("cid").distinct().withColumn("again", F.lit(True))
+    again = S.within(waypoints(spark, sf), c, 2.5, [], "wid", "cid").select("cid").distinct().withColumn("again", F.lit(True))
     occ = c.withColumns({i: F.floor(a).cast("bigint") for i, a in zip("ijk", "xyz")}).join(g.occupied, ["i", "j", "k"], "left_semi").select("cid", F.lit(True).alias("occ"))
     d = c.join(gain, "cid", "left").join(again, "cid", "left").join(occ, "cid", "left")
     d = d.withColumns({"gain": F.coalesce("gain", F.lit(0)), "dist": F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))})
@@ -212,8 +216,7 @@ def cluster_targets(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid]:
     c = g.clusters().groupBy("lab").agg(F.count(F.lit(1)).alias("size"), *[(F.avg(i) + 0.5).alias(f"m{i}") for i in "ijk"]).where("size >= 2")
     side = [F.greatest(F.lit(-11.5), F.least(F.lit(11.5), F.col(m))).alias(a) for m, a in (("mi", "x"), ("mj", "y"))]
     c = c.select("lab", "size", *side, F.greatest(F.lit(-8.0), F.least(F.lit(5.5), F.col("mk") - 2)).alias("z"), F.col("mk").alias("zf"))
-    way = frames(spark, sf).where("file_id % 20 = 0").select(F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")).distinct().withColumn("wid", F.xxhash64("x", "y", "z"))
-    again = S.within(c, way, 2.5, [], "lab", "wid").select("lab").distinct().withColumn("again", F.lit(True))
+    again = S.within(waypoints(spark, sf), c, 2.5, [], "wid", "lab").select("lab").distinct().withColumn("again", F.lit(True))
     occ = c.withColumns({i: F.floor(a).cast("bigint") for i, a in zip("ijk", "xyz")}).join(g.occupied, ["i", "j", "k"], "left_semi").select("lab", F.lit(True).alias("occ"))
     d = c.join(again, "lab", "left").join(occ, "lab", "left").withColumn("dist", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
     reason = F.when(F.coalesce("occ", F.lit(False)), "occupied").when(F.coalesce("again", F.lit(False)), "revisited").when(F.greatest("dist", F.lit(0.01)) < 3, "too_close").otherwise("kept")

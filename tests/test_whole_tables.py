@@ -1,6 +1,7 @@
 """Queries that must take every row, where a filter by a number's remainder once left most of them out."""
 
 from aerolith import plans
+from aerolith.plans import planner
 from conftest import rows
 
 Q, S = plans.registered()
@@ -9,3 +10,12 @@ Q, S = plans.registered()
 def test_every_frame_has_a_timing_row(spark, sf, duck):
     want = duck.sql("SELECT run_id, frame, raw_pts, voxel_count FROM frame_timing").df()
     assert rows(Q["snk_k08_frame_rows"](spark, sf).toPandas()) == rows(want)
+
+
+def test_revisits_look_at_every_pose(spark, sf, monkeypatch):
+    """Poses all over the grid, none with a file_id that 20 divides: whatever is not rejected before is revisited."""
+    xs = [-12.0 + 2.5 * n for n in range(11)]
+    poses = spark.createDataFrame([(1, x, y, z) for x in xs for y in xs for z in xs], "file_id long, px double, py double, pz double")
+    monkeypatch.setattr(planner, "frames", lambda *_: poses)
+    assert {r.status for r in planner.cascade(spark, sf).collect() if r.dist >= 3} == {"revisited"}
+    assert {r.reason for r in planner.cluster_targets(spark, sf)[0].collect()} - {"occupied"} == {"revisited"}
