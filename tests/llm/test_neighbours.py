@@ -83,3 +83,17 @@ def test_recall_on_maps(spark, table):
     want = brute([(r["map_id"], r["v"]) for r in vec], 4)
     assert set(got) == set(want)
     assert sum(len(got[m] & {i for _, i in want[m]}) for m in want) / (4 * len(want)) >= 0.9
+
+
+def test_thin_regions_beside_a_dense_cluster(spark):
+    """Nine in ten vectors in one cluster: the others find their neighbours too."""
+    rng = np.random.default_rng(7)
+    dense = rng.normal(0, 1, (2700, 20))
+    thin = rng.normal(0, 300, (300, 20))
+    data = list(enumerate(np.concatenate([dense, thin]).tolist()))
+    want = brute(data, 4)
+    got = run(spark, data, 20, 4, load=60)
+    assert all(len(got[i]) == 4 for i, _ in data)
+    for part in (range(2700), range(2700, 3000)):
+        hit = sum(len({i for _, i in got[m]} & {i for _, i in want[m]}) for m in part)
+        assert hit / (4 * len(part)) >= 0.9
