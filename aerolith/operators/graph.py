@@ -1,13 +1,13 @@
-"""Reachability and connected components over grid cells.
+"""Reachability and connected components over grid cells, in groups of cells that have nothing to do with each other.
 
-Up to SMALL cells, a size that is checked, one task does the search; beyond it, rounds of joins do,
-with the state of each round written to the shared folder so that lineage stays short.
+Groups of up to SMALL cells, a size that is checked, are searched by one task each; with a larger
+one, rounds of joins do it, with the state of each round written to the shared folder so that
+lineage stays short.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,24 +21,41 @@ FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 IJK = ["i", "j", "k"]
 
 
-def _small(cells: DataFrame, limit: int) -> bool:
-    return cells.select(F.lit(1)).limit(limit + 1).count() <= limit
+def _small(cells: DataFrame, limit: int, group: list[str]) -> bool:
+    if not group:
+        return cells.select(F.lit(1)).limit(limit + 1).count() <= limit
+    return (cells.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= limit
 
 
-def reachable(cells: DataFrame, start: tuple[int, int, int], steps: list[tuple[int, int, int]] = FACES, small: int = SMALL) -> DataFrame:
-    """(i, j, k, depth): the cells that steps lead to from ``start``, with the number of steps.
+def _fields(cells: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{n}` {cells.schema[n].dataType.simpleString()}" for n in names)
 
-    ``start`` itself must be one of ``cells``, else nothing is reached.
+
+def _cells(cells: DataFrame, group: list[str], purpose: str) -> DataFrame:
+    return written(cells.select(*group, *[F.col(c).cast("bigint").alias(c) for c in IJK]).dropna().distinct(), purpose)
+
+
+def reachable(cells: DataFrame, start: tuple[int, int, int] | DataFrame, steps: list[tuple[int, int, int]] = FACES, small: int = SMALL, group: list[str] | None = None) -> DataFrame:
+    """(*group, i, j, k, depth): the cells that steps lead to from ``start``, with the number of steps.
+
+    ``start`` is one cell, or with groups a table (*group, i, j, k) of one cell for each group. It must
+    itself be one of ``cells``, else nothing of its group is reached. Cells with a null are left out.
     """
-    cells = written(cells.select(*[F.col(c).cast("bigint").alias(c) for c in IJK]).dropna().distinct(), "reach-cells")
-    if _small(cells, small):
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            left = {c for b in batches for c in zip(b["i"].tolist(), b["j"].tolist(), b["k"].tolist())}
-            out, queue = [], deque()
-            if start in left:
-                left.discard(start)
-                queue.append((*start, 0))
+    group = group or []
+    key = [*group, *IJK]
+    cells = _cells(cells, group, "reach-cells")
+    if isinstance(start, tuple):
+        begin = cells.where(" and ".join(f"{c} = {v}" for c, v in zip(IJK, start)))
+    else:
+        begin = cells.join(start.select(*group, *[F.col(c).cast("bigint").alias(c) for c in IJK]).distinct(), key, "left_semi")
+    if _small(cells, small, group):
+        marked = cells.join(begin.withColumn("__start", F.lit(True)), key, "left").withColumn("__start", F.coalesce("__start", F.lit(False)))
+
+        def search(p: pd.DataFrame) -> pd.DataFrame:
+            at = list(zip(p["i"].tolist(), p["j"].tolist(), p["k"].tolist()))
+            queue = deque((*c, 0) for c, s in zip(at, p["__start"].tolist()) if s)
+            left = set(at).difference(c[:3] for c in queue)
+            out = []
             while queue:
                 i, j, k, d = queue.popleft()
                 out.append((i, j, k, d))
@@ -47,15 +64,17 @@ def reachable(cells: DataFrame, start: tuple[int, int, int], steps: list[tuple[i
                     if n in left:
                         left.discard(n)
                         queue.append((*n, d + 1))
-            yield pd.DataFrame(out, columns=[*IJK, "depth"]).astype("int64")
+            got = pd.DataFrame(out, columns=[*IJK, "depth"]).astype("int64")
+            for n, g in enumerate(group):
+                got.insert(n, g, p[g].iat[0])
+            return got
 
-        return cells.coalesce(1).mapInPandas(search, "i bigint, j bigint, k bigint, depth bigint")
-    i, j, k = start
-    edge = written(cells.where(f"i = {i} and j = {j} and k = {k}").withColumn("depth", F.lit(0).cast("bigint")), "reach-edge")
+        return marked.groupBy(*group).applyInPandas(search, f"{_fields(cells, key)}, depth bigint")
+    edge = written(begin.withColumn("depth", F.lit(0).cast("bigint")), "reach-edge")
     seen, depth = edge, 0
     while not edge.isEmpty():
         depth += 1
-        new = shifted(edge, steps).join(cells, IJK, "left_semi").join(seen.select(*IJK), IJK, "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
+        new = shifted(edge, steps, group=group).join(cells, key, "left_semi").join(seen.select(*key), key, "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
         edge = written(new, "reach-edge")
         seen = seen.unionByName(edge)
         if depth % 16 == 0:
@@ -63,14 +82,16 @@ def reachable(cells: DataFrame, start: tuple[int, int, int], steps: list[tuple[i
     return seen
 
 
-def components(cells: DataFrame, steps: list[tuple[int, int, int]] = FACES, small: int = SMALL) -> DataFrame:
-    """(i, j, k, cluster): cells that steps connect share the smallest (i, j, k) struct of their cluster. ``steps`` go both ways."""
-    cells = written(cells.select(*[F.col(c).cast("bigint").alias(c) for c in IJK]).dropna().distinct(), "cluster-cells")
+def components(cells: DataFrame, steps: list[tuple[int, int, int]] = FACES, small: int = SMALL, group: list[str] | None = None) -> DataFrame:
+    """(*group, i, j, k, cluster): cells that steps connect share the smallest (i, j, k) struct of their cluster. ``steps`` go both ways."""
+    group = group or []
+    key = [*group, *IJK]
+    cells = _cells(cells, group, "cluster-cells")
     kind = "struct<i: bigint, j: bigint, k: bigint>"
-    if _small(cells, small):
+    if _small(cells, small, group):
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            left = {c for b in batches for c in zip(b["i"].tolist(), b["j"].tolist(), b["k"].tolist())}
+        def search(p: pd.DataFrame) -> pd.DataFrame:
+            left = set(zip(p["i"].tolist(), p["j"].tolist(), p["k"].tolist()))
             out = []
             for first in sorted(left):
                 if first not in left:
@@ -85,19 +106,22 @@ def components(cells: DataFrame, steps: list[tuple[int, int, int]] = FACES, smal
                         if n in left:
                             left.discard(n)
                             queue.append(n)
-            yield pd.DataFrame(out, columns=[*IJK, "ci", "cj", "ck"]).astype("int64")
+            got = pd.DataFrame(out, columns=[*IJK, "ci", "cj", "ck"]).astype("int64")
+            for n, g in enumerate(group):
+                got.insert(n, g, p[g].iat[0])
+            return got
 
-        done = cells.coalesce(1).mapInPandas(search, "i bigint, j bigint, k bigint, ci bigint, cj bigint, ck bigint")
-        return done.select(*IJK, F.struct(F.col("ci").alias("i"), F.col("cj").alias("j"), F.col("ck").alias("k")).alias("cluster"))
+        done = cells.groupBy(*group).applyInPandas(search, f"{_fields(cells, key)}, ci bigint, cj bigint, ck bigint")
+        return done.select(*key, F.struct(F.col("ci").alias("i"), F.col("cj").alias("j"), F.col("ck").alias("k")).alias("cluster"))
     moves = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(IJK, s)]) for s in [(0, 0, 0), *steps]])
     labels = written(cells.withColumn("cluster", F.struct(*IJK).cast(kind)), "cluster-labels")
     while True:
         # Spread each label one step, take the least, then jump to the label of the label.
-        told = labels.withColumn("__m", F.explode(moves)).select(*[(F.col(c) + F.col(f"__m.{c}")).alias(c) for c in IJK], "cluster")
-        least = told.join(cells, IJK, "left_semi").groupBy(*IJK).agg(F.min("cluster").alias("cluster"))
+        told = labels.withColumn("__m", F.explode(moves)).select(*group, *[(F.col(c) + F.col(f"__m.{c}")).alias(c) for c in IJK], "cluster")
+        least = told.join(cells, key, "left_semi").groupBy(*key).agg(F.min("cluster").alias("cluster"))
         least = written(least, "cluster-least")
-        own = least.select(F.struct(*IJK).cast(kind).alias("cluster"), F.col("cluster").alias("__up"))
-        new = written(least.join(own, "cluster", "left").select(*IJK, F.least("cluster", F.coalesce("__up", "cluster")).alias("cluster")), "cluster-labels")
-        if new.join(labels.withColumnRenamed("cluster", "__old"), IJK).where(F.col("cluster") != F.col("__old")).isEmpty():
+        own = least.select(*group, F.struct(*IJK).cast(kind).alias("cluster"), F.col("cluster").alias("__up"))
+        new = written(least.join(own, [*group, "cluster"], "left").select(*key, F.least("cluster", F.coalesce("__up", "cluster")).alias("cluster")), "cluster-labels")
+        if new.join(labels.withColumnRenamed("cluster", "__old"), key).where(F.col("cluster") != F.col("__old")).isEmpty():
             return new
         labels = new

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from aerolith.operators.voxel import cell, clipped_cell
 
 
-def raycast(points: DataFrame, scan: list[str], low: tuple[float, float, float], shape: tuple[int, int, int], res: float) -> DataFrame:
+def raycast(points: DataFrame, scan: list[str], low: tuple[float, float, float] | None, shape: tuple[int, int, int] | None, res: float) -> DataFrame:
     """(*scan, ix, iy, iz): the grid cells that the rays of each scan pass, clipped to the grid.
 
+    Without ``low`` and ``shape`` the grid has no end, and cells are numbered from the zero of space.
+
     ``points`` has x, y, z and origin columns ox, oy, oz. Endpoints are first reduced to one per
     cell; all rays of a scan share the step count of its longest ray, two steps a cell at least.
     """
@@ -21,51 +23,68 @@ def raycast(points: DataFrame, scan: list[str], low: tuple[float, float, float],
     steps = ends.groupBy(*scan).agg(F.greatest(F.lit(2), F.ceil(F.max(length) / (res / 2)) + 1).cast("int").alias("__n"))
     rays = ends.join(steps, scan).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     t = F.col("__s") / (F.col("__n") - 1)
-    at = [clipped_cell(F.col(f"o{a}") + (F.col(a) - F.col(f"o{a}")) * t, lo, res, n).alias(f"i{a}") for a, lo, n in zip("xyz", low, shape)]
+    way = {a: F.col(f"o{a}") + (F.col(a) - F.col(f"o{a}")) * t for a in "xyz"}
+    if low is None:
+        at = [cell(c, res).alias(f"i{a}") for a, c in way.items()]
+    else:
+        at = [clipped_cell(way[a], lo, res, n).alias(f"i{a}") for a, lo, n in zip("xyz", low, shape)]
     return rays.select(*scan, *at).distinct()
 
 
-def frustum_pairs(candidates: DataFrame, unknown: DataFrame, reach: float, half_angle: float) -> DataFrame:
-    """(cid, x, y, z, i, j, k): unknown cells of unit size below each candidate, in its cone and range.
+def frustum_pairs(candidates: DataFrame, unknown: DataFrame, reach: float, half_angle: float, group: list[str] | None = None) -> DataFrame:
+    """(*group, cid, x, y, z, i, j, k): unknown cells of unit size below each candidate of their group, in its cone and range.
 
     Both sides are cut into columns of ``reach``, so only neighbours meet.
     """
+    group = group or []
     size = float(math.ceil(reach))
-    u = unknown.select("i", "j", "k", F.floor((F.col("i") + 0.5) / size).alias("bx"), F.floor((F.col("j") + 0.5) / size).alias("by_"))
+    u = unknown.select(*group, "i", "j", "k", F.floor((F.col("i") + 0.5) / size).alias("bx"), F.floor((F.col("j") + 0.5) / size).alias("by_"))
     near = F.array(*[F.lit(d).cast("bigint") for d in (-1, 0, 1)])
-    c = candidates.select("cid", "x", "y", "z", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    c = candidates.select(*group, "cid", "x", "y", "z", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     c = c.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"bx": F.col("cx") + F.col("dx"), "by_": F.col("cy") + F.col("dy")})
     d = {"__x": F.col("i") + 0.5 - F.col("x"), "__y": F.col("j") + 0.5 - F.col("y"), "__z": F.col("k") + 0.5 - F.col("z")}
     flat = F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y")
     cone = F.col("__z") * math.tan(math.radians(half_angle))
-    p = c.join(u, ["bx", "by_"]).withColumns(d).where((F.col("__z") > 0) & (flat <= cone * cone) & (flat + F.col("__z") * F.col("__z") <= reach * reach))
-    return p.select("cid", "x", "y", "z", "i", "j", "k")
+    p = c.join(u, [*group, "bx", "by_"]).withColumns(d).where((F.col("__z") > 0) & (flat <= cone * cone) & (flat + F.col("__z") * F.col("__z") <= reach * reach))
+    return p.select(*group, "cid", "x", "y", "z", "i", "j", "k")
+
 
+def columnar_gain(pairs: DataFrame, occupied: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(*group, cid, gain): pairs whose column holds no occupied cell from just below the candidate down to the cell.
 
-def columnar_gain(pairs: DataFrame, occupied: DataFrame, low_k: int) -> DataFrame:
-    """(cid, gain): pairs whose column holds no occupied cell from just below the candidate down to the cell."""
-    start = F.greatest(F.floor(F.col("z")) + 1, F.lit(low_k))
-    p = pairs.withColumn("__from", start).where(F.col("k") >= F.col("__from"))
-    o = occupied.select(F.col("i").alias("oi"), F.col("j").alias("oj"), F.col("k").alias("ok"))
-    clear = p.join(o, (F.col("i") == F.col("oi")) & (F.col("j") == F.col("oj")) & (F.col("ok") >= F.col("__from")) & (F.col("ok") <= F.col("k")), "left_anti")
-    return clear.groupBy("cid").agg(F.count(F.lit(1)).alias("gain"))
+    The first occupied cell below decides, so each candidate's columns meet theirs by an equi-join.
+    """
+    group = group or []
+    key = [*group, "cid"]
+    p = pairs.withColumn("__from", F.floor(F.col("z")) + 1).where(F.col("k") >= F.col("__from"))
+    o = occupied.select(*group, "i", "j", F.col("k").alias("__ok"))
+    columns = p.select(*key, "i", "j", "__from").distinct()
+    first = columns.join(o, [*group, "i", "j"]).where(F.col("__ok") >= F.col("__from")).groupBy(*key, "i", "j").agg(F.min("__ok").alias("__first"))
+    clear = p.join(first, [*key, "i", "j"], "left").where(F.col("__first").isNull() | (F.col("k") < F.col("__first")))
+    return clear.groupBy(*key).agg(F.count(F.lit(1)).alias("gain"))
 
 
-def ray_cells(pairs: DataFrame, low: tuple[int, int, int]) -> DataFrame:
-    """Cells between candidate and target, both excluded, by integer steps of the longest axis; grid coordinates truncate."""
-    o = {f"o{i}": F.col(a) - lo for a, i, lo in zip("xyz", "ijk", low)}
-    p = pairs.withColumns(o).withColumns({f"d{i}": (F.col(i) - lo) - F.col(f"o{i}") for i, lo in zip("ijk", low)})
+def ray_cells(pairs: DataFrame, low: tuple[int, int, int] | None, group: list[str] | None = None) -> DataFrame:
+    """Cells between candidate and target, both excluded, by integer steps of the longest axis.
+
+    Grid coordinates count from ``low`` and truncate; without it they count from zero and round down.
+    """
+    zero = low or (0, 0, 0)
+    o = {f"o{i}": F.col(a) - lo for a, i, lo in zip("xyz", "ijk", zero)}
+    p = pairs.withColumns(o).withColumns({f"d{i}": (F.col(i) - lo) - F.col(f"o{i}") for i, lo in zip("ijk", zero)})
     n = F.greatest(*[F.abs(F.bround(F.col(f"d{i}"), 0)) for i in "ijk"], F.lit(1.0)).cast("int")
     p = p.withColumn("__n", n).where("__n > 1").withColumn("__s", F.explode(F.sequence(F.lit(1), F.col("__n") - 1)))
-    at = [((F.col(f"o{i}") + F.col(f"d{i}") * (1.0 / F.col("__n")) * F.col("__s")).cast("bigint") + lo).alias(f"r{i}") for i, lo in zip("ijk", low)]
-    return p.select("cid", "i", "j", "k", *at)
+    way = {i: F.col(f"o{i}") + F.col(f"d{i}") * (1.0 / F.col("__n")) * F.col("__s") for i in "ijk"}
+    at = [((way[i].cast("bigint") if low else F.floor(way[i])) + lo).alias(f"r{i}") for i, lo in zip("ijk", zero)]
+    return p.select(*(group or []), "cid", "i", "j", "k", *at)
 
 
-def ray_gain(pairs: DataFrame, occupied: DataFrame, low: tuple[int, int, int]) -> DataFrame:
-    """(cid, gain): pairs whose ray meets no occupied cell on the way."""
-    o = occupied.select(*[F.col(i).alias(f"r{i}") for i in "ijk"])
-    blocked = ray_cells(pairs, low).join(o, ["ri", "rj", "rk"], "left_semi").select("cid", "i", "j", "k").distinct()
-    return pairs.join(blocked, ["cid", "i", "j", "k"], "left_anti").groupBy("cid").agg(F.count(F.lit(1)).alias("gain"))
+def ray_gain(pairs: DataFrame, occupied: DataFrame, low: tuple[int, int, int] | None, group: list[str] | None = None) -> DataFrame:
+    """(*group, cid, gain): pairs whose ray meets no occupied cell on the way."""
+    group = group or []
+    o = occupied.select(*group, *[F.col(i).alias(f"r{i}") for i in "ijk"])
+    blocked = ray_cells(pairs, low, group).join(o, [*group, "ri", "rj", "rk"], "left_semi").select(*group, "cid", "i", "j", "k").distinct()
+    return pairs.join(blocked, [*group, "cid", "i", "j", "k"], "left_anti").groupBy(*group, "cid").agg(F.count(F.lit(1)).alias("gain"))
 
 
 def score(gain: Column, dist: Column, exponent: float) -> Column:

@@ -31,14 +31,39 @@ def squared(a: str, b: str) -> Column:
     return sum(((F.col(f"{a}_{i}") - F.col(f"{b}_{i}")) * (F.col(f"{a}_{i}") - F.col(f"{b}_{i}")) for i in XYZ[1:]), (F.col(f"{a}_x") - F.col(f"{b}_x")) * (F.col(f"{a}_x") - F.col(f"{b}_x")))
 
 
+def _corners(df: DataFrame, size: float) -> DataFrame:
+    """Each row once per cell of the 2^3 that surround it most closely, with how far it lies from what they leave out (``margin``)."""
+    moves = F.array(*[F.struct(*[F.lit(d).cast("bigint").alias(f"m{a}") for a, d in zip(XYZ, step)]) for step in product((0, 1), repeat=3)])
+    part = {a: F.col(f"q_{a}") / F.lit(size) - F.floor(F.col(f"q_{a}") / F.lit(size)) for a in XYZ}
+    d = df.withColumns({f"h{a}": F.when(part[a] < 0.5, -1).otherwise(1).cast("bigint") for a in XYZ})
+    d = d.withColumn("margin", F.least(*[F.greatest(p, 1 - p) for p in part.values()]) * size).withColumn("__d", F.explode(moves))
+    at = {f"c{a}": F.floor(F.col(f"q_{a}") / F.lit(size)).cast("bigint") + F.col(f"h{a}") * F.col(f"__d.m{a}") for a in XYZ}
+    return d.withColumns(at).drop("__d", *[f"h{a}" for a in XYZ])
+
+
+def _fitted(targets: DataFrame, group: list[str], cell: float) -> float:
+    """The smallest cell of a ladder around ``cell`` whose occupied cells hold two targets on average: one pass with partial counts."""
+    sizes = [cell * 2.0**m for m in range(-4, 7)]
+    seen = targets.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.struct(*group, *_cells(v)), 0.1).alias(f"d{m}") for m, v in enumerate(sizes)]).first()
+    return next((v for m, v in enumerate(sizes) if seen["n"] >= LOAD * seen[f"d{m}"]), sizes[-1])
+
+
+#: Targets in an occupied cell on average, and in a crowded one.
+LOAD = 2
+CROWDED = 512
+
+
 def nearest(queries: DataFrame, targets: DataFrame, group: list[str], query_id: str, target_id: str, cell: float) -> DataFrame:
     """The nearest target of each query within its group: (*group, query_id, target_id, dist).
 
     Both sides have x, y, z as doubles. Ties go to the smaller target_id. Queries whose group has
     no target have no row, as have rows with a null coordinate, group or id; repeated query rows
-    count once per id. Exact: a neighbour found at cell size c is final if it is no farther than c,
-    for all nearer ones lie in the 27 cells that were searched; the other queries go on at a size
-    that is four times as large. Choose ``cell`` near the usual distance.
+    count once per id.
+
+    Exact: the cells around a query hold all targets up to some margin, and a neighbour within it is
+    final; the other queries go on in cells four times as large. The first size is fitted to the
+    targets' density around ``cell``, the usual distance. Where cells are crowded, as around a
+    place that holds a third of all points, their queries begin in smaller cells, as small as it takes.
     """
     t = targets.select(*group, F.col("x"), F.col("y"), F.col("z"), F.col(target_id).alias("__t")).dropna()
     t = t.groupBy(*group, *XYZ).agg(F.min("__t").alias("__t"))
@@ -47,23 +72,40 @@ def nearest(queries: DataFrame, targets: DataFrame, group: list[str], query_id:
     # Queries at one place ask once.
     places = q.select(*group, *XYZ).distinct().join(t.select(*group).distinct(), group, "left_semi") if group else q.select(*XYZ).distinct()
     t, left = written(t, "nn-targets"), written(places, "nn-places")
-    found: DataFrame | None = None
-    size, width = cell, None
-    spread = t.agg(*[F.max(a) - F.min(a) for a in XYZ]).first()
     reach = left.unionByName(t.select(*group, *XYZ)).agg(*[F.max(F.abs(a)) for a in XYZ]).first()
-    width = max([cell, *[v for v in (*spread, *reach) if v is not None]]) * 4
+    width = max([cell, *[v for v in reach if v is not None]]) * 8
+    key = [*group, *[f"c{a}" for a in XYZ]]
+
+    # The levels, from the fitted size down as long as cells are crowded, and the queries that begin at each.
+    size = _fitted(t, group, cell)
+    begin: list[tuple[float, DataFrame]] = []
+    while len(begin) < 24:
+        full = t.groupBy(*group, *_cells(size)).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWDED)
+        full = written(full.select(*key), "nn-crowded")
+        if full.isEmpty():
+            break
+        mine = left.select("*", *_cells(size))
+        begin.append((size, written(mine.join(full, key, "left_anti").select(*group, *XYZ), "nn-begin")))
+        left = written(mine.join(full, key, "left_semi").select(*group, *XYZ), "nn-begin")
+        size /= 4
+    found: DataFrame | None = None
     while True:
         last = size >= width
         near = t.select(*group, "__t", *[F.col(a).alias(f"t_{a}") for a in XYZ], *_cells(size))
-        ask = _around(left.select(*group, *[F.col(a).alias(f"q_{a}") for a in XYZ], *_cells(size)))
-        hits = ask.join(near, [*group, *[f"c{a}" for a in XYZ]])
-        best = hits.groupBy(*group, *[f"q_{a}" for a in XYZ]).agg(F.min(F.struct(squared("q", "t").alias("d2"), F.col("__t").alias("__t"))).alias("b"))
-        done = best.select(*group, *[F.col(f"q_{a}").alias(a) for a in XYZ], F.col("b.__t").alias("__t"), F.sqrt("b.d2").alias("dist"))
-        done = written(done if last else done.where(F.col("dist") <= size), "nn-level")
+        ask = _corners(left.select(*group, *[F.col(a).alias(f"q_{a}") for a in XYZ]), size)
+        hits = ask.join(near, key)
+        best = hits.groupBy(*group, *[f"q_{a}" for a in XYZ]).agg(F.min(F.struct(squared("q", "t").alias("d2"), F.col("__t").alias("__t"))).alias("b"), F.first("margin").alias("margin"))
+        done = best.select(*group, *[F.col(f"q_{a}").alias(a) for a in XYZ], F.col("b.__t").alias("__t"), F.sqrt("b.d2").alias("dist"), "margin")
+        done = written((done if last else done.where(F.col("dist") <= F.col("margin"))).drop("margin"), "nn-level")
         found = done if found is None else found.unionByName(done)
         if last:
             break
-        left = written(left.join(done, [*group, *XYZ], "left_anti"), "nn-left")
+        left = left.join(done, [*group, *XYZ], "left_anti")
+        if begin:
+            size, more = begin.pop()
+            left = written(left.unionByName(more), "nn-left")
+            continue
+        left = written(left, "nn-left")
         if left.isEmpty():
             break
         size *= 4
@@ -99,7 +141,8 @@ def offsets(radius: int, shape: str = "ball") -> list[tuple[int, int, int]]:
     return [d for d in product(r, repeat=3) if keep(d)]
 
 
-def shifted(cells: DataFrame, steps: list[tuple[int, int, int]], names: tuple[str, str, str] = ("i", "j", "k")) -> DataFrame:
-    """All cells that a step leads to from one of ``cells``, once each; other columns are dropped."""
+def shifted(cells: DataFrame, steps: list[tuple[int, int, int]], names: tuple[str, str, str] = ("i", "j", "k"), group: list[str] | None = None) -> DataFrame:
+    """All cells that a step leads to from one of ``cells`` in its group, once each; other columns are dropped."""
+    keep = group or []
     moves = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(names, s)]) for s in steps])
-    return cells.select(*names).withColumn("__s", F.explode(moves)).select(*[(F.col(n) + F.col(f"__s.{n}")).alias(n) for n in names]).distinct()
+    return cells.select(*keep, *names).withColumn("__s", F.explode(moves)).select(*keep, *[(F.col(n) + F.col(f"__s.{n}")).alias(n) for n in names]).distinct()

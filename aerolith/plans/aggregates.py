@@ -11,9 +11,10 @@ from aerolith.functions.timeunits import TO_NS_SQL, to_ns
 from aerolith.operators import spatial as S
 from aerolith.operators import summaries as A
 from aerolith.operators import voxel as V
-from aerolith.plans.book import FRAMES, MAPS, POINTS, Book, frames, map_points, points, r6
-from aerolith.plans.joins import HALVES, LATTICE, _asof, bracketed, halves, observed, unknown, with_pose
+from aerolith.plans.book import FRAMES, MAPS, POINTS, Book, frames, map_points, points, r6, WORLD, world
+from aerolith.plans.joins import HALVES, _asof, bracketed, halves, with_pose
 from aerolith.plans.joins import _SLERP as SLERP
+from aerolith.plans.lattice import KEY, LATTICE, Lattice, poses
 from aerolith.plans.scalar import _SCANS, scans
 from aerolith.runtime import table
 
@@ -21,10 +22,10 @@ book = Book()
 IJK = "CAST(floor(x / {0}) AS BIGINT) AS i, CAST(floor(y / {0}) AS BIGINT) AS j, CAST(floor(z / {0}) AS BIGINT) AS k"
 
 
-@book.query("agg_a01_new_voxels", f"WITH {POINTS}, f AS (SELECT recording, {IJK.format('2.0')}, min(frame_id) AS frame_id FROM pt GROUP BY recording, i, j, k) SELECT recording, frame_id, count(*) AS n_new FROM f GROUP BY recording, frame_id")
+@book.query("agg_a01_new_voxels", f"WITH {WORLD}, f AS (SELECT recording, {IJK.format('2.0')}, min(frame_id) AS frame_id FROM pt GROUP BY recording, i, j, k) SELECT recording, frame_id, count(*) AS n_new FROM f GROUP BY recording, frame_id")
 def a01(spark: SparkSession, sf: str) -> DataFrame:
     """How many voxels each frame sees for the first time in its recording."""
-    return A.first_seen(points(spark, sf), ["recording"], "frame_id", 2.0).groupBy("recording", F.col("first").alias("frame_id")).agg(F.count(F.lit(1)).alias("n_new"))
+    return A.first_seen(world(spark, sf), ["recording"], "frame_id", 2.0).groupBy("recording", F.col("first").alias("frame_id")).agg(F.count(F.lit(1)).alias("n_new"))
 
 
 @book.query("agg_a01_lineitem_voxels", "WITH f AS (SELECT CAST(floor(l_quantity / 2.5) AS BIGINT) AS i, CAST(floor(l_discount * 100 / 2.5) AS BIGINT) AS j, CAST(floor(l_tax * 100 / 2.5) AS BIGINT) AS k, min(l_orderkey) AS o FROM lineitem GROUP BY ALL) SELECT o AS frame, count(*) AS n_new FROM f GROUP BY o")
@@ -34,9 +35,9 @@ def a01b(spark: SparkSession, sf: str) -> DataFrame:
     return cells.groupBy("frame").agg(F.count(F.lit(1)).alias("n_new"))
 
 
-@book.query("agg_a02_voxel_mean", f"WITH {POINTS} SELECT recording, {IJK.format('4.0')}, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz, count(*) AS n FROM pt GROUP BY recording, i, j, k")
+@book.query("agg_a02_voxel_mean", f"WITH {WORLD} SELECT recording, {IJK.format('4.0')}, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz, count(*) AS n FROM pt GROUP BY recording, i, j, k")
 def a02(spark: SparkSession, sf: str) -> DataFrame:
-    d = A.downsample(points(spark, sf), ["recording"], 4.0)
+    d = A.downsample(world(spark, sf), ["recording"], 4.0)
     return d.select("recording", "i", "j", "k", *[r6(F.col(a)).alias(f"m{a}") for a in "xyz"], "n")
 
 
@@ -242,27 +243,29 @@ def a15(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("step").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@book.query("agg_a16_unknown_columns_blocks", f"WITH {LATTICE} SELECT 'column' AS kind, i AS a, j AS b, CAST(0 AS BIGINT) AS c, count(*) AS n FROM un GROUP BY i, j UNION ALL SELECT 'block', (i + 12) // 4, (j + 12) // 4, (k + 6) // 4, count(*) FROM un GROUP BY ALL")
+@book.query("agg_a16_unknown_columns_blocks", f"WITH {LATTICE} SELECT recording, 'column' AS kind, i AS a, j AS b, CAST(0 AS BIGINT) AS c, count(*) AS n FROM un GROUP BY recording, i, j UNION ALL SELECT recording, 'block', (i - i0) // 4 AS bi, (j - j0) // 4 AS bj, (k - k0) // 4 AS bk, count(*) FROM un JOIN bo USING (recording) WHERE (i - i0) // 4 < (i1 - i0 + 1) // 4 AND (j - j0) // 4 < (j1 - j0 + 1) // 4 AND (k - k0) // 4 < (k1 - k0 + 1) // 4 GROUP BY recording, bi, bj, bk")
 def a16(spark: SparkSession, sf: str) -> DataFrame:
-    """Unknown cells per column and per block of 4^3."""
-    u = unknown(spark, sf)
-    col = u.groupBy(F.col("i").alias("a"), F.col("j").alias("b")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("column").alias("kind"), "a", "b", F.lit(0).cast("bigint").alias("c"), "n")
-    blk = u.groupBy(F.expr("(i + 12) div 4").alias("a"), F.expr("(j + 12) div 4").alias("b"), F.expr("(k + 6) div 4").alias("c")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("block").alias("kind"), "a", "b", "c", "n")
-    return col.unionByName(blk)
+    """Unknown cells per column and per whole block of 4^3 of each recording's grid; the rest beyond the last whole block is trimmed."""
+    lat = Lattice(spark, sf)
+    n = F.count(F.lit(1)).alias("n")
+    col = lat.unknown.groupBy("recording", F.col("i").alias("a"), F.col("j").alias("b")).agg(n).select("recording", F.lit("column").alias("kind"), "a", "b", F.lit(0).cast("bigint").alias("c"), "n")
+    blocks = lat.unknown.join(lat.bounds, "recording").withColumns({b: F.expr(f"({i} - {i}0) div 4") for b, i in zip("abc", "ijk")})
+    whole = " and ".join(f"{b} < ({i}1 - {i}0 + 1) div 4" for b, i in zip("abc", "ijk"))
+    return col.unionByName(blocks.where(whole).groupBy("recording", "a", "b", "c").agg(n).select("recording", F.lit("block").alias("kind"), "a", "b", "c", "n"))
 
 
-@book.query("agg_a17_unknown_in_box", f"WITH {LATTICE}, c AS (SELECT file_id, CAST(floor(px) AS BIGINT) AS ci, CAST(floor(py) AS BIGINT) AS cj, CAST(floor(pz) AS BIGINT) AS ck FROM fr) SELECT file_id, count(*) AS gain FROM c JOIN un ON un.i BETWEEN ci - 2 AND ci + 2 AND un.j BETWEEN cj - 2 AND cj + 2 AND un.k BETWEEN ck - 2 AND ck + 2 GROUP BY file_id")
+@book.query("agg_a17_unknown_in_box", f"WITH {LATTICE} SELECT file_id, count(*) AS gain FROM po0 JOIN un ON un.recording = po0.recording AND un.i BETWEEN po0.i - 2 AND po0.i + 2 AND un.j BETWEEN po0.j - 2 AND po0.j + 2 AND un.k BETWEEN po0.k - 2 AND po0.k + 2 GROUP BY file_id")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
     """Unknown cells in the 5^3 box around each pose: the pose side is spread over its 125 cells, then an equi-join."""
-    c = frames(spark, sf).select("file_id", *[F.floor(f"p{a}").cast("bigint").alias(i) for a, i in zip("xyz", "ijk")])
+    c = poses(spark, sf).select("file_id", *KEY)
     for i in "ijk":
         c = c.withColumn(i, F.explode(F.sequence(F.col(i) - 2, F.col(i) + 2)))
-    return c.join(unknown(spark, sf), ["i", "j", "k"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("gain"))
+    return c.join(Lattice(spark, sf).unknown, KEY).groupBy("file_id").agg(F.count(F.lit(1)).alias("gain"))
 
 
 @book.query("agg_a18_cluster_centroids", f"WITH {POINTS} SELECT recording, {IJK.format('10.0')}, round(avg(x), 10) AS cx, round(avg(y), 10) AS cy, round(avg(z), 10) AS cz, count(*) AS size FROM pt GROUP BY recording, i, j, k HAVING count(*) >= 3")
 def a18(spark: SparkSession, sf: str) -> DataFrame:
-    d = A.downsample(points(spark, sf), ["recording"], 10.0).where("n >= 3")
+    d = A.downsample(world(spark, sf), ["recording"], 10.0).where("n >= 3")
     return d.select("recording", *[F.col(i) for i in "ijk"], *[F.round(a, 10).alias(f"c{a}") for a in "xyz"], F.col("n").alias("size"))
 
 
@@ -277,7 +280,7 @@ def a19(spark: SparkSession, sf: str) -> DataFrame:
 @book.query("agg_a20_pipeline_summary", f"WITH {POINTS}, v AS (SELECT DISTINCT recording, {IJK.format('0.5')} FROM pt), a AS (SELECT recording, count(*) AS n_voxels, 120 * count(*) AS bytes FROM v GROUP BY recording), b AS (SELECT recording, count(*) AS n_points FROM pt GROUP BY recording), c AS (SELECT recording, count(DISTINCT frame_id) AS n_nodes FROM fr GROUP BY recording) SELECT recording, n_points, n_voxels, n_nodes, round(n_voxels / n_points, 6) AS ratio, CAST(bytes AS BIGINT) AS bytes FROM a JOIN b USING (recording) JOIN c USING (recording)")
 def a20(spark: SparkSession, sf: str) -> DataFrame:
     """Points, voxels, graph nodes and the memory estimate of 120 bytes per voxel key."""
-    cells = A.downsample(points(spark, sf), ["recording"], 0.5).groupBy("recording").agg(F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("n_voxels"))
+    cells = A.downsample(world(spark, sf), ["recording"], 0.5).groupBy("recording").agg(F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("n_voxels"))
     nodes = frames(spark, sf).groupBy("recording").agg(F.count_distinct("frame_id").alias("n_nodes"))
     return cells.join(nodes, "recording").select("recording", "n_points", "n_voxels", "n_nodes", r6(F.col("n_voxels") / F.col("n_points")).alias("ratio"), (F.col("n_voxels") * 120).alias("bytes"))
 
@@ -365,17 +368,18 @@ def a26(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("recording").agg(r6(F.sum((G.vec("position") - G.vec("b")).norm())).alias("length"))
 
 
-@book.query("agg_a27_grid_shape", f"WITH {POINTS} SELECT recording, " + ", ".join(f"min({a}) - 2.0::DOUBLE AS lo_{a}, CAST(ceil((max({a}) - min({a}) + 4.0) / 0.5) AS BIGINT) AS n_{a}" for a in "xyz") + " FROM pt GROUP BY recording")
+@book.query("agg_a27_grid_shape", f"WITH {WORLD} SELECT recording, " + ", ".join(f"min({a}) - 2.0::DOUBLE AS lo_{a}, CAST(ceil((max({a}) - min({a}) + 4.0) / 0.5) AS BIGINT) AS n_{a}" for a in "xyz") + " FROM pt GROUP BY recording")
 def a27(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds of a recording padded by 2 m, and the grid of 0.5 m cells over them."""
     cols = [c for a in "xyz" for c in ((F.min(a) - 2.0).alias(f"lo_{a}"), F.ceil((F.max(a) - F.min(a) + 4.0) / 0.5).alias(f"n_{a}"))]
-    return points(spark, sf).groupBy("recording").agg(*cols)
+    return world(spark, sf).groupBy("recording").agg(*cols)
 
 
-@book.query("agg_a28_grid_counts", f"WITH {LATTICE} SELECT count(*) AS observed, CAST(count_if(occ) AS BIGINT) AS occupied, CAST(count_if(NOT occ) AS BIGINT) AS free, 6912 - count(*) AS unknown FROM ob")
+@book.query("agg_a28_grid_counts", f"WITH {LATTICE} SELECT recording, count(*) AS observed, CAST(count_if(occ) AS BIGINT) AS occupied, CAST(count_if(NOT occ) AS BIGINT) AS free, (max(i) - min(i) + 1) * (max(j) - min(j) + 1) * (max(k) - min(k) + 1) - count(*) AS unknown FROM ob GROUP BY recording")
 def a28(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count(F.lit(1))
-    return observed(spark, sf).agg(n.alias("observed"), F.count_if("occ").alias("occupied"), F.count_if(~F.col("occ")).alias("free"), (F.lit(6912) - n).alias("unknown"))
+    cells = (F.max("i") - F.min("i") + 1) * (F.max("j") - F.min("j") + 1) * (F.max("k") - F.min("k") + 1)
+    return Lattice(spark, sf).observed.groupBy("recording").agg(n.alias("observed"), F.count_if("occ").alias("occupied"), F.count_if(~F.col("occ")).alias("free"), (cells - n).alias("unknown"))
 
 
 @book.query("agg_a29_alignment_report", f"WITH {FRAMES} SELECT recording, round(avg(sqrt(px * px + py * py + pz * pz)), 6) AS shift, round(avg(degrees(2 * acos(least(1, abs(qw))))), 4) AS turn FROM fr GROUP BY recording")

@@ -191,7 +191,7 @@ def _csv(d: DataFrame, purpose: str) -> DataFrame:
     return d.sparkSession.read.schema(d.schema).option("header", True).csv(where)
 
 
-@book.query("snk_k08_frame_rows", "SELECT run_id, frame, raw_pts, voxel_count FROM frame_timing WHERE frame % 10 = 0")
+@book.query("snk_k08_frame_rows", "SELECT run_id, frame, raw_pts, voxel_count FROM frame_timing")
 def k08(spark: SparkSession, sf: str) -> DataFrame:
     """The row of every frame through CSV; only the listed columns are written."""
     where = shared_dir(spark, "frame-csv")

@@ -10,7 +10,8 @@ from aerolith.functions.timeunits import TO_NS_SQL, to_ns, usable_reading, usabl
 from aerolith.operators import spatial as S
 from aerolith.operators import voxel as V
 from aerolith.operators.asof import bracket
-from aerolith.plans.book import FRAMES, POINTS, Book, frames, points, r6, rotated_sql
+from aerolith.plans.book import FRAMES, POINTS, WORLD, Book, frames, points, r6, world
+from aerolith.plans.lattice import KEY, LATTICE, R, Lattice, ball_sql, poses
 from aerolith.plans.scalar import _SCANS, scans
 from aerolith.runtime import table
 
@@ -175,37 +176,41 @@ def p11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    p = points(spark, sf).select("recording", "frame_id", "x", "y", "z", (F.col("file_id") * 1000 + F.col("pt_id")).alias("pid"))
+    """World points of even and of odd frames: (recording, pid, x, y, z), ``pid`` the file and the place in it."""
+    p = world(spark, sf).select("recording", "frame_id", "x", "y", "z", F.struct("file_id", "pt_id").alias("pid"))
     return p.where("frame_id % 2 = 0").drop("frame_id"), p.where("frame_id % 2 = 1").drop("frame_id")
 
 
-HALVES = f"""{POINTS}, al AS (SELECT recording, frame_id, file_id * 1000 + pt_id AS pid, x, y, z FROM pt),
+HALVES = f"""{WORLD}, al AS (SELECT recording, frame_id, file_id, CAST(pt_id AS BIGINT) AS pt_id, {{'file_id': file_id, 'pt_id': CAST(pt_id AS BIGINT)}} AS pid, x, y, z FROM pt),
 ev AS (SELECT * FROM al WHERE frame_id % 2 = 0), od AS (SELECT * FROM al WHERE frame_id % 2 = 1),
 pr AS (SELECT e.recording, e.pid AS ep, o.pid AS op, (e.x - o.x) * (e.x - o.x) + (e.y - o.y) * (e.y - o.y) + (e.z - o.z) * (e.z - o.z) AS d2 FROM ev e JOIN od o USING (recording)),
 n1 AS (SELECT recording, ep AS pid, arg_min(op, (d2, op)) AS other, sqrt(min(d2)) AS dist FROM pr GROUP BY ALL),
 n2 AS (SELECT recording, op AS pid, arg_min(ep, (d2, ep)) AS other, sqrt(min(d2)) AS dist FROM pr GROUP BY ALL)"""
 
+IDS = "pid.file_id AS file_id, pid.pt_id AS pt_id"
+OTHER = "other.file_id AS other_file, other.pt_id AS other_pt"
 
-@book.query("join_j05_nearest", f"WITH {HALVES} SELECT recording, pid, other, round(dist, 6) AS dist FROM n1")
-def j05(spark: SparkSession, sf: str) -> DataFrame:
-    ev, od = halves(spark, sf)
-    return S.nearest(ev, od.withColumnRenamed("pid", "other"), ["recording"], "pid", "other", 4.0).select("recording", "pid", "other", r6(F.col("dist")).alias("dist"))
 
+def ids(*more: str) -> list[Column]:
+    """The parts of ``pid``, and of ``other`` if named."""
+    out = [F.col("pid.file_id").alias("file_id"), F.col("pid.pt_id").alias("pt_id")]
+    return out + [c for m in more for c in (F.col(f"{m}.file_id").alias(f"{m}_file"), F.col(f"{m}.pt_id").alias(f"{m}_pt"))]
 
-_SX, _SY, _SZ = rotated_sql("x", "y", "z")
+
+@book.query("join_j05_nearest", f"WITH {HALVES} SELECT recording, {IDS}, {OTHER}, round(dist, 6) AS dist FROM n1")
+def j05(spark: SparkSession, sf: str) -> DataFrame:
+    ev, od = halves(spark, sf)
+    return S.nearest(ev, od.withColumnRenamed("pid", "other"), ["recording"], "pid", "other", 4.0).select("recording", *ids("other"), r6(F.col("dist")).alias("dist"))
 
 
 @book.query(
     "join_j06_far_from_poses",
-    f"""WITH {POINTS}, w AS (SELECT recording, file_id, pt_id, {_SX} + px AS x, {_SY} + py AS y, {_SZ} + pz AS z FROM pt)
-  SELECT file_id, CAST(pt_id AS BIGINT) AS pt_id FROM w WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.recording = w.recording AND pow(w.x - fr.px, 2) + pow(w.y - fr.py, 2) + pow(w.z - fr.pz, 2) <= 25.0)""",
+    f"""WITH {WORLD} SELECT file_id, CAST(pt_id AS BIGINT) AS pt_id FROM pt WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.recording = pt.recording AND pow(pt.x - fr.px, 2) + pow(pt.y - fr.py, 2) + pow(pt.z - fr.pz, 2) <= 25.0)""",
 )
 def j06(spark: SparkSession, sf: str) -> DataFrame:
     """World points farther than 5 m from every pose of their recording."""
-    pose = G.Quat(*[F.col(f"q{a}") for a in "wxyz"]), G.Vec(F.col("px"), F.col("py"), F.col("pz"))
-    w = points(spark, sf).select("recording", "file_id", "pt_id", *G.to_world(*pose, G.Vec(F.col("x"), F.col("y"), F.col("z"))).named())
-    poses = frames(spark, sf).select("recording", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
-    return S.far_from(w, poses, 5.0, ["recording"]).select("file_id", "pt_id")
+    others = frames(spark, sf).select("recording", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+    return S.far_from(world(spark, sf), others, 5.0, ["recording"]).select("file_id", "pt_id")
 
 
 @book.query(
@@ -224,14 +229,14 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query(
     "join_j09_radius_top_k",
-    f"""WITH {HALVES}, r AS (SELECT recording, ep AS pid, op AS other, row_number() OVER (PARTITION BY recording, ep ORDER BY d2, op) AS rn FROM pr WHERE d2 <= 36) SELECT recording, pid, other, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 5""",
+    f"""WITH {HALVES}, r AS (SELECT recording, ep AS pid, op AS other, row_number() OVER (PARTITION BY recording, ep ORDER BY d2, op) AS rn FROM pr WHERE d2 <= 36) SELECT recording, {IDS}, {OTHER}, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 5""",
 )
 def j09(spark: SparkSession, sf: str) -> DataFrame:
     """Up to 5 nearest points within 6 m: the neighbourhoods of normals and features."""
     ev, od = halves(spark, sf)
     w = Window.partitionBy("recording", "pid").orderBy("d2", "other")
     near = S.within(ev, od.withColumnRenamed("pid", "other"), 6.0, ["recording"], "pid", "other")
-    return near.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("recording", "pid", "other", "rn")
+    return near.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("recording", *ids("other"), "rn")
 
 
 @book.query("join_j13_revisited", f"WITH {FRAMES} SELECT file_id, EXISTS (SELECT 1 FROM fr b WHERE b.recording = a.recording AND b.file_id < a.file_id AND pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) <= 16.0) AS revisited FROM fr a")
@@ -318,11 +323,11 @@ def j19(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def occupied(spark: SparkSession, sf: str, resolution: float = 1.0) -> DataFrame:
-    """Occupied cells per recording: (recording, i, j, k)."""
-    return points(spark, sf).select("recording", *[V.cell(F.col(a), resolution).alias(i) for a, i in zip("xyz", "ijk")]).distinct()
+    """Occupied cells of the world per recording: (recording, i, j, k)."""
+    return world(spark, sf).select("recording", *[V.cell(F.col(a), resolution).alias(i) for a, i in zip("xyz", "ijk")]).distinct()
 
 
-OCC = f"{POINTS}, oc AS (SELECT DISTINCT recording, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, CAST(floor(z) AS BIGINT) AS k FROM pt)"
+OCC = f"{WORLD}, oc AS (SELECT DISTINCT recording, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, CAST(floor(z) AS BIGINT) AS k FROM pt)"
 
 
 @book.query("join_j20_clearance", f"WITH {OCC} SELECT f.file_id, round(sqrt(min(pow(i + 0.5 - px, 2) + pow(j + 0.5 - py, 2) + pow(k + 0.5 - pz, 2))), 6) AS clearance FROM fr f JOIN oc o ON f.recording = o.recording AND abs(o.i - floor(px)) <= 5 AND abs(o.j - floor(py)) <= 5 AND abs(o.k - floor(pz)) <= 5 GROUP BY f.file_id")
@@ -339,68 +344,40 @@ def j20(spark: SparkSession, sf: str) -> DataFrame:
     return near.groupBy("file_id").agg(r6(F.sqrt(F.min(d2))).alias("clearance"))
 
 
-def _ball_sql(steps: list[tuple[int, int, int]]) -> str:
-    return "(VALUES " + ", ".join(map(str, steps)) + ") AS st(di, dj, dk)"
+_BOX = "bx AS (SELECT recording, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, min(k) AS k0, max(k) AS k1 FROM oc GROUP BY recording)"
 
 
-@book.query("join_j21_inflate_ball", f"WITH {OCC} SELECT DISTINCT i + di AS i, j + dj AS j, k + dk AS k FROM oc, {_ball_sql(S.offsets(2))} WHERE i + di BETWEEN -30 AND 29 AND j + dj BETWEEN -30 AND 29 AND k + dk BETWEEN -15 AND 14")
+@book.query("join_j21_inflate_ball", f"WITH {OCC}, {_BOX} SELECT DISTINCT recording, i + di AS i, j + dj AS j, k + dk AS k FROM oc JOIN bx USING (recording), {ball_sql(S.offsets(2))} WHERE i + di BETWEEN i0 AND i1 AND j + dj BETWEEN j0 AND j1 AND k + dk BETWEEN k0 AND k1")
 def j21(spark: SparkSession, sf: str) -> DataFrame:
-    """Occupied cells of all recordings grown by a ball of 2 cells, clipped to the grid."""
-    grown = S.shifted(occupied(spark, sf).select("i", "j", "k").distinct(), S.offsets(2))
-    return grown.where("i between -30 and 29 and j between -30 and 29 and k between -15 and 14")
+    """Occupied cells of each recording grown by a ball of 2 cells, clipped to its grid, which ends where its occupied cells do."""
+    o = occupied(spark, sf)
+    box = o.groupBy("recording").agg(*[c for i in "ijk" for c in (F.min(i).alias(f"{i}0"), F.max(i).alias(f"{i}1"))])
+    inside = " and ".join(f"{i} between {i}0 and {i}1" for i in "ijk")
+    return S.shifted(o, S.offsets(2), group=R).join(box, "recording").where(inside).select(*KEY)
 
 
-@book.query("join_j22_inflate_cross", f"WITH {OCC} SELECT DISTINCT i + di AS i, j + dj AS j, k + dk AS k FROM oc, {_ball_sql(S.offsets(2, 'cross'))}")
+@book.query("join_j22_inflate_cross", f"WITH {OCC} SELECT DISTINCT recording, i + di AS i, j + dj AS j, k + dk AS k FROM oc, {ball_sql(S.offsets(2, 'cross'))}")
 def j22(spark: SparkSession, sf: str) -> DataFrame:
     """Grown twice over the six faces, as one join with the Manhattan ball of 2."""
-    return S.shifted(occupied(spark, sf).select("i", "j", "k").distinct(), S.offsets(2, "cross"))
-
-
-FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-_GRID = "i BETWEEN -12 AND 11 AND j BETWEEN -12 AND 11 AND k BETWEEN -6 AND 5"
-LATTICE = f"""{OCC}, ob AS (SELECT DISTINCT i, j, k, bool_or(fr2 % 3 = 0) AS occ FROM (SELECT CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, CAST(floor(z) AS BIGINT) AS k, frame_id AS fr2 FROM pt) WHERE {_GRID} GROUP BY i, j, k),
-un AS (SELECT CAST(a.i AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, CAST(c.k AS BIGINT) AS k FROM generate_series(-12, 11) a(i), generate_series(-12, 11) b(j), generate_series(-6, 5) c(k) WHERE NOT EXISTS (SELECT 1 FROM ob WHERE ob.i = a.i AND ob.j = b.j AND ob.k = c.k)),
-fe AS (SELECT i, j, k FROM ob WHERE NOT occ),
-fo AS (SELECT DISTINCT fe.i, fe.j, fe.k FROM fe JOIN (SELECT i + di AS i, j + dj AS j, k + dk AS k FROM un, {_ball_sql(FACES)}) s ON fe.i = s.i AND fe.j = s.j AND fe.k = s.k)"""
-
-
-def observed(spark: SparkSession, sf: str) -> DataFrame:
-    """A three-state grid over all frames: observed cells, occupied where every third frame's points lie."""
-    p = points(spark, sf).select(*[V.cell(F.col(a), 1.0).alias(i) for a, i in zip("xyz", "ijk")], (F.col("frame_id") % 3 == 0).alias("o"))
-    return p.where(_GRID).groupBy("i", "j", "k").agg(F.bool_or("o").alias("occ"))
-
-
-def unknown(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of the grid (of fixed size) that were never observed."""
-    one = spark.range(-12, 12).select(F.col("id").alias("i"))
-    lat = one.select("i", F.explode(F.sequence(F.lit(-12).cast("bigint"), F.lit(11).cast("bigint"))).alias("j"))
-    lat = lat.select("i", "j", F.explode(F.sequence(F.lit(-6).cast("bigint"), F.lit(5).cast("bigint"))).alias("k"))
-    return lat.join(observed(spark, sf), ["i", "j", "k"], "left_anti")
-
-
-def frontier(spark: SparkSession, sf: str) -> DataFrame:
-    free = observed(spark, sf).where("not occ").select("i", "j", "k")
-    return free.join(S.shifted(unknown(spark, sf), FACES), ["i", "j", "k"], "left_semi")
+    return S.shifted(occupied(spark, sf), S.offsets(2, "cross"), group=R)
 
 
-@book.query("join_j12_frontier", f"WITH {LATTICE} SELECT i, j, k FROM fo")
+@book.query("join_j12_frontier", f"WITH {LATTICE} SELECT recording, i, j, k FROM fo")
 def j12(spark: SparkSession, sf: str) -> DataFrame:
     """Free cells with an unknown face neighbour; cells beyond the grid are not unknown."""
-    return frontier(spark, sf)
+    return Lattice(spark, sf).frontier
 
 
-@book.query("flt_f10_traversable", f"WITH {LATTICE}, c AS (SELECT file_id, CAST(floor(px) AS BIGINT) AS i, CAST(floor(py) AS BIGINT) AS j, CAST(floor(pz) AS BIGINT) AS k FROM fr) SELECT file_id, ob.i IS NOT NULL AND NOT ob.occ AS traversable FROM c LEFT JOIN ob USING (i, j, k)")
+@book.query("flt_f10_traversable", f"WITH {LATTICE} SELECT file_id, ob.i IS NOT NULL AND NOT ob.occ AS traversable FROM po0 LEFT JOIN ob USING (recording, i, j, k)")
 def f10(spark: SparkSession, sf: str) -> DataFrame:
     """Is the cell of each pose observed and free; unknown cells are impassable."""
-    c = frames(spark, sf).select("file_id", *[F.floor(f"p{a}").cast("bigint").alias(i) for a, i in zip("xyz", "ijk")])
-    return c.join(observed(spark, sf), ["i", "j", "k"], "left").select("file_id", F.coalesce(~F.col("occ"), F.lit(False)).alias("traversable"))
+    return poses(spark, sf).join(Lattice(spark, sf).observed, KEY, "left").select("file_id", F.coalesce(~F.col("occ"), F.lit(False)).alias("traversable"))
 
 
-@book.query("flt_f11_unknown_is_free", f"WITH {LATTICE}, c AS (SELECT file_id, CAST(floor(px) AS BIGINT) AS i, CAST(floor(py) AS BIGINT) AS j, CAST(floor(pz) AS BIGINT) AS k FROM fr) SELECT file_id FROM c LEFT JOIN ob USING (i, j, k) WHERE ob.i IS NULL OR NOT ob.occ")
+@book.query("flt_f11_unknown_is_free", f"WITH {LATTICE} SELECT file_id FROM po0 LEFT JOIN ob USING (recording, i, j, k) WHERE ob.i IS NULL OR NOT ob.occ")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
     """The older rule: only occupied cells are impassable."""
-    c = frames(spark, sf).select("file_id", *[F.floor(f"p{a}").cast("bigint").alias(i) for a, i in zip("xyz", "ijk")])
-    return c.join(observed(spark, sf).where("occ"), ["i", "j", "k"], "left_anti").select("file_id")
+    return poses(spark, sf).join(Lattice(spark, sf).occupied, KEY, "left_anti").select("file_id")
 
 
 QUERIES, SQL = book.queries, book.sql

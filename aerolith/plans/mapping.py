@@ -9,7 +9,7 @@ from aerolith.functions import geometry as G
 from aerolith.operators import posegraph, registration
 from aerolith.operators import spatial as S
 from aerolith.plans.aggregates import CONTEXT, IJK, RINGS, SECTORS, scan_context
-from aerolith.plans.book import FRAMES, POINTS, Book, frames, map_points, points, r6, rotated_sql
+from aerolith.plans.book import FRAMES, POINTS, Book, frames, map_points, points, r6, rotated_sql, WORLD
 from aerolith.plans.joins import HALVES, _LOOP, halves, one_pose
 from aerolith.runtime import table
 
@@ -49,7 +49,7 @@ def r12(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("map_id", *[r6(F.col(c)).alias(c) for c in ("fitness", "rmse", "tx", "ty", "tz", "angle_deg")])
 
 
-_SHIFT = f"""{POINTS}, al AS (SELECT recording, frame_id, file_id * 1000 + pt_id AS pid, x, y, z FROM pt), ev AS (SELECT recording, pid, -y + 0.5 AS x, x AS y, z - 0.25 AS z FROM al WHERE frame_id % 2 = 0), od AS (SELECT * FROM al WHERE frame_id % 2 = 1),
+_SHIFT = f"""{WORLD}, al AS (SELECT recording, frame_id, struct_pack(f := file_id, p := pt_id) AS pid, x, y, z FROM pt), ev AS (SELECT recording, pid, -y + 0.5 AS x, x AS y, z - 0.25 AS z FROM al WHERE frame_id % 2 = 0), od AS (SELECT * FROM al WHERE frame_id % 2 = 1),
 nn AS (SELECT e.recording, e.pid, sqrt(min(pow(e.x - o.x, 2) + pow(e.y - o.y, 2) + pow(e.z - o.z, 2))) AS dist FROM ev e JOIN od o USING (recording) GROUP BY ALL)"""
 
 

@@ -1,160 +1,172 @@
-"""Exploration planning on the three-state grid of all frames."""
+"""Exploration planning on the three-state grid of each recording. Lengths are in cells of lattice.CELL_M."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.operators import graph, planner
 from aerolith.operators import spatial as S
-from aerolith.plans.aggregates import IJK
-from aerolith.plans.book import POINTS, Book, frames, points, r6
-from aerolith.plans.joins import LATTICE, _ball_sql, observed, unknown
-from aerolith.runtime import table
+from aerolith.plans.book import Book, r6
+from aerolith.plans.lattice import CELL_M, FACES, KEY, LATTICE, R, Lattice, ball_sql, floors, poses, rays, starts
+from aerolith.runtime import table, written
 
 book = Book()
-FACES = graph.FACES
-LOW, SHAPE = (-12, -12, -6), (24, 24, 12)
 
-_RAY = f"""{POINTS}, en AS (SELECT recording, frame_id, {IJK.format('1.0')}, arg_min(struct_pack(x := x, y := y, z := z), (file_id, pt_id)) AS e FROM (SELECT *, file_id AS f FROM pt) GROUP BY recording, frame_id, i, j, k),
-e2 AS (SELECT recording, frame_id, e.x AS x, e.y AS y, e.z AS z FROM en), ns AS (SELECT recording, frame_id, greatest(2, CAST(ceil(max(sqrt(x * x + y * y + z * z)) / 0.5) AS INTEGER) + 1) AS n FROM e2 GROUP BY ALL),
-ra AS (SELECT e2.recording, e2.frame_id, x, y, z, CAST(s AS DOUBLE) / (n - 1) AS t FROM e2 JOIN ns USING (recording, frame_id), LATERAL (SELECT unnest(generate_series(0, n - 1)) AS s)),
-rc AS (SELECT DISTINCT recording, frame_id, CAST(trunc(least(23, greatest(0, (x * t + 12)))) AS INTEGER) AS ix, CAST(trunc(least(23, greatest(0, (y * t + 12)))) AS INTEGER) AS iy, CAST(trunc(least(11, greatest(0, (z * t + 6)))) AS INTEGER) AS iz FROM ra)"""
 
-
-def rays(spark: SparkSession, sf: str) -> DataFrame:
-    zero = {f"o{a}": F.lit(0.0) for a in "xyz"}
-    p = points(spark, sf).select("recording", "frame_id", F.struct("file_id", "pt_id").alias("pt_id"), "x", "y", "z").withColumns(zero)
-    return planner.raycast(p, ["recording", "frame_id"], tuple(map(float, LOW)), SHAPE, 1.0)
-
-
-@book.query("grid_g01_raycast", f"WITH {_RAY} SELECT recording, ix, iy, iz, count(*) AS n_scans FROM rc GROUP BY ALL")
+@book.query("grid_g01_raycast", f"WITH {LATTICE} SELECT recording, i, j, k, count(*) AS n_scans FROM rc GROUP BY ALL")
 def g01(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that the rays of each scan pass, from the sensor outwards, and by how many scans."""
-    return rays(spark, sf).groupBy("recording", "ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n_scans"))
+    return rays(spark, sf).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_scans"))
 
 
-@book.query("grid_g02_feed_scan", f"WITH {_RAY}, oc AS (SELECT DISTINCT recording, CAST(trunc(least(23, greatest(0, x + 12))) AS INTEGER) AS ix, CAST(trunc(least(23, greatest(0, y + 12))) AS INTEGER) AS iy, CAST(trunc(least(11, greatest(0, z + 6))) AS INTEGER) AS iz FROM pt), o AS (SELECT DISTINCT recording, ix, iy, iz FROM rc UNION SELECT * FROM oc) SELECT recording, count(*) AS observed, count(oc.ix) AS occupied FROM o LEFT JOIN oc USING (recording, ix, iy, iz) GROUP BY recording")
+@book.query("grid_g02_feed_scan", f"WITH {LATTICE} SELECT recording, count(*) AS observed, CAST(count_if(occ) AS BIGINT) AS occupied FROM ob GROUP BY recording")
 def g02(spark: SparkSession, sf: str) -> DataFrame:
     """Observed and occupied cells per recording once all its scans are fed; endpoints are occupied."""
-    from aerolith.operators.voxel import clipped_cell
+    return Lattice(spark, sf).observed.groupBy("recording").agg(F.count(F.lit(1)).alias("observed"), F.count_if("occ").alias("occupied"))
+
+
+# A cell as one number that sorts as (i, j, k) does: 5000 cells either way of zero.
+_LAB = "((i + 5000) * 100000000 + (j + 5000) * 10000 + k + 5000)"
 
-    end = points(spark, sf).select("recording", *[clipped_cell(F.col(a), float(lo), 1.0, n).alias(f"i{a}") for a, lo, n in zip("xyz", LOW, SHAPE)], F.lit(True).alias("occ"))
-    both = rays(spark, sf).select("recording", "ix", "iy", "iz", F.lit(False).alias("occ")).unionByName(end)
-    cells = both.groupBy("recording", "ix", "iy", "iz").agg(F.bool_or("occ").alias("occ"))
-    return cells.groupBy("recording").agg(F.count(F.lit(1)).alias("observed"), F.count_if("occ").alias("occupied"))
 
+def number(i: Column, j: Column, k: Column) -> Column:
+    return (i + 5000) * 100000000 + (j + 5000) * 10000 + k + 5000
 
-_PL = f"""{LATTICE}, blk AS (SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS j, CAST(c AS BIGINT) AS k FROM generate_series(-2, 2) x(a), generate_series(-2, 2) y(b), generate_series(-2, 2) z(c)),
-pf AS (SELECT i, j, k FROM fe UNION SELECT i, j, k FROM blk), pu AS (SELECT i, j, k FROM un EXCEPT SELECT i, j, k FROM blk), po AS (SELECT i, j, k FROM ob WHERE occ EXCEPT SELECT i, j, k FROM blk),
-st AS (SELECT * FROM {_ball_sql(FACES)}),
-pfo AS (SELECT i, j, k FROM pf WHERE (i, j, k) IN (SELECT (i + di, j + dj, k + dk) FROM pu, st)),
-re AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS k UNION SELECT pf.i, pf.j, pf.k FROM re, st, pf WHERE pf.i = re.i + di AND pf.j = re.j + dj AND pf.k = re.k + dk),
-rf AS (SELECT i, j, k, (i + 12) * 288 + (j + 12) * 12 + (k + 6) AS id FROM pfo WHERE (i, j, k) IN (SELECT (i, j, k) FROM re)),
-cc AS (SELECT i, j, k, id AS lab FROM rf UNION SELECT rf.i, rf.j, rf.k, cc.lab FROM cc, st, rf WHERE rf.i = cc.i + di AND rf.j = cc.j + dj AND rf.k = cc.k + dk),
-cl AS (SELECT i, j, k, min(lab) AS lab FROM cc GROUP BY i, j, k)"""
+
+_PL = f"""{LATTICE}, sc AS (SELECT recording, sx, sy, sz, CAST(floor(sx) AS BIGINT) AS si, CAST(floor(sy) AS BIGINT) AS sj, CAST(floor(sz) AS BIGINT) AS sk FROM sp SEMI JOIN bo USING (recording)),
+blk AS (SELECT recording, si + a AS i, sj + b AS j, sk + c AS k FROM sc, generate_series(-2, 2) x(a), generate_series(-2, 2) y(b), generate_series(-2, 2) z(c)),
+pf AS (SELECT recording, i, j, k FROM fe UNION SELECT recording, i, j, k FROM blk), pu AS (SELECT recording, i, j, k FROM un EXCEPT SELECT recording, i, j, k FROM blk), po AS (SELECT recording, i, j, k FROM ob WHERE occ EXCEPT SELECT recording, i, j, k FROM blk),
+st AS (SELECT * FROM {ball_sql(FACES)}),
+pfo AS (SELECT recording, i, j, k FROM pf SEMI JOIN (SELECT recording, i + di AS i, j + dj AS j, k + dk AS k FROM pu, st) USING (recording, i, j, k)),
+re AS (SELECT recording, si AS i, sj AS j, sk AS k FROM sc UNION SELECT pf.recording, pf.i, pf.j, pf.k FROM re, st, pf WHERE pf.recording = re.recording AND pf.i = re.i + di AND pf.j = re.j + dj AND pf.k = re.k + dk),
+rf AS (SELECT recording, i, j, k, {_LAB} AS id FROM pfo SEMI JOIN re USING (recording, i, j, k)),
+cc (recording, i, j, k, lab) USING KEY (recording, i, j, k) AS (SELECT recording, i, j, k, id FROM rf UNION SELECT rf.recording, rf.i, rf.j, rf.k, min(cc.lab) FROM cc, st, rf, recurring.cc AS own WHERE rf.recording = cc.recording AND rf.i = cc.i + di AND rf.j = cc.j + dj AND rf.k = cc.k + dk AND own.recording = rf.recording AND own.i = rf.i AND own.j = rf.j AND own.k = rf.k AND cc.lab < own.lab GROUP BY rf.recording, rf.i, rf.j, rf.k),
+cl AS (SELECT recording, i, j, k, lab FROM cc)"""
 
 
 class Grid:
-    """Free, unknown, occupied and frontier cells with a block of 5^3 around the start forced free."""
+    """Free, unknown, occupied and frontier cells of each recording with a block of 5^3 around its start forced free."""
 
     def __init__(self, spark: SparkSession, sf: str) -> None:
+        lat = Lattice(spark, sf)
         seq = F.sequence(F.lit(-2).cast("bigint"), F.lit(2).cast("bigint"))
-        block = spark.range(1).select(F.explode(seq).alias("i")).select("i", F.explode(seq).alias("j")).select("i", "j", F.explode(seq).alias("k"))
-        ob, key = observed(spark, sf), ["i", "j", "k"]
-        self.free = ob.where("not occ").select(*key).union(block).distinct()
-        self.unknown = unknown(spark, sf).join(block, key, "left_anti")
-        self.occupied = ob.where("occ").select(*key).join(block, key, "left_anti")
-        self.frontier = self.free.join(S.shifted(self.unknown, FACES), key, "left_semi")
+        self.bounds = written(lat.bounds, "grid-bounds")
+        start = starts(spark, sf).join(self.bounds.select("recording"), "recording", "left_semi")
+        self.start = written(start.select("*", *[F.floor(f"s{a}").cast("bigint").alias(f"s{i}") for a, i in zip("xyz", "ijk")]), "grid-starts")
+        block = self.start
+        for i in "ijk":
+            block = block.withColumn("d", F.explode(seq)).withColumn(i, F.col(f"s{i}") + F.col("d"))
+        block = block.select(*KEY)
+        self.free = lat.free.union(block).distinct()
+        self.unknown = lat.unknown.join(block, KEY, "left_anti")
+        self.occupied = lat.occupied.join(block, KEY, "left_anti")
+        self.frontier = written(self.free.join(S.shifted(self.unknown, FACES, group=R), KEY, "left_semi"), "grid-frontier")
+
+    def reached(self, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
+        at = self.start.select("recording", *[F.col(f"s{i}").alias(i) for i in "ijk"])
+        return graph.reachable(self.free, at, steps, group=R)
 
     def clusters(self) -> DataFrame:
         """Frontier cells that can be reached through free cells, with their cluster's number."""
-        key = ["i", "j", "k"]
-        near = graph.reachable(self.free, (0, 0, 0))
-        c = graph.components(self.frontier.join(near, key, "left_semi"))
-        return c.select(*key, ((F.col("cluster.i") + 12) * 288 + (F.col("cluster.j") + 12) * 12 + F.col("cluster.k") + 6).alias("lab"))
+        c = graph.components(self.frontier.join(self.reached(), KEY, "left_semi"), group=R)
+        return c.select(*KEY, number(F.col("cluster.i"), F.col("cluster.j"), F.col("cluster.k")).alias("lab"))
 
 
-@book.query("grid_g03_frontier_points", f"WITH RECURSIVE {_PL} SELECT CAST(i + 0.5 AS DOUBLE) AS x, CAST(j + 0.5 AS DOUBLE) AS y, CAST(k + 0.5 AS DOUBLE) AS z FROM pfo")
+@book.query("grid_g03_frontier_points", f"WITH RECURSIVE {_PL} SELECT recording, (i + 0.5::DOUBLE) * {CELL_M}::DOUBLE AS x, (j + 0.5::DOUBLE) * {CELL_M}::DOUBLE AS y, (k + 0.5::DOUBLE) * {CELL_M}::DOUBLE AS z FROM pfo")
 def g03(spark: SparkSession, sf: str) -> DataFrame:
-    return Grid(spark, sf).frontier.select(*[(F.col(i) + 0.5).cast("double").alias(a) for i, a in zip("ijk", "xyz")])
+    """Centres of the frontier cells in metres of the world."""
+    return Grid(spark, sf).frontier.select("recording", *[((F.col(i) + 0.5) * CELL_M).alias(a) for i, a in zip("ijk", "xyz")])
 
 
-@book.query("grid_g04_reachable", f"WITH RECURSIVE {_PL} SELECT i, j, k FROM re")
+@book.query("grid_g04_reachable", f"WITH RECURSIVE {_PL} SELECT recording, i, j, k FROM re")
 def g04(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reachable(Grid(spark, sf).free, (0, 0, 0)).select("i", "j", "k")
+    return Grid(spark, sf).reached().select(*KEY)
 
 
-@book.query("grid_g04_frontier_clusters", f"WITH RECURSIVE {_PL} SELECT i, j, k, lab FROM cl")
+@book.query("grid_g04_frontier_clusters", f"WITH RECURSIVE {_PL} SELECT recording, i, j, k, lab FROM cl")
 def g04b(spark: SparkSession, sf: str) -> DataFrame:
     return Grid(spark, sf).clusters()
 
 
-CRUISE = -5.0
 # Generators in order: frontier clusters at several heights, unknown columns, pseudo-random places near the start, dense blocks.
 _RND = "((({n} * 1103515245 + 12345) % 2147483648) / 2147483648.0 * 12.0 - 6.0)"
-_CAND = f"""{_PL}, cn AS (SELECT lab, avg(i) + 0.5 AS x, avg(j) + 0.5 AS y, avg(k) + 0.5 AS z FROM cl GROUP BY lab HAVING count(*) >= 3),
-h1 AS (SELECT 1 AS g, lab * 10 + o AS ord, x, y, CASE WHEN o = 4 THEN {CRUISE}::DOUBLE ELSE z - [0.0, 1.0, 2.0, 4.0][o + 1] END AS z FROM cn, generate_series(0, 4) q(o)),
-co AS (SELECT i, j, count(*) AS n FROM pu GROUP BY i, j ORDER BY n DESC, i, j LIMIT 10), tf AS (SELECT co.i, co.j, min(k) AS k FROM co JOIN pf USING (i, j) GROUP BY co.i, co.j),
-h2 AS (SELECT 2 AS g, ((i + 12) * 24 + j + 12) * 10 + o AS ord, i + 0.5 AS x, j + 0.5 AS y, CASE WHEN o = 0 THEN k + 0.5 ELSE {CRUISE} END AS z FROM (SELECT i, j, k, 0 AS o FROM tf UNION ALL SELECT i, j, 0, 1 FROM co)),
-h3r AS (SELECT n, {_RND.format(n='(n * 3 + 1)')} AS x, {_RND.format(n='(n * 3 + 2)')} AS y, {_RND.format(n='(n * 3 + 3)')} AS z FROM generate_series(0, 19) r(n)),
-h3 AS (SELECT 3 AS g, n AS ord, x, y, z FROM h3r WHERE (CAST(floor(x) AS BIGINT), CAST(floor(y) AS BIGINT), CAST(floor(z) AS BIGINT)) NOT IN (SELECT (i, j, k) FROM po)),
-bl AS (SELECT (i + 12) // 4 AS bi, (j + 12) // 4 AS bj, (k + 6) // 4 AS bk, count(*) AS n FROM pu GROUP BY ALL ORDER BY n DESC, bi, bj, bk LIMIT 5),
-bc AS (SELECT bi * 36 + bj * 6 + bk AS b, bi * 4 + 2 - 12 + 0.5 AS x, bj * 4 + 2 - 12 + 0.5 AS y, bk * 4 + 2 - 6 + 0.5 AS z FROM bl),
-h4 AS (SELECT 4 AS g, b * 10 + o AS ord, x + [0, 0, 0, 0, 3, -3, 0, 0][o + 1] AS x, y + [0, 0, 0, 0, 0, 0, 3, -3][o + 1] AS y, CASE o WHEN 1 THEN z - 2 WHEN 2 THEN z - 4 WHEN 3 THEN z ELSE {CRUISE} END AS z FROM bc, generate_series(0, 7) q(o)),
-po2 AS (SELECT g, ord, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4) WHERE x BETWEEN -11.5 AND 11.5 AND y BETWEEN -11.5 AND 11.5),
-ca AS (SELECT g, ord AS o, g * 1000000 + ord AS cid, x, y, greatest(-8, least(5.5, z)) AS z FROM (SELECT *, row_number() OVER (PARTITION BY round_even(x / 0.5, 0), round_even(y / 0.5, 0), round_even(z / 0.5, 0) ORDER BY g, ord) AS rn FROM po2) WHERE rn = 1)"""
-
-
-def candidates(spark: SparkSession, grid: Grid) -> DataFrame:
-    """(cid, g, x, y, z): viewpoints of the four generators, the first of each half-metre snap."""
-    def rows(d: DataFrame, g: int, ordinal, x, y, z) -> DataFrame:
-        return d.select(F.lit(g).alias("g"), ordinal.cast("bigint").alias("ord"), x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
+
+
+def _rnd(n: Column) -> Column:
+    return ((n * 1103515245 + 12345) % 2147483648) / 2147483648.0 * 12.0 - 6.0
+
+
+_CAND = f"""{_PL}, cn AS (SELECT recording, lab, avg(i) + 0.5 AS x, avg(j) + 0.5 AS y, avg(k) + 0.5 AS z FROM cl GROUP BY recording, lab HAVING count(*) >= 3),
+h1 AS (SELECT recording, 1 AS g, lab * 10 + o AS ord, x, y, CASE WHEN o = 4 THEN sz ELSE z - [0.0, 1.0, 2.0, 4.0][o + 1] END AS z FROM cn JOIN sc USING (recording), generate_series(0, 4) q(o)),
+co AS (SELECT recording, i, j FROM (SELECT recording, i, j, row_number() OVER (PARTITION BY recording ORDER BY count(*) DESC, i, j) AS rn FROM pu GROUP BY recording, i, j) WHERE rn <= 10), tf AS (SELECT recording, co.i, co.j, min(k) AS k FROM co JOIN pf USING (recording, i, j) GROUP BY ALL),
+h2 AS (SELECT recording, 2 AS g, ((i + 5000) * 10000 + j + 5000) * 10 + o AS ord, i + 0.5 AS x, j + 0.5 AS y, CASE WHEN o = 0 THEN k + 0.5 ELSE sz END AS z FROM (SELECT recording, i, j, k, 0 AS o FROM tf UNION ALL SELECT recording, i, j, 0, 1 FROM co) JOIN sc USING (recording)),
+h3r AS (SELECT recording, n, sx + {_RND.format(n='(n * 3 + 1)')} AS x, sy + {_RND.format(n='(n * 3 + 2)')} AS y, sz + {_RND.format(n='(n * 3 + 3)')} AS z FROM sc, generate_series(0, 19) r(n)),
+h3 AS (SELECT recording, 3 AS g, n AS ord, x, y, z FROM (SELECT *, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, CAST(floor(z) AS BIGINT) AS k FROM h3r) ANTI JOIN po USING (recording, i, j, k)),
+bl AS (SELECT recording, bi, bj, bk FROM (SELECT recording, (i - i0) // 4 AS bi, (j - j0) // 4 AS bj, (k - k0) // 4 AS bk, row_number() OVER (PARTITION BY recording ORDER BY count(*) DESC, bi, bj, bk) AS rn FROM pu JOIN bo USING (recording) WHERE (i - i0) // 4 < (i1 - i0 + 1) // 4 AND (j - j0) // 4 < (j1 - j0 + 1) // 4 AND (k - k0) // 4 < (k1 - k0 + 1) // 4 GROUP BY recording, bi, bj, bk) WHERE rn <= 5),
+bc AS (SELECT recording, (bi * 1000 + bj) * 1000 + bk AS b, i0 + bi * 4 + 2.5 AS x, j0 + bj * 4 + 2.5 AS y, k0 + bk * 4 + 2.5 AS z FROM bl JOIN bo USING (recording)),
+h4 AS (SELECT recording, 4 AS g, b * 10 + o AS ord, x + [0, 0, 0, 0, 3, -3, 0, 0][o + 1] AS x, y + [0, 0, 0, 0, 0, 0, 3, -3][o + 1] AS y, CASE o WHEN 1 THEN z - 2 WHEN 2 THEN z - 4 WHEN 3 THEN z ELSE sz END AS z FROM bc JOIN sc USING (recording), generate_series(0, 7) q(o)),
+po2 AS (SELECT recording, g, ord, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z, k0, k1 FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4) JOIN bo USING (recording) WHERE x BETWEEN i0 + 0.5 AND i1 + 0.5 AND y BETWEEN j0 + 0.5 AND j1 + 0.5),
+ca AS (SELECT recording, g, g * 1000000000000000 + ord AS cid, x, y, greatest(k0 + 0.5::DOUBLE, least(k1 + 0.5::DOUBLE, z)) AS z FROM (SELECT *, row_number() OVER (PARTITION BY recording, round_even(x / 0.5, 0), round_even(y / 0.5, 0), round_even(z / 0.5, 0) ORDER BY g, ord) AS rn FROM po2) WHERE rn = 1)"""
+
+
+def _most(counts: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The n rows of each recording with the largest ``n``; ties by ``by``."""
+    w = Window.partitionBy("recording").orderBy(F.desc("n"), *by)
+    return counts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn", "n")
+
+
+def candidates(grid: Grid) -> DataFrame:
+    """(recording, cid, g, x, y, z): viewpoints of the four generators, the first of each half-cell snap."""
+    def rows(d: DataFrame, g: int, ordinal: Column, x: Column, y: Column, z: Column) -> DataFrame:
+        return d.select("recording", F.lit(g).alias("g"), ordinal.cast("bigint").alias("ord"), x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
     c = F.col
-    cn = grid.clusters().groupBy("lab").agg(*[(F.avg(i) + 0.5).alias(a) for i, a in zip("ijk", "xyz")], F.count(F.lit(1)).alias("n")).where("n >= 3")
-    cn = cn.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    h1 = rows(cn, 1, c("lab") * 10 + c("o"), c("x"), c("y"), F.when(c("o") == 4, CRUISE).otherwise(c("z") - F.element_at(F.array(*map(F.lit, (0.0, 1.0, 2.0, 4.0, 0.0))), c("o") + 1)))
-    co = grid.unknown.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "i", "j").limit(10)
-    tf = co.join(grid.free, ["i", "j"]).groupBy("i", "j").agg(F.min("k").alias("k")).select("i", "j", "k", F.lit(0).alias("o"))
-    cols = tf.unionByName(co.select("i", "j", F.lit(0).cast("bigint").alias("k"), F.lit(1).alias("o")))
-    h2 = rows(cols, 2, ((c("i") + 12) * 24 + c("j") + 12) * 10 + c("o"), c("i") + 0.5, c("j") + 0.5, F.when(c("o") == 0, c("k") + 0.5).otherwise(CRUISE))
-
-    def rnd(n):
-        return ((n * 1103515245 + 12345) % 2147483648) / 2147483648.0 * 12.0 - 6.0
-
-    h3 = spark.range(20).select("id", *[rnd(c("id") * 3 + m).alias(a) for a, m in zip("xyz", (1, 2, 3))])
-    h3 = h3.withColumns({i: F.floor(a).cast("bigint") for i, a in zip("ijk", "xyz")}).join(grid.occupied, ["i", "j", "k"], "left_anti")
+    start = grid.start.select("recording", "sx", "sy", "sz")
+    unknown = written(grid.unknown, "grid-unknown")
+    cn = grid.clusters().groupBy("recording", "lab").agg(*[(F.avg(i) + 0.5).alias(a) for i, a in zip("ijk", "xyz")], F.count(F.lit(1)).alias("n")).where("n >= 3")
+    cn = cn.join(start, "recording").withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    h1 = rows(cn, 1, c("lab") * 10 + c("o"), c("x"), c("y"), F.when(c("o") == 4, c("sz")).otherwise(c("z") - F.element_at(F.array(*map(F.lit, (0.0, 1.0, 2.0, 4.0, 0.0))), c("o") + 1)))
+    co = written(_most(unknown.groupBy("recording", "i", "j").agg(F.count(F.lit(1)).alias("n")), ["i", "j"], 10), "grid-columns")
+    tf = co.join(grid.free, ["recording", "i", "j"]).groupBy("recording", "i", "j").agg(F.min("k").alias("k")).select(*KEY, F.lit(0).alias("o"))
+    cols = tf.unionByName(co.select("recording", "i", "j", F.lit(0).cast("bigint").alias("k"), F.lit(1).alias("o"))).join(start, "recording")
+    h2 = rows(cols, 2, ((c("i") + 5000) * 10000 + c("j") + 5000) * 10 + c("o"), c("i") + 0.5, c("j") + 0.5, F.when(c("o") == 0, c("k") + 0.5).otherwise(c("sz")))
+    h3 = start.withColumn("id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))))
+    h3 = h3.select("recording", "id", *[(c(f"s{a}") + _rnd(c("id") * 3 + m)).alias(a) for a, m in zip("xyz", (1, 2, 3))]).select("*", *floors()).join(grid.occupied, KEY, "left_anti")
     h3 = rows(h3, 3, c("id"), c("x"), c("y"), c("z"))
-    bl = grid.unknown.groupBy(*[F.expr(f"({i} + {h}) div 4").alias(f"b{i}") for i, h in zip("ijk", (12, 12, 6))]).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bi", "bj", "bk").limit(5)
-    bc = bl.select((c("bi") * 36 + c("bj") * 6 + c("bk")).alias("b"), (c("bi") * 4 - 9.5).alias("x"), (c("bj") * 4 - 9.5).alias("y"), (c("bk") * 4 - 3.5).alias("z"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"))
+    block = {f"b{i}": F.expr(f"({i} - {i}0) div 4") for i in "ijk"}
+    whole = " and ".join(f"b{i} < ({i}1 - {i}0 + 1) div 4" for i in "ijk")
+    bl = unknown.join(grid.bounds, "recording").withColumns(block).where(whole).groupBy("recording", "bi", "bj", "bk").agg(F.count(F.lit(1)).alias("n"))
+    bl = _most(bl, ["bi", "bj", "bk"], 5).join(grid.bounds, "recording").join(start, "recording")
+    mid = [(c(f"{i}0") + c(f"b{i}") * 4 + 2.5).alias(a) for i, a in zip("ijk", "xyz")]
+    bc = bl.select("recording", "sz", ((c("bi") * 1000 + c("bj")) * 1000 + c("bk")).alias("b"), *mid, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("o"))
     dx, dy = (F.element_at(F.array(*map(F.lit, v)), c("o") + 1) for v in ((0, 0, 0, 0, 3, -3, 0, 0), (0, 0, 0, 0, 0, 0, 3, -3)))
-    h4 = rows(bc, 4, c("b") * 10 + c("o"), c("x") + dx, c("y") + dy, F.when(c("o") == 1, c("z") - 2).when(c("o") == 2, c("z") - 4).when(c("o") == 3, c("z")).otherwise(CRUISE))
-    pool = h1.unionByName(h2).unionByName(h3).unionByName(h4).where("x between -11.5 and 11.5 and y between -11.5 and 11.5")
-    w = Window.partitionBy(*[F.bround(c(a) / 0.5, 0) for a in "xyz"]).orderBy("g", "ord")
+    h4 = rows(bc, 4, c("b") * 10 + c("o"), c("x") + dx, c("y") + dy, F.when(c("o") == 1, c("z") - 2).when(c("o") == 2, c("z") - 4).when(c("o") == 3, c("z")).otherwise(c("sz")))
+    pool = h1.unionByName(h2).unionByName(h3).unionByName(h4).join(grid.bounds, "recording").where("x between i0 + 0.5D and i1 + 0.5D and y between j0 + 0.5D and j1 + 0.5D")
+    w = Window.partitionBy("recording", *[F.bround(c(a) / 0.5, 0) for a in "xyz"]).orderBy("g", "ord")
     first = pool.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return first.select((c("g") * 1000000 + c("ord")).alias("cid"), "g", "x", "y", F.greatest(F.lit(-8.0), F.least(F.lit(5.5), c("z"))).alias("z"))
+    return first.select("recording", (c("g").cast("bigint") * 1000000000000000 + c("ord")).alias("cid"), "g", "x", "y", F.greatest(c("k0") + 0.5, F.least(c("k1") + 0.5, c("z"))).alias("z"))
 
 
-@book.query("grid_g05_viewpoints", f"WITH RECURSIVE {_CAND} SELECT cid, g, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM ca")
+@book.query("grid_g05_viewpoints", f"WITH RECURSIVE {_CAND} SELECT recording, cid, g, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM ca")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates(spark, Grid(spark, sf)).select("cid", "g", *[F.round(a, 9).alias(a) for a in "xyz"])
+    return candidates(Grid(spark, sf)).select("recording", "cid", "g", *[F.round(a, 9).alias(a) for a in "xyz"])
 
 
 REACH, HALF = 9.0, 60.0
 _TAN = 1.7320508075688767
-_FRU = f"""{_CAND}, fu AS (SELECT cid, x, y, z, i, j, k FROM ca, pu WHERE k + 0.5 - z > 0 AND pow(i + 0.5 - x, 2) + pow(j + 0.5 - y, 2) <= pow((k + 0.5 - z) * {_TAN}, 2) AND pow(i + 0.5 - x, 2) + pow(j + 0.5 - y, 2) + pow(k + 0.5 - z, 2) <= {REACH * REACH})"""
-_COL = f"{_FRU}, cg AS (SELECT cid, count(*) AS gain FROM fu WHERE k >= greatest(floor(z) + 1, -6) AND NOT EXISTS (SELECT 1 FROM po WHERE po.i = fu.i AND po.j = fu.j AND po.k >= greatest(floor(fu.z) + 1, -6) AND po.k <= fu.k) GROUP BY cid)"
+_FRU = f"""{_CAND}, fu AS (SELECT recording, cid, x, y, z, i, j, k FROM ca JOIN pu USING (recording) WHERE k + 0.5 - z > 0 AND abs(i + 0.5 - x) <= {REACH} AND pow(i + 0.5 - x, 2) + pow(j + 0.5 - y, 2) <= pow((k + 0.5 - z) * {_TAN}, 2) AND pow(i + 0.5 - x, 2) + pow(j + 0.5 - y, 2) + pow(k + 0.5 - z, 2) <= {REACH * REACH})"""
+_COL = f"{_FRU}, fb AS (SELECT recording, cid, i, j, min(po.k) AS fk FROM (SELECT DISTINCT recording, cid, z, i, j FROM fu) JOIN po USING (recording, i, j) WHERE po.k >= floor(z) + 1 GROUP BY ALL), cg AS (SELECT recording, cid, count(*) AS gain FROM fu LEFT JOIN fb USING (recording, cid, i, j) WHERE k >= floor(z) + 1 AND (fk IS NULL OR k < fk) GROUP BY recording, cid)"
 
 
 def with_gain(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Grid]:
     g = Grid(spark, sf)
-    c = candidates(spark, g)
-    pairs = planner.frustum_pairs(c, g.unknown, REACH, HALF)
-    return c, planner.columnar_gain(pairs, g.occupied, LOW[2]), g
+    c = written(candidates(g), "grid-candidates")
+    pairs = planner.frustum_pairs(c, g.unknown, REACH, HALF, R)
+    return c, planner.columnar_gain(pairs, g.occupied, R), g
 
 
-@book.query("grid_g06_columnar_gain", f"WITH RECURSIVE {_COL} SELECT cid, gain FROM cg")
+@book.query("grid_g06_columnar_gain", f"WITH RECURSIVE {_COL} SELECT recording, cid, gain FROM cg")
 def g06(spark: SparkSession, sf: str) -> DataFrame:
     return with_gain(spark, sf)[1]
 
@@ -163,105 +175,126 @@ def g06(spark: SparkSession, sf: str) -> DataFrame:
 def g07(spark: SparkSession, sf: str) -> DataFrame:
     """Gain by marched rays. Cells are reckoned by index, where the reference adds steps up in floating point: tested against a loop."""
     g = Grid(spark, sf)
-    pairs = planner.frustum_pairs(candidates(spark, g), g.unknown, REACH, HALF)
-    return planner.ray_gain(pairs, g.occupied, LOW)
+    pairs = planner.frustum_pairs(written(candidates(g), "grid-candidates"), g.unknown, REACH, HALF, R)
+    return planner.ray_gain(pairs, g.occupied, None, R)
 
 
-_WAY = "wp AS (SELECT DISTINCT px, py, pz FROM fr WHERE file_id % 20 = 0)"
-_CAS = f"""{_COL}, {_WAY}, cs AS (SELECT ca.cid, g, x, y, z, coalesce(gain, 0) AS gain, sqrt(x * x + y * y + z * z) AS dist, EXISTS (SELECT 1 FROM wp WHERE sqrt(pow(px - x, 2) + pow(py - y, 2) + pow(pz - z, 2)) <= 2.5) AS again,
-  (CAST(floor(x) AS BIGINT), CAST(floor(y) AS BIGINT), CAST(floor(z) AS BIGINT)) IN (SELECT (i, j, k) FROM po) AS occ FROM ca LEFT JOIN cg USING (cid)),
+_CAS = f"""{_COL}, cs AS (SELECT ca.recording, ca.cid, g, x, y, z, coalesce(gain, 0) AS gain, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS dist, EXISTS (SELECT 1 FROM po0 w WHERE w.recording = ca.recording AND pow(w.x - ca.x, 2) + pow(w.y - ca.y, 2) + pow(w.z - ca.z, 2) <= 6.25) AS again,
+  EXISTS (SELECT 1 FROM po WHERE po.recording = ca.recording AND po.i = CAST(floor(ca.x) AS BIGINT) AND po.j = CAST(floor(ca.y) AS BIGINT) AND po.k = CAST(floor(ca.z) AS BIGINT)) AS occ FROM ca JOIN sc USING (recording) LEFT JOIN cg ON cg.recording = ca.recording AND cg.cid = ca.cid),
 ct AS (SELECT *, CASE WHEN dist < 3 THEN 'too_close' WHEN again THEN 'revisited' WHEN occ THEN 'occupied' WHEN gain <= 0 THEN 'zero_frustum' ELSE 'scored' END AS status FROM cs)"""
 
 
 def waypoints(spark: SparkSession, sf: str) -> DataFrame:
-    """(wid, x, y, z): every different pose, the whole history that a revisit is judged by."""
-    return frames(spark, sf).select(F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z")).distinct().withColumn("wid", F.xxhash64("x", "y", "z"))
+    """(recording, wid, x, y, z): every different pose of a recording, the whole history that a revisit is judged by."""
+    return poses(spark, sf).select("recording", "x", "y", "z").distinct().withColumn("wid", F.xxhash64("x", "y", "z"))
+
+
+def _from_start(d: DataFrame, grid: Grid) -> DataFrame:
+    d = d.join(grid.start.select("recording", "sx", "sy", "sz"), "recording")
+    part = [(F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "xyz"]
+    return d.withColumn("dist", F.sqrt(part[0] + part[1] + part[2])).drop("sx", "sy", "sz")
 
 
 def cascade(spark: SparkSession, sf: str) -> DataFrame:
     c, gain, g = with_gain(spark, sf)
-    again = S.within(waypoints(spark, sf), c, 2.5, [], "wid", "cid").select("cid").distinct().withColumn("again", F.lit(True))
-    occ = c.withColumns({i: F.floor(a).cast("bigint") for i, a in zip("ijk", "xyz")}).join(g.occupied, ["i", "j", "k"], "left_semi").select("cid", F.lit(True).alias("occ"))
-    d = c.join(gain, "cid", "left").join(again, "cid", "left").join(occ, "cid", "left")
-    d = d.withColumns({"gain": F.coalesce("gain", F.lit(0)), "dist": F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))})
+    key = ["recording", "cid"]
+    again = S.within(waypoints(spark, sf), c, 2.5, R, "wid", "cid").select(*key).distinct().withColumn("again", F.lit(True))
+    occ = c.select("*", *floors()).join(g.occupied, KEY, "left_semi").select(*key, F.lit(True).alias("occ"))
+    d = _from_start(c.join(gain, key, "left").join(again, key, "left").join(occ, key, "left"), g).withColumn("gain", F.coalesce("gain", F.lit(0)))
     status = F.when(F.col("dist") < 3, "too_close").when(F.col("again"), "revisited").when(F.col("occ"), "occupied").when(F.col("gain") <= 0, "zero_frustum").otherwise("scored")
-    return d.select("cid", "g", "x", "y", "z", "gain", "dist", status.alias("status"))
+    return d.select(*key, "g", "x", "y", "z", "gain", "dist", status.alias("status"))
 
 
-@book.query("flt_f14_candidate_cascade", f"WITH RECURSIVE {_CAS} SELECT cid, status FROM ct")
+@book.query("flt_f14_candidate_cascade", f"WITH RECURSIVE {_CAS} SELECT recording, cid, status FROM ct")
 def f14(spark: SparkSession, sf: str) -> DataFrame:
     """Why each viewpoint was dropped; the first reason wins."""
-    return cascade(spark, sf).select("cid", "status")
+    return cascade(spark, sf).select("recording", "cid", "status")
 
 
-@book.query("grid_g08_scores", f"WITH RECURSIVE {_CAS} SELECT cid, round(gain / pow(greatest(dist, 0.01), 1.5), 6) AS score FROM ct WHERE status = 'scored'")
+@book.query("grid_g08_scores", f"WITH RECURSIVE {_CAS} SELECT recording, cid, round(gain / pow(greatest(dist, 0.01), 1.5), 6) AS score FROM ct WHERE status = 'scored'")
 def g08(spark: SparkSession, sf: str) -> DataFrame:
-    return cascade(spark, sf).where("status = 'scored'").select("cid", r6(planner.score(F.col("gain"), F.col("dist"), 1.5)).alias("score"))
+    return cascade(spark, sf).where("status = 'scored'").select("recording", "cid", r6(planner.score(F.col("gain"), F.col("dist"), 1.5)).alias("score"))
 
 
-@book.query("grid_g08_best_viewpoint", f"WITH RECURSIVE {_CAS} SELECT cid, g, gain FROM ct WHERE status = 'scored' ORDER BY round(gain / pow(greatest(dist, 0.01), 1.5), 9) DESC, cid LIMIT 1")
+@book.query("grid_g08_best_viewpoint", f"WITH RECURSIVE {_CAS} SELECT recording, cid, g, gain FROM ct WHERE status = 'scored' QUALIFY row_number() OVER (PARTITION BY recording ORDER BY round(gain / pow(greatest(dist, 0.01), 1.5), 9) DESC, cid) = 1")
 def g08b(spark: SparkSession, sf: str) -> DataFrame:
+    """The viewpoint of each recording that is flown to next."""
     d = cascade(spark, sf).where("status = 'scored'")
-    return d.orderBy(F.desc(F.round(planner.score(F.col("gain"), F.col("dist"), 1.5), 9)), "cid").limit(1).select("cid", "g", "gain")
+    best = F.struct(F.round(planner.score(F.col("gain"), F.col("dist"), 1.5), 9), -F.col("cid"))
+    return d.groupBy("recording").agg(F.max_by(F.struct("cid", "g", "gain"), best).alias("b")).select("recording", "b.*")
 
 
-_WFD = f"""{_PL}, {_WAY}, ce AS (SELECT lab, count(*) AS size, avg(i) + 0.5 AS x, avg(j) + 0.5 AS y, avg(k) + 0.5 AS zf FROM cl GROUP BY lab HAVING count(*) >= 2),
-cz AS (SELECT lab, size, greatest(-11.5, least(11.5, x)) AS x, greatest(-11.5, least(11.5, y)) AS y, greatest(-8, least(5.5, zf - 2)) AS z, zf FROM ce),
-cr AS (SELECT *, sqrt(x * x + y * y + z * z) AS dist, (CAST(floor(x) AS BIGINT), CAST(floor(y) AS BIGINT), CAST(floor(z) AS BIGINT)) IN (SELECT (i, j, k) FROM po) AS occ, EXISTS (SELECT 1 FROM wp WHERE sqrt(pow(px - x, 2) + pow(py - y, 2) + pow(pz - z, 2)) <= 2.5) AS again FROM cz)"""
+_WFD = f"""{_PL}, ce AS (SELECT recording, lab, count(*) AS size, avg(i) + 0.5 AS x, avg(j) + 0.5 AS y, avg(k) + 0.5 AS zf FROM cl GROUP BY recording, lab HAVING count(*) >= 2),
+cz AS (SELECT recording, lab, size, greatest(i0 + 0.5::DOUBLE, least(i1 + 0.5::DOUBLE, x)) AS x, greatest(j0 + 0.5::DOUBLE, least(j1 + 0.5::DOUBLE, y)) AS y, greatest(k0 + 0.5::DOUBLE, least(k1 + 0.5::DOUBLE, zf - 2)) AS z, zf FROM ce JOIN bo USING (recording)),
+cr AS (SELECT cz.*, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS dist, EXISTS (SELECT 1 FROM po WHERE po.recording = cz.recording AND po.i = CAST(floor(cz.x) AS BIGINT) AND po.j = CAST(floor(cz.y) AS BIGINT) AND po.k = CAST(floor(cz.z) AS BIGINT)) AS occ,
+  EXISTS (SELECT 1 FROM po0 w WHERE w.recording = cz.recording AND pow(w.x - cz.x, 2) + pow(w.y - cz.y, 2) + pow(w.z - cz.z, 2) <= 6.25) AS again FROM cz JOIN sc USING (recording))"""
 
 
 def cluster_targets(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid]:
-    """Cluster centroids, lifted 2 m, clamped, with their reject reason."""
+    """Cluster centroids, lifted by 2 cells, clamped, with their reject reason."""
     g = Grid(spark, sf)
-    c = g.clusters().groupBy("lab").agg(F.count(F.lit(1)).alias("size"), *[(F.avg(i) + 0.5).alias(f"m{i}") for i in "ijk"]).where("size >= 2")
-    side = [F.greatest(F.lit(-11.5), F.least(F.lit(11.5), F.col(m))).alias(a) for m, a in (("mi", "x"), ("mj", "y"))]
-    c = c.select("lab", "size", *side, F.greatest(F.lit(-8.0), F.least(F.lit(5.5), F.col("mk") - 2)).alias("z"), F.col("mk").alias("zf"))
-    again = S.within(waypoints(spark, sf), c, 2.5, [], "wid", "lab").select("lab").distinct().withColumn("again", F.lit(True))
-    occ = c.withColumns({i: F.floor(a).cast("bigint") for i, a in zip("ijk", "xyz")}).join(g.occupied, ["i", "j", "k"], "left_semi").select("lab", F.lit(True).alias("occ"))
-    d = c.join(again, "lab", "left").join(occ, "lab", "left").withColumn("dist", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))
+    key = ["recording", "lab"]
+    c = g.clusters().groupBy(*key).agg(F.count(F.lit(1)).alias("size"), *[(F.avg(i) + 0.5).alias(f"m{i}") for i in "ijk"]).where("size >= 2").join(g.bounds, "recording")
+    at = {"i": F.col("mi"), "j": F.col("mj"), "k": F.col("mk") - 2}
+    side = [F.greatest(F.col(f"{i}0") + 0.5, F.least(F.col(f"{i}1") + 0.5, m)).alias(a) for (i, m), a in zip(at.items(), "xyz")]
+    c = written(c.select(*key, "size", *side, F.col("mk").alias("zf")), "grid-targets")
+    again = S.within(waypoints(spark, sf), c, 2.5, R, "wid", "lab").select(*key).distinct().withColumn("again", F.lit(True))
+    occ = c.select("*", *floors()).join(g.occupied, KEY, "left_semi").select(*key, F.lit(True).alias("occ"))
+    d = _from_start(c.join(again, key, "left").join(occ, key, "left"), g)
     reason = F.when(F.coalesce("occ", F.lit(False)), "occupied").when(F.coalesce("again", F.lit(False)), "revisited").when(F.greatest("dist", F.lit(0.01)) < 3, "too_close").otherwise("kept")
     return d.withColumn("reason", reason), g
 
 
-@book.query("flt_f15_cluster_rejects", f"WITH RECURSIVE {_WFD} SELECT lab, size, CASE WHEN occ THEN 'occupied' WHEN again THEN 'revisited' WHEN greatest(dist, 0.01) < 3 THEN 'too_close' ELSE 'kept' END AS reason FROM cr")
+@book.query("flt_f15_cluster_rejects", f"WITH RECURSIVE {_WFD} SELECT recording, lab, size, CASE WHEN occ THEN 'occupied' WHEN again THEN 'revisited' WHEN greatest(dist, 0.01) < 3 THEN 'too_close' ELSE 'kept' END AS reason FROM cr")
 def f15(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster_targets(spark, sf)[0].select("lab", "size", "reason")
+    return cluster_targets(spark, sf)[0].select("recording", "lab", "size", "reason")
 
 
 @book.query(
     "grid_g09_wfd_target",
-    f"""WITH RECURSIVE {_WFD}, gn AS (SELECT lab, dist, (SELECT count(*) FROM pu WHERE pu.i BETWEEN floor(cr.x) - 3 AND floor(cr.x) + 3 AND pu.j BETWEEN floor(cr.y) - 3 AND floor(cr.y) + 3 AND pu.k BETWEEN floor(zf) - 3 AND floor(zf) + 3) AS gain FROM cr WHERE NOT occ AND NOT again AND greatest(dist, 0.01) >= 3)
-  SELECT lab, gain, round(gain / pow(greatest(dist, 0.01), 1.0), 6) AS score, row_number() OVER (ORDER BY round(gain / greatest(dist, 0.01), 9) DESC, lab)::INTEGER AS place FROM gn""",
+    f"""WITH RECURSIVE {_WFD}, kp AS (SELECT recording, lab, dist, CAST(floor(x) AS BIGINT) AS ci, CAST(floor(y) AS BIGINT) AS cj, CAST(floor(zf) AS BIGINT) AS ck FROM cr WHERE NOT occ AND NOT again AND greatest(dist, 0.01) >= 3),
+  nb AS (SELECT kp.recording, lab, count(*) AS n FROM kp JOIN pu ON pu.recording = kp.recording AND pu.i BETWEEN ci - 3 AND ci + 3 AND pu.j BETWEEN cj - 3 AND cj + 3 AND pu.k BETWEEN ck - 3 AND ck + 3 GROUP BY ALL),
+  gn AS (SELECT recording, lab, dist, coalesce(n, 0) AS gain FROM kp LEFT JOIN nb USING (recording, lab))
+  SELECT recording, lab, gain, round(gain / pow(greatest(dist, 0.01), 1.0), 6) AS score, row_number() OVER (PARTITION BY recording ORDER BY round(gain / greatest(dist, 0.01), 9) DESC, lab)::INTEGER AS place FROM gn""",
 )
 def g09(spark: SparkSession, sf: str) -> DataFrame:
-    """Kept clusters by the unknown cells in the 7^3 box around them over the distance."""
+    """Kept clusters by the unknown cells in the 7^3 box around them over the distance, ranked within their recording."""
     c, g = cluster_targets(spark, sf)
-    box = c.where("reason = 'kept'").select("lab", "dist", *[F.floor(a).cast("bigint").alias(i) for a, i in (("x", "i"), ("y", "j"), ("zf", "k"))])
+    key = ["recording", "lab"]
+    box = c.where("reason = 'kept'").select(*key, "dist", *[F.floor(a).cast("bigint").alias(i) for a, i in (("x", "i"), ("y", "j"), ("zf", "k"))])
     cells = box
     for i in "ijk":
         cells = cells.withColumn(i, F.explode(F.sequence(F.col(i) - 3, F.col(i) + 3)))
-    n = cells.join(g.unknown, ["i", "j", "k"]).groupBy("lab").agg(F.count(F.lit(1)).alias("gain"))
-    d = box.join(n, "lab", "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+    n = cells.join(g.unknown, KEY).groupBy(*key).agg(F.count(F.lit(1)).alias("gain"))
+    d = box.join(n, key, "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
     s = planner.score(F.col("gain"), F.col("dist"), 1.0)
-    return d.select("lab", "gain", r6(s).alias("score"), F.row_number().over(Window.orderBy(F.desc(F.round(s, 9)), "lab")).alias("place"))
+    w = Window.partitionBy("recording").orderBy(F.desc(F.round(s, 9)), "lab")
+    return d.select(*key, "gain", r6(s).alias("score"), F.row_number().over(w).alias("place"))
 
 
-_LINE = f"""ls AS (SELECT file_id, px AS x, py AS y, pz AS z, sqrt(px * px + py * py + pz * pz) AS d FROM fr), lt AS (SELECT file_id, x, y, z, d, unnest(generate_series(0, CAST(ceil(d / 0.3) AS INTEGER))) AS s FROM ls WHERE d >= 1e-6),
-lc AS (SELECT DISTINCT file_id, CAST(floor(x / d * least(s * 0.3, d)) AS BIGINT) AS i, CAST(floor(y / d * least(s * 0.3, d)) AS BIGINT) AS j, CAST(floor(z / d * least(s * 0.3, d)) AS BIGINT) AS k FROM lt)"""
+def _line_sql(goals: str) -> str:
+    """Cells on the straight line from the start to each row (recording, gid, x, y, z) of ``goals``, every 0.3 of a cell."""
+    return f"""ls AS (SELECT g.recording, gid, sx, sy, sz, x - sx AS dx, y - sy AS dy, z - sz AS dz, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS d FROM {goals} g JOIN sc USING (recording)),
+lt AS (SELECT *, unnest(generate_series(0, CAST(ceil(d / 0.3) AS INTEGER))) AS s FROM ls WHERE d >= 1e-6),
+lc AS (SELECT DISTINCT recording, gid, {", ".join(f"CAST(floor(s{a} + d{a} / d * least(s * 0.3, d)) AS BIGINT) AS {i}" for a, i in zip("xyz", "ijk"))} FROM lt),
+hit AS (SELECT DISTINCT recording, gid FROM lc SEMI JOIN po USING (recording, i, j, k))"""
 
 
-def line_cells(f: DataFrame) -> DataFrame:
-    d = F.sqrt(F.col("px") * F.col("px") + F.col("py") * F.col("py") + F.col("pz") * F.col("pz"))
-    s = f.select("file_id", "px", "py", "pz", d.alias("d")).where("d >= 1e-6").withColumn("s", F.explode(F.sequence(F.lit(0), F.ceil(F.col("d") / 0.3).cast("int"))))
-    return s.select("file_id", *[F.floor(F.col(f"p{a}") / F.col("d") * F.least(F.col("s") * 0.3, F.col("d"))).cast("bigint").alias(i) for a, i in zip("xyz", "ijk")]).distinct()
+def blocked(goals: DataFrame, grid: Grid, gid: str) -> DataFrame:
+    """(recording, gid) of the goals whose straight line from the start meets an occupied cell, by steps of 0.3 of a cell."""
+    d = _from_start(goals.select("recording", gid, "x", "y", "z"), grid).where("dist >= 1e-6").join(grid.start.select("recording", "sx", "sy", "sz"), "recording")
+    s = d.withColumn("s", F.explode(F.sequence(F.lit(0), F.ceil(F.col("dist") / 0.3).cast("int"))))
+    way = F.least(F.col("s") * 0.3, F.col("dist"))
+    cells = s.select("recording", gid, *[F.floor(F.col(f"s{a}") + (F.col(a) - F.col(f"s{a}")) / F.col("dist") * way).cast("bigint").alias(i) for a, i in zip("xyz", "ijk")]).distinct()
+    return cells.join(grid.occupied, KEY, "left_semi").select("recording", gid).distinct()
 
 
-@book.query("grid_g12_straight_line_free", f"WITH RECURSIVE {_PL}, {_LINE}, hit AS (SELECT DISTINCT file_id FROM lc WHERE (i, j, k) IN (SELECT (i, j, k) FROM po)) SELECT fr.file_id, hit.file_id IS NULL AS free FROM fr LEFT JOIN hit USING (file_id)")
+@book.query("grid_g12_straight_line_free", f"WITH RECURSIVE {_PL}, gp AS (SELECT recording, file_id AS gid, x, y, z FROM po0), {_line_sql('gp')} SELECT file_id, hit.gid IS NULL AS free FROM po0 LEFT JOIN hit ON hit.gid = po0.file_id")
 def g12(spark: SparkSession, sf: str) -> DataFrame:
-    """Does the straight line from the start to each pose meet no occupied cell."""
-    f = frames(spark, sf)
-    hit = line_cells(f).join(Grid(spark, sf).occupied, ["i", "j", "k"], "left_semi").select("file_id").distinct().withColumn("hit", F.lit(True))
-    return f.join(hit, "file_id", "left").select("file_id", F.col("hit").isNull().alias("free"))
+    """Does the straight line from its recording's start to each pose meet no occupied cell."""
+    f = poses(spark, sf)
+    hit = blocked(f, Grid(spark, sf), "file_id").select("file_id").withColumn("hit", F.lit(True))
+    return f.select("file_id").join(hit, "file_id", "left").select("file_id", F.col("hit").isNull().alias("free"))
 
 
 #: Straight up first, then the 26 directions of growing shells, in the order they are tried.
@@ -269,13 +302,13 @@ ESCAPES = [(0, 0, -d) for d in range(1, 6)] + [(a * r, b * r, c * r) for r in ra
 _ESC = "(VALUES " + ", ".join(f"({n}, {a}, {b}, {c})" for n, (a, b, c) in enumerate(ESCAPES)) + ") AS es(rank, di, dj, dk)"
 
 
-@book.query("grid_g13_nearest_free", f"WITH RECURSIVE {_PL}, c AS (SELECT file_id, CAST(floor(px) AS BIGINT) AS i, CAST(floor(py) AS BIGINT) AS j, CAST(floor(pz) AS BIGINT) AS k FROM fr) SELECT c.file_id, CAST(min(rank) AS INTEGER) AS rank FROM c, {_ESC}, pf WHERE pf.i = c.i + di AND pf.j = c.j + dj AND pf.k = c.k + dk GROUP BY c.file_id")
+@book.query("grid_g13_nearest_free", f"WITH RECURSIVE {_PL} SELECT c.file_id, CAST(min(rank) AS INTEGER) AS rank FROM po0 c, {_ESC}, pf WHERE pf.recording = c.recording AND pf.i = c.i + di AND pf.j = c.j + dj AND pf.k = c.k + dk GROUP BY c.file_id")
 def g13(spark: SparkSession, sf: str) -> DataFrame:
     """The first free cell by the order of escapes; it need not be the nearest."""
-    c = frames(spark, sf).select("file_id", *[F.floor(f"p{a}").cast("bigint").alias(i) for a, i in zip("xyz", "ijk")])
+    c = poses(spark, sf).select("file_id", *KEY)
     esc = F.array(*[F.struct(F.lit(n).alias("rank"), *[F.lit(v).alias(f"d{i}") for i, v in zip("ijk", s)]) for n, s in enumerate(ESCAPES)])
-    e = c.withColumn("e", F.explode(esc)).select("file_id", "e.rank", *[(F.col(i) + F.col(f"e.d{i}")).alias(i) for i in "ijk"])
-    return e.join(Grid(spark, sf).free, ["i", "j", "k"], "left_semi").groupBy("file_id").agg(F.min("rank").alias("rank"))
+    e = c.withColumn("e", F.explode(esc)).select("file_id", "recording", "e.rank", *[(F.col(i) + F.col(f"e.d{i}")).alias(i) for i in "ijk"])
+    return e.join(Grid(spark, sf).free, KEY, "left_semi").groupBy("file_id").agg(F.min("rank").alias("rank"))
 
 
 _NEAR26 = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
@@ -284,27 +317,33 @@ _NEAR26 = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)
 @book.query("grid_g14_grid_distance")
 def g14(spark: SparkSession, sf: str) -> DataFrame:
     """Steps from the start to every free cell over 26 neighbours: the deterministic stand-in for the sampling planners."""
-    return graph.reachable(Grid(spark, sf).free, (0, 0, 0), _NEAR26)
-
+    return Grid(spark, sf).reached(_NEAR26)
 
-@book.query("flt_f17_random_goals", f"WITH RECURSIVE {_PL}, go AS (SELECT n, {_RND.format(n='(n * 3 + 7)')} * 2 AS x, {_RND.format(n='(n * 3 + 8)')} * 2 AS y, {_RND.format(n='(n * 3 + 9)')} AS z FROM generate_series(0, 199) r(n)) SELECT n, CASE WHEN (CAST(floor(x) AS BIGINT), CAST(floor(y) AS BIGINT), CAST(floor(z) AS BIGINT)) NOT IN (SELECT (i, j, k) FROM pf) THEN 'not traversable' WHEN z > 4 THEN 'below ground' WHEN sqrt(x * x + y * y + z * z) < 3 THEN 'too near' ELSE 'good' END AS verdict FROM go")
-def f17(spark: SparkSession, sf: str) -> DataFrame:
-    """Pseudo-random goals and the first reason against each."""
-    def rnd(n):
-        return ((n * 1103515245 + 12345) % 2147483648) / 2147483648.0 * 12.0 - 6.0
 
-    g = spark.range(200).select(F.col("id").alias("n"), (rnd(F.col("id") * 3 + 7) * 2).alias("x"), (rnd(F.col("id") * 3 + 8) * 2).alias("y"), rnd(F.col("id") * 3 + 9).alias("z"))
-    g = g.withColumns({i: F.floor(a).cast("bigint") for i, a in zip("ijk", "xyz")}).join(Grid(spark, sf).free.withColumn("ok", F.lit(True)), ["i", "j", "k"], "left")
-    near = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) < 3
-    return g.select("n", F.when(F.col("ok").isNull(), "not traversable").when(F.col("z") > 4, "below ground").when(near, "too near").otherwise("good").alias("verdict"))
+_GOAL = f"go AS (SELECT recording, n AS gid, sx + {_RND.format(n='(n * 3 + 7)')} * 2 AS x, sy + {_RND.format(n='(n * 3 + 8)')} * 2 AS y, sz + {_RND.format(n='(n * 3 + 9)')} AS z FROM sc, generate_series(0, 199) r(n))"
 
 
-@book.query("grid_g10_random_target", f"WITH RECURSIVE {_PL}, near AS (SELECT DISTINCT po.i + di AS i, po.j + dj AS j, po.k + dk AS k FROM po, {_ball_sql(S.offsets(2, 'cross'))}) SELECT i, j, k FROM pf WHERE (i, j, k) IN (SELECT (i, j, k) FROM near) ORDER BY ((i + 12) * 288 + (j + 12) * 12 + k + 6) * 7919 % 10007, i, j, k LIMIT 1")
+@book.query("flt_f17_random_goals", f"""WITH RECURSIVE {_PL}, {_GOAL}, {_line_sql('go')}, gc AS (SELECT go.*, sz, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS d, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, CAST(floor(z) AS BIGINT) AS k FROM go JOIN sc USING (recording))
+  SELECT gc.recording, gc.gid AS n, CASE WHEN pf.i IS NULL THEN 'not traversable' WHEN z > sz + 4 THEN 'below ground' WHEN d < 3 THEN 'too near' WHEN hit.gid IS NULL THEN 'straight line free' ELSE 'good' END AS verdict FROM gc LEFT JOIN pf USING (recording, i, j, k) LEFT JOIN hit ON hit.recording = gc.recording AND hit.gid = gc.gid""")
+def f17(spark: SparkSession, sf: str) -> DataFrame:
+    """Pseudo-random goals around each start and the first reason against each; a goal in free sight is no test of a planner."""
+    grid = Grid(spark, sf)
+    at = grid.start.withColumn("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(199).cast("bigint"))))
+    g = at.select("recording", "n", *[(F.col(f"s{a}") + _rnd(F.col("n") * 3 + m) * scale).alias(a) for a, m, scale in (("x", 7, 2), ("y", 8, 2), ("z", 9, 1))])
+    hit = blocked(g, grid, "n").withColumn("hit", F.lit(True))
+    d = _from_start(g, grid).join(grid.start.select("recording", "sz"), "recording").select("*", *floors())
+    d = d.join(grid.free.withColumn("ok", F.lit(True)), KEY, "left").join(hit, ["recording", "n"], "left")
+    verdict = F.when(F.col("ok").isNull(), "not traversable").when(F.col("z") > F.col("sz") + 4, "below ground").when(F.col("dist") < 3, "too near").when(F.col("hit").isNull(), "straight line free")
+    return d.select("recording", "n", verdict.otherwise("good").alias("verdict"))
+
+
+@book.query("grid_g10_random_target", f"WITH RECURSIVE {_PL}, near AS (SELECT DISTINCT po.recording, po.i + di AS i, po.j + dj AS j, po.k + dk AS k FROM po, {ball_sql(S.offsets(2, 'cross'))}) SELECT recording, i, j, k FROM pf SEMI JOIN near USING (recording, i, j, k) QUALIFY row_number() OVER (PARTITION BY recording ORDER BY {_LAB} * 7919 % 10007, i, j, k) = 1")
 def g10(spark: SparkSession, sf: str) -> DataFrame:
     """A pseudo-random free cell near an obstacle: the target that the random planner flies to."""
     g = Grid(spark, sf)
-    near = g.free.join(S.shifted(g.occupied, S.offsets(2, "cross")), ["i", "j", "k"], "left_semi")
-    return near.orderBy(((F.col("i") + 12) * 288 + (F.col("j") + 12) * 12 + F.col("k") + 6) * 7919 % 10007, "i", "j", "k").limit(1)
+    near = g.free.join(S.shifted(g.occupied, S.offsets(2, "cross"), group=R), KEY, "left_semi")
+    order = F.struct(number(F.col("i"), F.col("j"), F.col("k")) * 7919 % 10007, "i", "j", "k")
+    return near.groupBy("recording").agg(F.min_by(F.struct("i", "j", "k"), order).alias("c")).select("recording", "c.*")
 
 
 @book.query("grid_g11_perimeter_points", "WITH p AS (SELECT event_id, event_id * 37 % 9700 / 100.0::DOUBLE AS s FROM events) SELECT event_id, round(CASE WHEN s < 24 THEN -12 + s WHEN s < 48.5 THEN 12 WHEN s < 72.5 THEN 12 - (s - 48.5) ELSE -12 END, 6) AS x, round(CASE WHEN s < 24 THEN -12.25 WHEN s < 48.5 THEN -12.25 + (s - 24) WHEN s < 72.5 THEN 12.25 ELSE 12.25 - (s - 72.5) END, 6) AS y FROM p")

@@ -10,8 +10,9 @@ from aerolith.functions import labels as L
 from aerolith.operators import folds, paths
 from aerolith.operators import voxel as V
 from aerolith.plans.aggregates import IJK, candidates, steps
-from aerolith.plans.book import MAPS, POINTS, Book, frames, map_points, points, r6
-from aerolith.plans.joins import HALVES, LATTICE, halves, unknown
+from aerolith.plans.book import MAPS, POINTS, Book, frames, map_points, points, r6, WORLD, WORLD_MAPS, world, world_map_points
+from aerolith.plans.joins import HALVES, IDS, halves, ids
+from aerolith.plans.lattice import CELL_M, LATTICE, R, Lattice, poses
 from aerolith.plans.scalar import _SCANS, scans
 from aerolith.runtime import table
 
@@ -37,9 +38,9 @@ def w01(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("n_rejected"), F.sum(F.when(F.col("rejected"), F.col("event_id")).otherwise(0)).alias("id_sum"))
 
 
-@book.query("win_w02_first_seen", f"WITH {POINTS}, c AS (SELECT DISTINCT recording, frame_id, {IJK.format('4.0')} FROM pt) SELECT recording, frame_id, i, j, k, min(frame_id) OVER (PARTITION BY recording, i, j, k) = frame_id AS first_time FROM c")
+@book.query("win_w02_first_seen", f"WITH {WORLD}, c AS (SELECT DISTINCT recording, frame_id, {IJK.format('4.0')} FROM pt) SELECT recording, frame_id, i, j, k, min(frame_id) OVER (PARTITION BY recording, i, j, k) = frame_id AS first_time FROM c")
 def w02(spark: SparkSession, sf: str) -> DataFrame:
-    c = points(spark, sf).select("recording", "frame_id", *[V.cell(F.col(a), 4.0).alias(i) for a, i in zip("xyz", "ijk")]).distinct()
+    c = world(spark, sf).select("recording", "frame_id", *[V.cell(F.col(a), 4.0).alias(i) for a, i in zip("xyz", "ijk")]).distinct()
     return c.withColumn("first_time", F.min("frame_id").over(Window.partitionBy("recording", "i", "j", "k")) == F.col("frame_id"))
 
 
@@ -80,15 +81,26 @@ def f18(spark: SparkSession, sf: str) -> DataFrame:
     return folds.rate_limited(e, "user_id", "us", "event_id", 36_000_000_000).where("kept").select("user_id", "event_id")
 
 
-@book.query("win_w05_ecdf", f"WITH {HALVES} SELECT recording, pid, round(row_number() OVER (PARTITION BY recording ORDER BY dist, pid) / count(*) OVER (PARTITION BY recording), 9) AS cdf FROM n1")
+#: The curve keeps about so many of its points.
+CURVE = 5000
+
+
+@book.query("win_w05_ecdf", f"WITH {HALVES}, rk AS (SELECT recording, pid, row_number() OVER (PARTITION BY recording ORDER BY dist, pid) AS rank, count(*) OVER (PARTITION BY recording) AS n FROM n1) SELECT recording, {IDS}, round(rank / n, 9) AS cdf FROM rk WHERE (rank - 1) % greatest(1, n // {CURVE}) = 0")
 def w05(spark: SparkSession, sf: str) -> DataFrame:
-    """Empirical distribution of nearest-neighbour distances, distinct steps on ties."""
+    """Empirical distribution of nearest-neighbour distances, distinct steps on ties, thinned to about CURVE points.
+
+    Ranks are counted in two levels, within bins of distance and over the bins, so no recording lies in one task.
+    """
     from aerolith.operators.spatial import nearest
 
     ev, od = halves(spark, sf)
-    n = nearest(ev, od.withColumnRenamed("pid", "other"), ["recording"], "pid", "other", 4.0)
+    n = nearest(ev, od.withColumnRenamed("pid", "other"), R, "pid", "other", 4.0).withColumn("bin", F.floor(F.col("dist") * 8))
+    per = n.groupBy("recording", "bin").agg(F.count(F.lit(1)).alias("m"))
     w = Window.partitionBy("recording")
-    return n.select("recording", "pid", F.round(F.row_number().over(w.orderBy("dist", "pid")) / F.count(F.lit(1)).over(w), 9).alias("cdf"))
+    below = per.select("recording", "bin", (F.sum("m").over(w.orderBy("bin")) - F.col("m")).alias("below"), F.sum("m").over(w).alias("n"))
+    ranked = n.withColumn("r", F.row_number().over(Window.partitionBy("recording", "bin").orderBy("dist", "pid"))).join(below, ["recording", "bin"])
+    ranked = ranked.withColumn("rank", F.col("below") + F.col("r")).where((F.col("rank") - 1) % F.greatest(F.lit(1), F.expr(f"n div {CURVE}")) == 0)
+    return ranked.select("recording", *ids(), F.round(F.col("rank") / F.col("n"), 9).alias("cdf"))
 
 
 _SHARED = """xs AS (SELECT unnest(generate_series(0, 50)) * 10.0::DOUBLE AS x), q AS (SELECT user_id, event_type AS method, value AS d FROM events),
@@ -223,11 +235,12 @@ def w14(spark: SparkSession, sf: str) -> DataFrame:
 # Sorting, limits and sampling
 
 
-@book.query("ord_o01_densest_columns", f"WITH {LATTICE}, c AS (SELECT i, j, count(*) AS n FROM un GROUP BY i, j) SELECT i, j, n FROM c WHERE n > 0 ORDER BY n DESC, i, j LIMIT 20")
+@book.query("ord_o01_densest_columns", f"WITH {LATTICE} SELECT recording, i, j, n FROM (SELECT recording, i, j, count(*) AS n FROM un GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY recording ORDER BY n DESC, i, j) <= 20")
 def o01(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 columns with most unknown cells; ties by index."""
-    c = unknown(spark, sf).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
-    return c.orderBy(F.desc("n"), "i", "j").limit(20)
+    """The 20 columns of each recording with most unknown cells; ties by index."""
+    c = Lattice(spark, sf).unknown.groupBy("recording", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("recording").orderBy(F.desc("n"), "i", "j")
+    return c.withColumn("rn", F.row_number().over(w)).where("rn <= 20").drop("rn")
 
 
 @book.query("ord_o02_best_candidate", "SELECT user_id, arg_max(event_id, (value, -event_id)) AS best, max(value) AS score FROM events GROUP BY user_id")
@@ -236,17 +249,13 @@ def o02(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"), F.max("value").alias("score"))
 
 
-@book.query("ord_o03_nearest_frontier", f"WITH {LATTICE} SELECT f.file_id, min(pow(fo.i + 0.5 - px, 2) + pow(fo.j + 0.5 - py, 2) + pow(fo.k + 0.5 - pz, 2)) AS d2 FROM fr f, fo GROUP BY f.file_id")
+@book.query("ord_o03_nearest_frontier", f"WITH {LATTICE} SELECT f.file_id, round(sqrt(min(pow(fo.i + 0.5 - x, 2) + pow(fo.j + 0.5 - y, 2) + pow(fo.k + 0.5 - z, 2))) * {CELL_M}, 6) AS dist FROM po0 f JOIN fo USING (recording) GROUP BY f.file_id")
 def o03(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest frontier cell of each pose: the fallback target."""
+    """Metres from each pose to the nearest frontier cell of its recording: the fallback target."""
     from aerolith.operators.spatial import nearest
-    from aerolith.plans.joins import frontier
 
-    goal = frontier(spark, sf).select(F.struct("i", "j", "k").alias("cell"), *[(F.col(i) + 0.5).alias(a) for i, a in zip("ijk", "xyz")])
-    f = frames(spark, sf).select("file_id", *[F.col(f"p{a}").alias(a) for a in "xyz"])
-    n = nearest(f, goal, [], "file_id", "cell", 8.0)
-    centre = G.Vec(*[F.col(f"cell.{i}") + 0.5 - F.col(a) for i, a in zip("ijk", "xyz")])
-    return n.join(f, "file_id").select("file_id", centre.dot(centre).alias("d2"))
+    goal = Lattice(spark, sf).frontier.select("recording", F.struct("i", "j", "k").alias("cell"), *[(F.col(i) + 0.5).alias(a) for i, a in zip("ijk", "xyz")])
+    return nearest(poses(spark, sf), goal, R, "file_id", "cell", 2.0).select("file_id", r6(F.col("dist") * CELL_M).alias("dist"))
 
 
 _NAT = "n AS (SELECT DISTINCT map_id, folder, regexp_replace(regexp_replace(regexp_replace(folder, '^[A-Za-z_]*[0-9]+_', ''), '_noise_[0-9.]+cm_[0-9.]+deg$', ''), '_clean$', '') AS method, coalesce(CAST(nullif(regexp_extract(folder, 'noise_([0-9.]+)cm_([0-9.]+)deg', 1), '') AS DOUBLE), -1) AS cm, coalesce(CAST(nullif(regexp_extract(folder, 'noise_([0-9.]+)cm_([0-9.]+)deg', 2), '') AS DOUBLE), -1) AS deg FROM slam_map)"
@@ -308,11 +317,11 @@ def o11(spark: SparkSession, sf: str) -> DataFrame:
 
 # Set operations
 
-_CELLS = f"{POINTS}, ce AS (SELECT DISTINCT recording, frame_id, {IJK.format('4.0')} FROM pt)"
+_CELLS = f"{WORLD}, ce AS (SELECT DISTINCT recording, frame_id, {IJK.format('4.0')} FROM pt)"
 
 
 def frame_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).select("recording", "frame_id", *[V.cell(F.col(a), 4.0).alias(i) for a, i in zip("xyz", "ijk")]).distinct()
+    return world(spark, sf).select("recording", "frame_id", *[V.cell(F.col(a), 4.0).alias(i) for a, i in zip("xyz", "ijk")]).distinct()
 
 
 @book.query("set_u01_new_keys", f"WITH {_CELLS} SELECT DISTINCT recording, i, j, k FROM ce WHERE frame_id >= 5 EXCEPT SELECT recording, i, j, k FROM ce WHERE frame_id < 5")
@@ -333,32 +342,31 @@ def u03(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("recording").unionByName(map_points(spark, sf).select("recording")).groupBy("recording").agg(F.count(F.lit(1)).alias("n"))
 
 
-@book.query("set_u04_merge_maps", f"WITH {POINTS}, {MAPS}, al AS (SELECT recording, x, y, z FROM pt UNION ALL SELECT recording, x, y, z FROM mp), a AS (SELECT recording, {IJK.format('0.5')} FROM al), n AS (SELECT recording, count(DISTINCT (i, j, k)) AS n1 FROM a GROUP BY recording), b AS (SELECT recording, {IJK.format('1.0')} FROM al), m AS (SELECT recording, count(DISTINCT (i, j, k)) AS n2 FROM b GROUP BY recording) SELECT recording, CASE WHEN n1 > 200 THEN n2 ELSE n1 END AS n_cells, n1 > 200 AS coarser FROM n JOIN m USING (recording)")
+@book.query("set_u04_merge_maps", f"WITH {WORLD}, {WORLD_MAPS}, al AS (SELECT recording, x, y, z FROM pt UNION ALL SELECT recording, x, y, z FROM mp), a AS (SELECT recording, {IJK.format('0.5')} FROM al), n AS (SELECT recording, count(DISTINCT (i, j, k)) AS n1 FROM a GROUP BY recording), b AS (SELECT recording, {IJK.format('1.0')} FROM al), m AS (SELECT recording, count(DISTINCT (i, j, k)) AS n2 FROM b GROUP BY recording) SELECT recording, CASE WHEN n1 > 200 THEN n2 ELSE n1 END AS n_cells, n1 > 200 AS coarser FROM n JOIN m USING (recording)")
 def u04(spark: SparkSession, sf: str) -> DataFrame:
     """Clouds merged and voxelised; maps of more than 200 cells at twice the cell size, from the finer cells."""
-    both = points(spark, sf).select("recording", "x", "y", "z").unionByName(map_points(spark, sf).select("recording", "x", "y", "z"))
+    both = world(spark, sf).select("recording", "x", "y", "z").unionByName(world_map_points(spark, sf).select("recording", "x", "y", "z"))
     fine = both.select("recording", *[V.cell(F.col(a), 0.5).alias(i) for a, i in zip("xyz", "ijk")]).distinct()
     n1 = fine.groupBy("recording").agg(F.count(F.lit(1)).alias("n1"))
     n2 = fine.select("recording", *[F.floor(F.col(i) / 2).alias(i) for i in "ijk"]).distinct().groupBy("recording").agg(F.count(F.lit(1)).alias("n2"))
     return n1.join(n2, "recording").select("recording", F.when(F.col("n1") > 200, F.col("n2")).otherwise(F.col("n1")).alias("n_cells"), (F.col("n1") > 200).alias("coarser"))
 
 
-@book.query("set_u05_mask_algebra", f"WITH {LATTICE} SELECT i, j, k, CASE WHEN occ THEN 'occupied' ELSE 'free' END AS state FROM ob UNION ALL SELECT i, j, k, 'unknown' FROM un")
+@book.query("set_u05_mask_algebra", f"WITH {LATTICE} SELECT recording, i, j, k, CASE WHEN occ THEN 'occupied' ELSE 'free' END AS state FROM ob UNION ALL SELECT recording, i, j, k, 'unknown' FROM un")
 def u05(spark: SparkSession, sf: str) -> DataFrame:
-    from aerolith.plans.joins import observed
-
-    ob = observed(spark, sf).select("i", "j", "k", F.when(F.col("occ"), "occupied").otherwise("free").alias("state"))
-    return ob.unionByName(unknown(spark, sf).withColumn("state", F.lit("unknown")))
+    lat = Lattice(spark, sf)
+    ob = lat.observed.select("recording", "i", "j", "k", F.when(F.col("occ"), "occupied").otherwise("free").alias("state"))
+    return ob.unionByName(lat.unknown.withColumn("state", F.lit("unknown")))
 
 
-@book.query("set_u06_candidate_pool", f"WITH {POINTS}, {MAPS}, po AS (SELECT 0 AS src, file_id * 1000 + pt_id AS id, x, y, z FROM pt UNION ALL SELECT 1, map_id * 1000 + pt_id, x, y, z FROM mp) SELECT CAST(round_even(x / 2.0, 0) AS BIGINT) AS i, CAST(round_even(y / 2.0, 0) AS BIGINT) AS j, CAST(round_even(greatest(-15, least(0, z)) / 2.0, 0) AS BIGINT) AS k, min(src) AS src, arg_min(id, (src, id)) AS id FROM po GROUP BY ALL")
+@book.query("set_u06_candidate_pool", f"WITH {WORLD}, {WORLD_MAPS}, po AS (SELECT 0 AS src, file_id AS id, pt_id AS pt, x, y, z FROM pt UNION ALL SELECT 1, map_id, pt_id, x, y, z FROM mp) SELECT CAST(round_even(x / 2.0, 0) AS BIGINT) AS i, CAST(round_even(y / 2.0, 0) AS BIGINT) AS j, CAST(round_even(greatest(-15, least(0, z)) / 2.0, 0) AS BIGINT) AS k, min(src) AS src, arg_min(id, (src, id, pt)) AS id, CAST(arg_min(pt, (src, id, pt)) AS BIGINT) AS pt FROM po GROUP BY ALL")
 def u06(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates of two generators, heights clamped, snapped to 2 m with halves to even; the first of a snap stays."""
-    a = points(spark, sf).select(F.lit(0).alias("src"), (F.col("file_id") * 1000 + F.col("pt_id")).alias("id"), "x", "y", "z")
-    b = map_points(spark, sf).select(F.lit(1).alias("src"), (F.col("map_id") * 1000 + F.col("pt_id")).alias("id"), "x", "y", "z")
+    a = world(spark, sf).select(F.lit(0).alias("src"), F.col("file_id").alias("id"), F.col("pt_id").alias("pt"), "x", "y", "z")
+    b = world_map_points(spark, sf).select(F.lit(1).alias("src"), F.col("map_id").alias("id"), F.col("pt_id").alias("pt"), "x", "y", "z")
     p = a.unionByName(b).withColumn("z", F.greatest(F.lit(-15.0), F.least(F.lit(0.0), F.col("z"))))
     snap = [F.bround(F.col(c) / 2.0, 0).cast("bigint").alias(i) for c, i in zip("xyz", "ijk")]
-    return p.groupBy(*snap).agg(F.min("src").alias("src"), F.min_by("id", F.struct("src", "id")).alias("id"))
+    return p.groupBy(*snap).agg(F.min(F.struct("src", "id", "pt")).alias("first")).select("i", "j", "k", "first.*")
 
 
 @book.query("set_u07_step_names", "SELECT DISTINCT step FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS step FROM frame_timing WHERE {s} >= 0 AND isfinite({s})" for s in ("t_transform_ms", "t_get_vis_ms", "t_local_crop_ms", "t_register_total_ms", "t_gtsam_ms", "t_octo_insert_ms", "t_vox_track_ms", "t_vis_ms")) + ")")
