@@ -61,7 +61,7 @@ def nearest(queries: DataFrame, targets: DataFrame, group: list[str], query_id:
     count once per id.
 
     Exact: the cells around a query hold all targets up to some margin, and a neighbour within it is
-    final; the other queries go on in cells four times as large. The first size is fitted to the
+    final; the other queries go on in cells twice as large. The first size is fitted to the
     targets' density around ``cell``, the usual distance. Where cells are crowded, as around a
     place that holds a third of all points, their queries begin in smaller cells, as small as it takes.
     """
@@ -108,7 +108,7 @@ def nearest(queries: DataFrame, targets: DataFrame, group: list[str], query_id:
         left = written(left, "nn-left")
         if left.isEmpty():
             break
-        size *= 4
+        size *= 2
     return q.join(found, [*group, *XYZ]).select(*group, F.col("__q").alias(query_id), F.col("__t").alias(target_id), "dist")
 
 
