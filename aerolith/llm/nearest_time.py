@@ -7,10 +7,16 @@ right row can come; right rows that no present or future left row can reach are
 State is kept per entity and time shard, not per entity: an entity with a third of all rows is
 spread over as many tasks as it is long. A right row within the tolerance of a shard's border is
 also sent to the neighbouring shard, so no pair is lost. Only (time, id) of a row are kept.
+
+Each source has its own watermark and the slowest one counts, so a source that is read faster than
+another makes no row of the other late. The watermark stays ``lateness`` behind; rows that are later
+still would be dropped by it, so a bounded run counts them and goes again with more patience if
+there were any.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -125,58 +131,83 @@ def joiner(sides: list[Side]):
     return hold
 
 
+COLUMNS = ["entity", "shard", "side", "ts", "id", "event_time"]
+
+
 def side_rows(df: DataFrame, side: Side | None, entity: Column, ts_ns: Column, row_id: Column, shard_ns: int = SHARD_NS) -> DataFrame:
     """Rows of one side as (entity, shard, side, ts, id, event_time); right rows near a border in both shards.
 
     Rows without entity, time or id have no partner and are left out.
     """
-    d = df.select(entity.cast("string").alias("entity"), ts_ns.alias("ts"), row_id.cast("bigint").alias("id"), F.lit(side.number if side else LEFT).alias("side"))
-    d = d.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & F.col("id").isNotNull())
+    return several_sides(df, [] if side is None else [side], F.lit(side.number if side else LEFT), entity, ts_ns, row_id, shard_ns)
+
+
+def several_sides(df: DataFrame, sides: list[Side], number: Column, entity: Column, ts_ns: Column, row_id: Column, shard_ns: int = SHARD_NS) -> DataFrame:
+    """As ``side_rows`` of a table that holds several right sides; rows whose ``number`` is null are of none."""
+    d = df.select(entity.cast("string").alias("entity"), ts_ns.alias("ts"), row_id.cast("bigint").alias("id"), number.cast("int").alias("side"))
+    d = d.where(F.col("entity").isNotNull() & F.col("ts").isNotNull() & F.col("id").isNotNull() & F.col("side").isNotNull())
 
     def shard(t: str) -> str:
         return f"(({t}) - pmod({t}, {shard_ns}L)) div {shard_ns}L"
 
-    if side is None:
-        d = d.withColumn("shard", F.expr(shard("ts")))
+    if sides:
+        reach = "case side " + " ".join(f"when {s.number} then {s.tolerance_ns}L" for s in sides) + " else 0L end"
+        d = d.withColumn("shard", F.explode(F.expr(f"sequence({shard(f'ts - {reach}')}, {shard(f'ts + {reach}')})")))
     else:
-        d = d.withColumn("shard", F.explode(F.expr(f"sequence({shard(f'ts - {side.tolerance_ns}L')}, {shard(f'ts + {side.tolerance_ns}L')})")))
-    return d.withColumn("event_time", F.timestamp_micros(F.expr(f"ts div 2000L + {CLOCK_ZERO}L")))
+        d = d.withColumn("shard", F.expr(shard("ts")))
+    return d.withColumn("event_time", F.timestamp_micros(F.expr(f"ts div 2000L + {CLOCK_ZERO}L"))).select(*COLUMNS)
 
 
-def join_stream(rows: DataFrame, sides: list[Side], lateness_ns: int = 0) -> DataFrame:
-    """The streaming join of the union of ``side_rows``: (left_id, side, right_id, left_ts, right_ts).
+def join_stream(sources: DataFrame | list[DataFrame], sides: list[Side], lateness_ns: int = 0) -> DataFrame:
+    """The streaming join of ``side_rows`` of one or more sources: (left_id, side, right_id, left_ts, right_ts).
 
     A left row without any partner within the tolerance has no row. Rows later than ``lateness_ns``
-    behind the newest event are too late and dropped by the watermark, so it must cover the source's
-    delays wherever the stream runs in several batches.
+    behind the newest event of the slowest source are too late and dropped by the watermark, so it
+    must cover the sources' delays wherever the stream runs in several batches.
     """
-    return (
-        rows.withWatermark("event_time", f"{-(-lateness_ns // 2_000_000)} milliseconds")
-        .groupBy("entity", "shard")
-        .applyInPandasWithState(joiner(sides), OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    late = f"{-(-lateness_ns // 2_000_000)} milliseconds"
+    rows = functools.reduce(DataFrame.union, [r.select(*COLUMNS).withWatermark("event_time", late) for r in (sources if isinstance(sources, list) else [sources])])
+    return rows.groupBy("entity", "shard").applyInPandasWithState(joiner(sides), OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def match_bounded(spark: SparkSession, rows: DataFrame, sides: list[Side], lateness_ns: int = 0) -> DataFrame:
+def match_bounded(spark: SparkSession, sources: DataFrame | list[DataFrame], sides: list[Side], lateness_ns: int = 0, seen: dict | None = None) -> DataFrame:
     """Run the streaming join over all that the sources hold now, to the end, and read the result.
 
-    Once the sources are read, the stream is closed by one more row, later than all data: it moves
-    the watermark past every horizon, so the last left rows go out too and all state is evicted.
-    Sources without a limit per trigger come in one batch, and nothing in it is late, however old.
+    Once the sources are read, in as many batches as their limit per trigger makes of them, the
+    stream is closed by one more row in each, later than all data: it moves the watermark past every
+    horizon, so the last left rows go out too and all state is evicted. If the watermark dropped any
+    row as too late, the run is repeated with four times the lateness, so the result is always whole.
     A left row written again gives one row. Checkpoint, state and result lie in the shared folder.
+    ``seen``, if given, gets the number of ``batches``, the peak of groups and bytes in state, and of
+    ``runs``.
     """
-    base = shared_dir(spark, "nearest-time")
+    seen = {} if seen is None else seen
+    seen |= {"runs": 0}
+    sources = sources if isinstance(sources, list) else [sources]
+    while True:
+        base = shared_dir(spark, "nearest-time")
+        dropped = _run(spark, sources, sides, lateness_ns, base, seen)
+        seen["runs"] += 1
+        if not dropped:
+            break
+        lateness_ns = 4 * max(lateness_ns, SHARD_NS)
+    names = F.create_map(*[x for s in sides for x in (F.lit(s.number), F.lit(s.name))])
+    out = spark.read.schema(OUTPUT).parquet(f"{base}/out")
+    return out.dropDuplicates(["left_id", "side"]).select("left_id", names[F.col("side")].alias("side"), "right_id", "left_ts", "right_ts")
+
+
+def _run(spark: SparkSession, sources: list[DataFrame], sides: list[Side], lateness_ns: int, base: str, seen: dict) -> int:
+    """One run into ``base``; returns how many rows the watermark dropped."""
     closing = spark.range(1).select(
         F.lit("").alias("entity"), F.lit(-1).cast("bigint").alias("shard"), F.lit(-1).alias("side"), F.lit(CLOSE_NS).cast("bigint").alias("ts"), F.lit(-1).cast("bigint").alias("id"),
         F.timestamp_micros(F.lit(CLOSE_NS // 2000 + CLOCK_ZERO)).alias("event_time"),
     )
     fs, folder = path_handle(spark, f"{base}/closing")
     fs.mkdirs(folder)
-    end = spark.readStream.schema(closing.schema).parquet(f"{base}/closing")
-    cols = ["entity", "shard", "side", "ts", "id", "event_time"]
-    stream = join_stream(rows.select(*cols).union(end.select(*cols)), sides, lateness_ns)
+    end = spark.readStream.schema(closing.schema).parquet(f"{base}/closing").select(*COLUMNS)
+    stream = join_stream([r.select(*COLUMNS).union(end) for r in sources], sides, lateness_ns)
 
-    def run() -> None:
+    def run() -> int:
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -186,10 +217,15 @@ def match_bounded(spark: SparkSession, rows: DataFrame, sides: list[Side], laten
             .start()
         )
         query.awaitTermination()
-
-    run()
-    closing.write.mode("append").parquet(f"{base}/closing")
-    run()
-    names = F.create_map(*[x for s in sides for x in (F.lit(s.number), F.lit(s.name))])
-    out = spark.read.schema(OUTPUT).parquet(f"{base}/out")
-    return out.dropDuplicates(["left_id", "side"]).select("left_id", names[F.col("side")].alias("side"), "right_id", "left_ts", "right_ts")
+        ran = [p for p in query.recentProgress if p["stateOperators"]]
+        state = [p["stateOperators"][0] for p in ran]
+        seen["batches"] = max(seen.get("batches", 0), sum(p["numInputRows"] > 0 for p in ran))
+        for name, field in (("groups", "numRowsTotal"), ("bytes", "memoryUsedBytes")):
+            seen[name] = max([seen.get(name, 0), *[o[field] for o in state]])
+        return sum(o["numRowsDroppedByWatermark"] for o in state)
+
+    dropped = run()
+    if not dropped:
+        closing.write.mode("append").parquet(f"{base}/closing")
+        run()
+    return dropped

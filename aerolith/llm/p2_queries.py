@@ -6,28 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.functions.timeunits import TO_NS_SQL, to_ns, usable_reading, usable_sql
-from aerolith.llm.nearest_time import Side, match_bounded, side_rows
+from aerolith.llm.nearest_time import Side, match_bounded, several_sides, side_rows
 from aerolith.runtime import path_handle
 
 SIDES = [Side(1, "imu", 30_000_000), Side(2, "gps", 120_000_000)]
+#: Readings arrive up to some ten hours late.
+LATENESS_NS = 12 * 3600 * 1_000_000_000
+#: About so many batches, of even bytes, make up what the sources hold.
+BATCHES = 8
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    """A table as a stream of its present files; a stream wants a folder, so a lone file is picked out of its own."""
+    """A table as a stream of its present files, a part of them in each batch; a stream wants a folder, so a lone file is picked out of its own."""
     path = f"{sf_dir}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).select(*columns).schema)
     fs, p = path_handle(spark, path)
+    size = fs.getContentSummary(p).getLength()
+    reader = spark.readStream.schema(spark.read.parquet(path).select(*columns).schema).option("maxBytesPerTrigger", max(1, -(-size // BATCHES)))
     return reader.parquet(path) if fs.getFileStatus(p).isDirectory() else reader.option("pathGlobFilter", p.getName()).parquet(sf_dir)
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matches(spark: SparkSession, sf_dir: str, seen: dict | None = None) -> DataFrame:
     scans = _stream(spark, sf_dir, "scan_buffer", ["scan_id", "vehicle", "lidar_ts"])
-    rows = side_rows(scans, None, F.col("vehicle"), to_ns(F.col("lidar_ts")), F.col("scan_id"))
+    left = side_rows(scans, None, F.col("vehicle"), to_ns(F.col("lidar_ts")), F.col("scan_id"))
     samples = _stream(spark, sf_dir, "sensor_sample", ["sample_id", "vehicle", "sensor", "ts_ns", "v"])
-    for s in SIDES:
-        mine = samples.where((F.col("sensor") == s.name) & usable_reading(F.col("sensor"), F.col("v")))
-        rows = rows.union(side_rows(mine, s, F.col("vehicle"), to_ns(F.col("ts_ns")), F.col("sample_id")))
-    return match_bounded(spark, rows, SIDES)
+    samples = samples.where(F.col("sensor").isin([s.name for s in SIDES]) & usable_reading(F.col("sensor"), F.col("v")))
+    number = F.create_map(*[x for s in SIDES for x in (F.lit(s.name), F.lit(s.number))])[F.col("sensor")]
+    right = several_sides(samples, SIDES, number, F.col("vehicle"), to_ns(F.col("ts_ns")), F.col("sample_id"))
+    return match_bounded(spark, [left, right], SIDES, LATENESS_NS, seen)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

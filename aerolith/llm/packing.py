@@ -1,10 +1,14 @@
 """Filling containers of fixed capacity: variable-capacity best fit.
 
-The permitted lengths of a capacity C are C and fixed fractions of it. All lengths are in play at
-once: items come in falling size, each goes into the open container where it leaves the least room,
-and where none has room a new one is opened with the length of least cost per token that the items
-still to come can be expected to fill. At the end every container shrinks to the smallest permitted
-length that holds what is in it. A container costs its length plus a fixed amount.
+The permitted lengths of a capacity C are its eighths. All lengths are in play at once: items come
+in falling size, and each goes into the open container where it leaves the least room. Where none
+has room a new one is opened, and its length is chosen over all permitted lengths together with what
+the items still to come can fill: of the room that a length would leave, only so much counts as
+filled as there are tokens in items that fit it, less the room that open containers already offer
+them. The least cost per filled token wins, where a container costs its length plus a fixed amount.
+So long as small items abound, the full capacity is cheapest; where they run short, an item gets a
+length near its own. At the end every container shrinks to the smallest permitted length that holds
+what is in it.
 
 Containers are filled in independent shards of at most ``shard_items`` items, chosen by a hash of the
 item, so no key can make a shard hot; each shard leaves at most a few containers part empty.
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from aerolith.llm.prefix_bpe import TOKENIZERS, vocabulary
 
 #: Permitted lengths as parts of the capacity, in eighths.
-EIGHTHS = (1, 2, 4, 8)
+EIGHTHS = (1, 2, 3, 4, 5, 6, 7, 8)
 #: What a container costs besides its length, in tokens.
 OPENING = 16
 SHARD_ITEMS = 20_000
@@ -84,31 +88,36 @@ def best_fit(sizes: np.ndarray, capacity: int, opening: int = OPENING) -> tuple[
     some = 0  # bit r is set if room[r] is not empty
     used: list[int] = []
     order = np.argsort(-sizes, kind="stable")
-    to_come = int(sizes.sum())
+    upto = np.cumsum(np.bincount(sizes, minlength=capacity + 1) * np.arange(capacity + 1)).tolist()  # tokens in items of at most that size
+    to_come, offered = int(sizes.sum()), 0  # tokens still to come, and room in open containers
     for i in order.tolist():
         n = int(sizes[i])
+        to_come -= n
         fitting = some >> n
         if fitting:
             r = n + (fitting & -fitting).bit_length() - 1
             c = room[r].pop()
+            offered -= r
             if not room[r]:
                 some &= ~(1 << r)
         else:
-            # Of each length the tokens still to come can fill so much; the least cost per filled token wins.
             r, least = 0, 0.0
             for s in lengths:
                 if s >= n:
-                    cost = (s + opening) / min(s, to_come)
+                    left = s - n
+                    # Items come in falling size: all that are smaller than this one are still to come.
+                    supply = max(0, min(to_come, upto[left]) - offered)
+                    cost = (s + opening) / (n + min(left, supply))
                     if not r or cost < least:
                         r, least = s, cost
             c = len(used)
             used.append(0)
         where[i] = c
         used[c] += n
-        to_come -= n
         if r > n:
             room[r - n].append(c)
             some |= 1 << (r - n)
+            offered += r - n
     final = [next(s for s in lengths if s >= u) for u in used]
     return where, final
 

@@ -87,6 +87,25 @@ def test_several_batches_emit_by_watermark_and_evict(spark):
     assert len(found(match_bounded(spark, rows_of(spark, left, right, 60 * second, per_trigger=1), SIDES, second))) == 6
 
 
+def test_ten_batches_with_late_rows(spark):
+    """Rows three batches late: a lateness that covers them needs one run, a shorter one goes again; state stays small."""
+    second = 1_000_000_000
+    rnd = random.Random(3)
+    left, right = [[] for _ in range(10)], [[] for _ in range(10)]
+    for i in range(400):
+        t = BASE + i * 10 * second
+        left[min(9, i // 40 + 3 * (rnd.random() < 0.05))].append((i, "v", t))
+        right[min(9, i // 40 + 3 * (rnd.random() < 0.05))].append((1000 + i, "v", t + rnd.choice([0, 7, 29, 31]), "a"))
+    want = sorted(brute([r for f in left for r in f], [r for f in right for r in f]))
+    for lateness, runs in ((2000 * second, 1), (0, 2)):
+        seen = {}
+        rows = rows_of(spark, left, right, 60 * second, per_trigger=1)
+        assert found(match_bounded(spark, rows, SIDES, lateness, seen)) == want
+        assert seen["batches"] >= 10 and (seen["runs"] == 1) == (runs == 1)
+        if runs == 1:
+            assert seen["groups"] < 0.8 * 4000 / 60
+
+
 @pytest.mark.parametrize("tolerance", [0, 5])
 def test_nearest_picks_the_earlier_on_ties(tolerance):
     import numpy as np
