@@ -41,5 +41,23 @@ def p7_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_use": p7_use}
-SQL: dict[str, str] = {}
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per profile: posts, containers over their length or the capacity, posts split though they fit, and posts whose pieces do not add up."""
+    items, capacities = _items(spark, sf_dir)
+    packed = written(pack(items, capacities), "packed")
+    cap = F.create_map(*[x for p, c in capacities.items() for x in (F.lit(p), F.lit(c))]) if capacities else F.lit(None)
+    boxes = packed.where("container_id is not null").groupBy("profile_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.max("container_length").alias("len"))
+    over = boxes.groupBy("profile_id").agg(F.count_if((F.col("n") > F.col("len")) | (F.col("len") > cap[F.col("profile_id")])).alias("over"))
+    pieces = packed.groupBy("profile_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("got"))
+    posts = items.join(pieces, ["profile_id", "doc_id"], "left")
+    split = (F.col("pieces") > 1) & (F.col("n_tokens") <= cap[F.col("profile_id")])
+    lost = F.coalesce("got", F.lit(-1)) != F.coalesce("n_tokens", F.lit(0))
+    per = posts.groupBy("profile_id").agg(F.count(F.lit(1)).alias("posts"), F.count_if(split).alias("split"), F.count_if(lost).alias("lost"))
+    return per.join(over, "profile_id", "left").select("profile_id", "posts", F.coalesce("over", F.lit(0)).alias("over"), "split", "lost")
+
+
+QUERIES = {"p7_packed": p7_packed, "p7_use": p7_use, "p7_invariants": p7_invariants}
+SQL = {
+    "p7_invariants": """SELECT profile_id, count(*) AS posts, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS lost
+  FROM pack_profile, documents WHERE profile_id IS NOT NULL AND tokenizer IS NOT NULL AND capacity > 0 GROUP BY profile_id""",
+}

@@ -21,6 +21,24 @@ def test_best_fit(capacity):
     assert all(min(s for s in P.permitted(capacity) if s >= u) == f for u, f in zip(used, final))
 
 
+def test_lengths_are_chosen_together(monkeypatch):
+    """Large items and few small ones: several lengths pay; where small ones abound, full containers stay as full."""
+    rng = np.random.default_rng(5)
+    scarce = np.concatenate([rng.integers(200, 500, 5000), rng.integers(1, 60, 8000)])
+    plenty = np.minimum(512, np.maximum(1, rng.lognormal(5, 1, 20_000).astype(int)))
+
+    def cost(final):
+        return sum(f + P.OPENING for f in final)
+
+    joint = {n: P.best_fit(s, 512)[1] for n, s in (("scarce", scarce), ("plenty", plenty))}
+    monkeypatch.setattr(P, "EIGHTHS", (8,))
+    plain = {n: P.best_fit(s, 512)[1] for n, s in (("scarce", scarce), ("plenty", plenty))}
+    assert len(set(joint["scarce"])) >= 3
+    assert cost(joint["scarce"]) < 0.97 * cost(plain["scarce"]) and cost(joint["plenty"]) <= 1.001 * cost(plain["plenty"])
+    assert scarce.sum() / sum(joint["scarce"]) >= 0.99 and plenty.sum() / sum(joint["plenty"]) >= 0.999
+    assert plenty.sum() / (512 * len(joint["plenty"])) >= 0.99
+
+
 def test_last_container_shrinks():
     where, final = P.best_fit(np.array([100, 20]), 1024)
     assert where.tolist() == [0, 0] and final == [128]
