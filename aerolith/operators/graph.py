@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.spatial import shifted
-from aerolith.runtime import written
+from aerolith.runtime import spread, written
 
 SMALL = 200_000
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -69,7 +69,7 @@ def reachable(cells: DataFrame, start: tuple[int, int, int] | DataFrame, steps:
                 got.insert(n, g, p[g].iat[0])
             return got
 
-        return marked.groupBy(*group).applyInPandas(search, f"{_fields(cells, key)}, depth bigint")
+        return (spread(marked, *group) if group else marked).groupBy(*group).applyInPandas(search, f"{_fields(cells, key)}, depth bigint")
     edge = written(begin.withColumn("depth", F.lit(0).cast("bigint")), "reach-edge")
     seen, depth = edge, 0
     while not edge.isEmpty():
@@ -111,7 +111,7 @@ def components(cells: DataFrame, steps: list[tuple[int, int, int]] = FACES, smal
                 got.insert(n, g, p[g].iat[0])
             return got
 
-        done = cells.groupBy(*group).applyInPandas(search, f"{_fields(cells, key)}, ci bigint, cj bigint, ck bigint")
+        done = (spread(cells, *group) if group else cells).groupBy(*group).applyInPandas(search, f"{_fields(cells, key)}, ci bigint, cj bigint, ck bigint")
         return done.select(*key, F.struct(F.col("ci").alias("i"), F.col("cj").alias("j"), F.col("ck").alias("k")).alias("cluster"))
     moves = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(IJK, s)]) for s in [(0, 0, 0), *steps]])
     labels = written(cells.withColumn("cluster", F.struct(*IJK).cast(kind)), "cluster-labels")

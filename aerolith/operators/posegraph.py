@@ -9,8 +9,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from aerolith.operators.registration import exp_se3
+from aerolith.runtime import spread
 
 
 def log_se3(m: np.ndarray) -> np.ndarray:
@@ -45,12 +47,23 @@ def _residuals(poses: list[np.ndarray], priors: list[tuple], betweens: list[tupl
 
 
 def _gradient_step(blocks: list, n: int, damping: float) -> np.ndarray:
-    """Solve the damped normal equations by preconditioned conjugate gradients."""
-    g, diag = np.zeros((n, 6)), np.zeros((n, 6, 6))
-    for parts, r in blocks:
-        for i, j in parts:
-            g[i] -= j.T @ r
-            diag[i] += j.T @ j
+    """Solve the damped normal equations by preconditioned conjugate gradients, all factors at a time."""
+    m = len(blocks)
+    # Every factor as two poses with 6 rows each; what a factor lacks is zero.
+    at, jac, res = np.zeros((m, 2), dtype=np.int64), np.zeros((m, 2, 6, 6)), np.zeros((m, 6))
+    for f, (parts, r) in enumerate(blocks):
+        res[f, : len(r)] = r
+        for s, (i, j) in enumerate(parts):
+            at[f, s], jac[f, s, : len(j)] = i, j
+    flat, turned = at.reshape(-1), jac.transpose(0, 1, 3, 2).reshape(-1, 6, 6)
+
+    def gathered(v: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, *v.shape[1:]))
+        np.add.at(out, flat, v)
+        return out
+
+    g = -gathered((turned @ np.repeat(res, 2, axis=0)[:, :, None])[:, :, 0])
+    diag = gathered(turned @ jac.reshape(-1, 6, 6))
     extra = damping * (np.einsum("nii->ni", diag) + 1e-6)
     # Scaling the unknowns to unit diagonal keeps the blocks invertible whatever the units.
     scale = 1 / np.sqrt(np.einsum("nii->ni", diag) + extra + 1e-12)
@@ -58,12 +71,8 @@ def _gradient_step(blocks: list, n: int, damping: float) -> np.ndarray:
 
     def times(x: np.ndarray) -> np.ndarray:
         y = x * scale
-        out = extra * y
-        for parts, _ in blocks:
-            v = sum(j @ y[i] for i, j in parts)
-            for i, j in parts:
-                out[i] += j.T @ v
-        return out * scale
+        v = (jac @ y[at][:, :, :, None]).sum(axis=1)
+        return (extra * y + gathered((turned @ np.repeat(v, 2, axis=0))[:, :, 0])) * scale
 
     x, r = np.zeros((n, 6)), g * scale
     z = (pre @ r[:, :, None])[:, :, 0]
@@ -114,30 +123,60 @@ def pose_matrix(px: float, py: float, pz: float, w: float, x: float, y: float, z
     return m
 
 
-def optimise(nodes: DataFrame, group: str, order: str, odometry_sigma: float = 0.5, gps_sigma: float = 0.2, prior_sigma: float = 1e-3, loops: DataFrame | None = None) -> DataFrame:
-    """(group, order, x, y, z, moved): poses per group after optimisation, and how far each moved.
-
-    ``nodes``: (group, order, px..pz, qw..qz, gx, gy, gz), GPS null where there is none. ``loops``:
-    (group, a, b) closes pose b onto pose a with no motion between them. A group is one recording's
-    poses, never its points.
+def noise(rmse: float) -> float:
+    """Standard deviation of a motion that ICP measured with this error; 0.5 where there is no error to go by."""
+    return max(0.05, rmse * 0.5, 0.10, rmse * 1.5) if rmse > 0 else 0.5
+
+
+def optimise(
+    nodes: DataFrame,
+    group: str,
+    order: str,
+    gps_sigma: float = 0.2,
+    prior_sigma: float = 1e-3,
+    odometry: DataFrame | None = None,
+    loops: DataFrame | None = None,
+    jolt: tuple[float, float, float] | None = None,
+) -> DataFrame:
+    """(group, order, x, y, z, moved, matrix): poses per group after optimisation, and how far each moved.
+
+    ``nodes``: (group, order, px..pz, qw..qz, gx, gy, gz), GPS null where there is none. ``odometry``:
+    (group, order, matrix, rmse), what moves a frame's scan onto that of the frame before it in the
+    world; without it the poses' own motion counts. ``loops``: (group, a, b, matrix, rmse), what moves
+    b's scan onto a's in the world: pose b as seen from pose a is inverse(a) * matrix * b. The error
+    of each measured motion gives its weight. ``jolt`` puts the start of all but the first pose off
+    by (x, y, yaw). A group is one recording's poses, never its points.
     """
     kinds = dict(nodes.dtypes)
-    schema = f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, x double, y double, z double, moved double"
-
-    def run(key: tuple, d: pd.DataFrame, closed: pd.DataFrame) -> pd.DataFrame:
+    schema = f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, x double, y double, z double, moved double, matrix array<double>"
+    spark = nodes.sparkSession
+    none = spark.createDataFrame([], f"`{group}` {kinds[group]}, a {kinds[order]}, b {kinds[order]}, matrix array<double>, rmse double")
+    edges = none
+    if odometry is not None:
+        edges = edges.unionByName(odometry.select(group, F.lit(None).cast(kinds[order]).alias("a"), F.col(order).alias("b"), "matrix", "rmse"))
+    if loops is not None:
+        edges = edges.unionByName(loops.select(group, "a", "b", "matrix", "rmse"))
+
+    def run(key: tuple, d: pd.DataFrame, measured: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(order, ignore_index=True)
-        start = [pose_matrix(*r) for r in d[["px", "py", "pz", "qw", "qx", "qy", "qz"]].itertuples(index=False)]
-        between = [(i, i + 1, np.linalg.inv(start[i]) @ start[i + 1], odometry_sigma) for i in range(len(start) - 1)]
+        raw = [pose_matrix(*r) for r in d[["px", "py", "pz", "qw", "qx", "qy", "qz"]].itertuples(index=False)]
         at = {o: i for i, o in enumerate(d[order].tolist())}
-        between += [(at[a], at[b], np.eye(4), odometry_sigma) for a, b in zip(closed["a"].tolist(), closed["b"].tolist()) if a in at and b in at]
-        fix = [(i, np.array(p), gps_sigma) for i, p in enumerate(d[["gx", "gy", "gz"]].to_numpy().tolist()) if np.isfinite(p).all()]
-        done = solve(start, [(0, start[0], prior_sigma)] if start else [], between, fix)
+        step, extra = {}, []
+        for a, b, m, rmse in measured[["a", "b", "matrix", "rmse"]].itertuples(index=False):
+            m = np.asarray(m, dtype=float).reshape(4, 4)
+            if pd.isna(a):
+                step[at.get(b)] = (m, rmse)
+            elif a in at and b in at:
+                extra.append((at[a], at[b], np.linalg.inv(raw[at[a]]) @ m @ raw[at[b]], noise(rmse)))
+        between = []
+        for i in range(1, len(raw)):
+            m, rmse = step.get(i, (np.eye(4), 0.0))
+            between.append((i - 1, i, np.linalg.inv(raw[i - 1]) @ m @ raw[i], noise(rmse)))
+        fix = [(i, np.array(p), gps_sigma) for i, p in enumerate(d[["gx", "gy", "gz"]].to_numpy(dtype=float).tolist()) if np.isfinite(p).all()]
+        off = exp_se3(np.array([0.0, 0.0, jolt[2], jolt[0], jolt[1], 0.0])) if jolt else np.eye(4)
+        start = [m @ off if i else m for i, m in enumerate(raw)]
+        done = solve(start, [(0, raw[0], prior_sigma)] if raw else [], between + extra, fix)
         p = np.array([m[:3, 3] for m in done]).reshape(-1, 3)
-        return pd.DataFrame({group: d[group], order: d[order], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "moved": np.linalg.norm(p - d[["px", "py", "pz"]].to_numpy(), axis=1)})
-
-    if loops is None:
-        import pandas
+        return pd.DataFrame({group: d[group], order: d[order], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "moved": np.linalg.norm(p - d[["px", "py", "pz"]].to_numpy(), axis=1), "matrix": [m.reshape(-1).tolist() for m in done]})
 
-        none = pandas.DataFrame({"a": [], "b": []})
-        return nodes.groupBy(group).applyInPandas(lambda key, d: run(key, d, none), schema)
-    return nodes.groupBy(group).cogroup(loops.groupBy(group)).applyInPandas(run, schema)
+    return spread(nodes, group).groupBy(group).cogroup(spread(edges, group).groupBy(group)).applyInPandas(run, schema)

@@ -62,27 +62,25 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("i", "j", "k", "n", "mx", "my", "mz", *[F.round(F.expr(f"{e} / det"), 4).alias(n) for n, e in inv.items()])
 
 
-RINGS, SECTORS, REACH = 4, 12, 48.0
+RINGS, SECTORS, REACH = 20, 60, 80.0
 _RING = f"CAST(least({RINGS - 1}, floor(sqrt(x * x + y * y) / {REACH / RINGS})) AS INTEGER) AS ring, CAST(least({SECTORS - 1}, floor((atan2(CASE WHEN y = 0 THEN 0 ELSE y END, x) + pi()) / (2 * pi() / {SECTORS}))) AS INTEGER) AS sector"
-CONTEXT = f"""{POINTS}, co AS (SELECT file_id, {_RING}, max(z) AS h FROM pt WHERE sqrt(x * x + y * y) < {REACH} GROUP BY ALL),
-sc AS (SELECT f.file_id, f.recording, f.frame_id, CAST(r.r AS INTEGER) AS ring, CAST(s.s AS INTEGER) AS sector, coalesce(h, 0) AS h FROM fr f, generate_series(0, {RINGS - 1}) r(r), generate_series(0, {SECTORS - 1}) s(s) LEFT JOIN co ON co.file_id = f.file_id AND co.ring = r.r AND co.sector = s.s)"""
+CONTEXT = f"""{WORLD}, ct AS (SELECT file_id, x - px AS x, y - py AS y, z - pz AS z FROM pt),
+co AS (SELECT file_id, {_RING}, max(z) AS h FROM ct WHERE sqrt(x * x + y * y) < {REACH} GROUP BY ALL)"""
 
 
 def scan_context(spark: SparkSession, sf: str) -> DataFrame:
-    """(file_id, recording, frame_id, desc): highest point per ring and sector, 0 where there is none."""
-    p = points(spark, sf).withColumn("d", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).where(F.col("d") < REACH)
+    """(file_id, ring, sector, h): highest point per ring and sector around the sensor, in the directions of the world; bins without a point are 0 and have no row."""
+    p = world(spark, sf).select("file_id", *[(F.col(a) - F.col(f"p{a}")).alias(a) for a in "xyz"])
+    p = p.withColumn("d", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).where(F.col("d") < REACH)
     ring = F.least(F.lit(RINGS - 1), F.floor(F.col("d") / (REACH / RINGS))).cast("int")
-    sector = F.least(F.lit(SECTORS - 1), F.floor((F.atan2("y", "x") + F.pi()) / (2 * F.pi() / SECTORS))).cast("int")
-    top = p.groupBy("file_id", ring.alias("ring"), sector.alias("sector")).agg(F.max("z").alias("h"))
-    per = top.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ring") * SECTORS + F.col("sector"), "h"))).alias("m"))
-    desc = F.transform(F.sequence(F.lit(0), F.lit(RINGS * SECTORS - 1)), lambda b: F.coalesce(F.try_element_at(F.col("m"), b), F.lit(0.0)))
-    return frames(spark, sf).select("file_id", "recording", "frame_id").join(per, "file_id", "left").select("file_id", "recording", "frame_id", desc.alias("desc"))
+    turn = F.atan2(F.when(F.col("y") == 0, 0.0).otherwise(F.col("y")), "x") + F.pi()
+    sector = F.least(F.lit(SECTORS - 1), F.floor(turn / (2 * F.pi() / SECTORS))).cast("int")
+    return p.groupBy("file_id", ring.alias("ring"), sector.alias("sector")).agg(F.max("z").alias("h"))
 
 
-@book.query("agg_a04_scan_context", f"WITH {CONTEXT} SELECT file_id, ring, sector, h FROM sc")
+@book.query("agg_a04_scan_context", f"WITH {CONTEXT} SELECT file_id, ring, sector, h FROM co")
 def a04(spark: SparkSession, sf: str) -> DataFrame:
-    d = scan_context(spark, sf).select("file_id", F.posexplode("desc").alias("b", "h"))
-    return d.select("file_id", F.expr(f"b div {SECTORS}").cast("int").alias("ring"), (F.col("b") % SECTORS).cast("int").alias("sector"), "h")
+    return scan_context(spark, sf)
 
 
 @book.query(

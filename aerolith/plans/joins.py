@@ -247,31 +247,39 @@ def j13(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(near.withColumn("r", F.lit(True)), "file_id", "left").select("file_id", F.coalesce("r", F.lit(False)).alias("revisited"))
 
 
-_LOOP = f"{FRAMES}, one AS (SELECT recording, frame_id, px, py, pz FROM (SELECT *, row_number() OVER (PARTITION BY recording, frame_id ORDER BY file_id) AS rn FROM fr) WHERE rn = 1)"
+_LOOP = f"{FRAMES}, one AS (SELECT recording, frame_id, file_id, px, py, pz, row_number() OVER (PARTITION BY recording ORDER BY frame_id) - 1 AS idx FROM (SELECT *, row_number() OVER (PARTITION BY recording, frame_id ORDER BY file_id) AS rn FROM fr) WHERE rn = 1)"
+
+# A loop joins frames so many apart in order, whose poses lie so near, and is looked for at every so manieth frame.
+APART, NEAR_M, EVERY = 15, 50.0, 10
 
 
 def one_pose(spark: SparkSession, sf: str) -> DataFrame:
-    f = frames(spark, sf)
-    return f.groupBy("recording", "frame_id").agg(*[F.min_by(f"p{a}", "file_id").alias(a) for a in "xyz"])
+    """One pose per frame number, of its smallest file, with its place ``idx`` in the recording: (recording, frame_id, file_id, x, y, z, idx)."""
+    f = frames(spark, sf).groupBy("recording", "frame_id").agg(F.min("file_id").alias("file_id"), *[F.min_by(f"p{a}", "file_id").alias(a) for a in "xyz"])
+    return f.withColumn("idx", (F.row_number().over(Window.partitionBy("recording").orderBy("frame_id")) - 1).cast("bigint"))
 
 
-@book.query(
-    "join_j14_loop_closures",
-    f"""WITH {_LOOP}, c AS (SELECT a.recording, a.frame_id, b.frame_id AS earlier, pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) AS d2 FROM one a JOIN one b ON a.recording = b.recording AND b.frame_id < a.frame_id - 3)
-  SELECT recording, frame_id, arg_min(earlier, (d2, earlier)) AS best, min(earlier) AS first_one, round(sqrt(min(d2)), 6) AS dist FROM c WHERE d2 <= 2500 GROUP BY recording, frame_id""",
-)
+def loop_candidates(spark: SparkSession, sf: str, every: int = EVERY) -> DataFrame:
+    """(recording, idx, before, d2): frames at which a loop is looked for, with the earlier ones that are far enough back and near enough. Cells bound the self-join."""
+    f = one_pose(spark, sf).select("recording", "idx", "x", "y", "z")
+    late = f.where((F.col("idx") > APART) & (F.col("idx") % every == 0))
+    return S.within(late, f.withColumnRenamed("idx", "before"), NEAR_M, ["recording"], "idx", "before").where(F.col("before") <= F.col("idx") - APART)
+
+
+_CANDIDATES = f"{_LOOP}, lc AS (SELECT a.recording, a.idx, b.idx AS before, pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) AS d2 FROM one a JOIN one b ON a.recording = b.recording AND b.idx <= a.idx - {APART} WHERE a.idx > {APART} AND pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) <= {NEAR_M * NEAR_M})"
+
+
+@book.query("join_j14_loop_closures", f"WITH {_CANDIDATES} SELECT recording, idx, arg_min(before, (d2, before)) AS best, min(before) AS first_one, round(sqrt(min(d2)), 6) AS dist FROM lc GROUP BY recording, idx")
 def j14(spark: SparkSession, sf: str) -> DataFrame:
-    """Earlier frames at least 3 back and within 50 m: the nearest and the first. Cells bound the self-join."""
-    f = one_pose(spark, sf)
-    c = S.within(f, f.withColumnRenamed("frame_id", "earlier"), 50.0, ["recording"], "frame_id", "earlier").where("earlier < frame_id - 3")
-    return c.groupBy("recording", "frame_id").agg(F.min_by("earlier", F.struct("d2", "earlier")).alias("best"), F.min("earlier").alias("first_one"), r6(F.sqrt(F.min("d2"))).alias("dist"))
+    """Of every frame the nearest and the first of the earlier frames that it may close a loop with."""
+    c = loop_candidates(spark, sf, 1)
+    return c.groupBy("recording", "idx").agg(F.min_by("before", F.struct("d2", "before")).alias("best"), F.min("before").alias("first_one"), r6(F.sqrt(F.min("d2"))).alias("dist"))
 
 
-@book.query("flt_f20_loop_gates", f"WITH {_LOOP} SELECT a.recording, count(*) AS n FROM one a JOIN one b ON a.recording = b.recording AND b.frame_id < a.frame_id - 3 WHERE pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) <= 400 GROUP BY a.recording")
+@book.query("flt_f20_loop_gates", f"WITH {_CANDIDATES} SELECT recording, count(*) AS n FROM lc WHERE idx % {EVERY} = 0 GROUP BY recording")
 def f20(spark: SparkSession, sf: str) -> DataFrame:
-    f = one_pose(spark, sf)
-    c = S.within(f, f.withColumnRenamed("frame_id", "earlier"), 20.0, ["recording"], "frame_id", "earlier").where("earlier < frame_id - 3")
-    return c.groupBy("recording").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs that pass the gates of order and place; those of fitness and error follow in flt_f20_loop_closures."""
+    return loop_candidates(spark, sf).groupBy("recording").agg(F.count(F.lit(1)).alias("n"))
 
 
 @book.query("join_j15_positional", f"WITH {_SCANS}, a AS (SELECT recording, scan_id, row_number() OVER (PARTITION BY recording ORDER BY ns, scan_id) AS pos FROM sc), b AS (SELECT recording, file_id, row_number() OVER (PARTITION BY recording ORDER BY lidar_ts, file_id) AS pos FROM lidar_frame) SELECT recording, CAST(pos AS INTEGER) AS pos, scan_id, file_id FROM a LEFT JOIN b USING (recording, pos)")

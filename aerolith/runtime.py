@@ -66,6 +66,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores by ``keys``: for small rows with long work each, which adaptive execution would put in few tasks by their bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def hot_values(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
     """The non-null values of ``key`` that hold more than 1/share of the rows: fewer than ``share``.
 
