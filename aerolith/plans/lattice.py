@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolith.operators import graph, planner
-from aerolith.operators import spatial as S
 from aerolith.plans.book import WORLD, frames, world
 from aerolith.runtime import written
 
@@ -111,4 +110,14 @@ class Lattice:
     @property
     def frontier(self) -> DataFrame:
         """Free cells with an unknown face neighbour; cells beyond the box are not unknown."""
-        return self.free.join(S.shifted(self.unknown, FACES, group=R), KEY, "left_semi")
+        return frontier(self.free, self.observed.select(*KEY), self.bounds)
+
+
+def frontier(free: DataFrame, known: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Cells of ``free`` with a face neighbour within ``bounds`` that is not ``known``: the work is that of the free cells, however many are unknown."""
+    moves = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(f"d{i}") for i, v in zip("ijk", s)]) for s in FACES])
+    here = F.struct("i", "j", "k").alias("__at")
+    near = free.select("recording", here, F.explode(moves).alias("__d")).select("recording", "__at", *[(F.col(f"__at.{i}") + F.col(f"__d.d{i}")).alias(i) for i in "ijk"])
+    inside = " and ".join(f"{i} between {i}0 and {i}1" for i in "ijk")
+    near = near.join(bounds, "recording").where(inside).select(*KEY, "__at").join(known, KEY, "left_anti")
+    return near.select("recording", "__at.*").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aerolith.operators import graph, planner
 from aerolith.operators import spatial as S
 from aerolith.plans.book import Book, r6
-from aerolith.plans.lattice import CELL_M, FACES, KEY, LATTICE, R, Lattice, ball_sql, floors, poses, rays, starts
+from aerolith.plans.lattice import CELL_M, FACES, KEY, LATTICE, R, Lattice, ball_sql, floors, frontier, poses, rays, starts
 from aerolith.runtime import table, written
 
 book = Book()
@@ -61,7 +61,7 @@ class Grid:
         self.free = lat.free.union(block).distinct()
         self.unknown = lat.unknown.join(block, KEY, "left_anti")
         self.occupied = lat.occupied.join(block, KEY, "left_anti")
-        self.frontier = written(self.free.join(S.shifted(self.unknown, FACES, group=R), KEY, "left_semi"), "grid-frontier")
+        self.frontier = written(frontier(self.free, lat.observed.select(*KEY).union(block), self.bounds), "grid-frontier")
 
     def reached(self, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
         at = self.start.select("recording", *[F.col(f"s{i}").alias(i) for i in "ijk"])
