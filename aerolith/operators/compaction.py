@@ -100,8 +100,8 @@ def compact(
     ids.write.parquet(f"{staging}/_prints")
     ids = spark.read.parquet(f"{staging}/_prints")
     kept = ids.groupBy("__fp").agg(F.min("file_id").alias("kept_id"), F.count(F.lit(1)).alias("__n"))
-    n_rows = ids.count()
-    hot = [r[0] for r in kept.where(F.col("__n") * HOT_SHARE > F.lit(n_rows)).select("__fp").collect()] if n_rows > 100_000 else []
+    n_records, n_rows, most = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0)), F.max("__n")).first()
+    hot = [r[0] for r in kept.where(F.col("__n") * HOT_SHARE > F.lit(n_rows)).select("__fp").collect()] if n_rows > 100_000 and most * HOT_SHARE > n_rows else []
     members = salted_join(ids, kept.drop("__n"), "__fp", F.col("file_id"), hot)
     members.select("file_id", "kept_id", "__fp").write.parquet(f"{staging}/_members")
     members = spark.read.parquet(f"{staging}/_members")
@@ -111,9 +111,10 @@ def compact(
     # meet only the exchange that sorts them. Rows are told apart by id, and where ids repeat by their print too.
     tag = uuid.uuid4().hex
     fp, rid = f"__fp_{tag}", f"__id_{tag}"
-    unique = members.agg(F.count_distinct("file_id")).first()[0] == n_rows
-    copies = members.where(~F.col("file_id").eqNullSafe(F.col("kept_id"))).select(F.col("__fp").alias(f"{fp}_r"), F.col("file_id").alias(rid))
-    n_copies, n_records = copies.count(), members.select("__fp").distinct().count()
+    copied = ~F.col("file_id").eqNullSafe(F.col("kept_id"))
+    held, n_ids, n_copies = members.agg(F.count(F.lit(1)), F.count_distinct("file_id"), F.count_if(copied)).first()
+    unique = n_ids == n_rows
+    copies = members.where(copied).select(F.col("__fp").alias(f"{fp}_r"), F.col("file_id").alias(rid))
     some = F.broadcast(copies) if n_copies <= FEW else copies
     if unique:
         records = source.join(some.drop(f"{fp}_r"), F.col(file_id) == F.col(rid), "left_anti")
@@ -121,18 +122,17 @@ def compact(
         same = (F.col(fp) == F.col(f"{fp}_r")) & F.col(file_id).eqNullSafe(F.col(rid))
         records = source.withColumn(fp, fingerprint(source, record)).join(some, same, "left_anti").dropDuplicates([fp]).drop(fp)
     if size:
-        w = records.agg(F.sum(F.when(F.col(size) >= 0, F.col(size))), F.count(F.when(F.col(size) >= 0, 1)), F.count(F.lit(1))).first()
-        total = (w[0] or 0) / max(1, w[1]) * w[2]
+        # The mean size of all rows stands for that of the records: one scan of one column.
+        known, n_known = source.agg(F.sum(F.when(F.col(size) >= 0, F.col(size))), F.count(F.when(F.col(size) >= 0, 1))).first()
+        total = (known or 0) / max(1, n_known) * n_records
     else:
-        total = 1024 * records.count()
+        total = 1024 * n_records
     n_files = max(1, math.ceil(total / target_bytes))
-    spread = records.repartitionByRange(n_files, *cluster_by) if n_files > 1 else records.coalesce(1)
-    spread.sortWithinPartitions(*cluster_by).write.parquet(f"{staging}/records")
+    records.repartitionByRange(n_files, *cluster_by).sortWithinPartitions(*cluster_by).write.parquet(f"{staging}/records")
 
     back = spark.read.parquet(f"{staging}/records")
     told = F.col(file_id) if unique else fingerprint(back, record)
     stored = back.select(told.alias("one")).agg(F.count(F.lit(1)), F.count_distinct("one")).first()
-    held = members.count()
     if not (stored[0] == stored[1] == n_records and held == n_rows):
         raise ReconcileError(f"{n_rows} rows, {held} assigned to {n_records} records, {stored[0]} written, {stored[1]} different")
     for part in ("_prints", "_members"):
