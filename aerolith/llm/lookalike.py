@@ -1,7 +1,9 @@
 """Visually identical text with different characters, brought to one form.
 
 Each text is decomposed canonically; signs that look like another are mapped to it, all single
-blanks to the space, and signs without width are dropped. The mapped values are grouped in SQL under
+blanks to the space, and signs without width are dropped. Which letters look alike, in any script,
+is read from the table of confusable signs that the Unicode library of the JVM carries, under rules
+that keep apart what a reader tells apart; a short list settles what that table leaves open. The mapped values are grouped in SQL under
 an accent-sensitive and case-sensitive Unicode collation, which also equates what the map leaves to
 it (the order of combining marks, other ignorable signs). Each class gets one canonical member,
 which is joined back to its documents.
@@ -50,14 +52,57 @@ def shape_map() -> dict[str, str]:
     return out
 
 
+#: Where the table of confusable signs is read for letters: all but the ideographs and Hangul syllables.
+LETTERS = [(0x00A1, 0x3400), (0xA000, 0xAC00), (0xFB00, 0xFE00), (0xFE70, 0xFEFF), (0x10000, 0x12000), (0x16A00, 0x17000), (0x1D000, 0x1F000)]
+# The Greek small letters whose shape is a Latin letter's; the table is looser on the others.
+GREEK_SMALL_ALIKE = "ον"
+
+
+def letter_map() -> dict[str, str]:
+    """Letter -> the letter of its shape, by rule from the Unicode library's table of confusable signs.
+
+    A letter counts with the one letter that the table reduces it to, if both are of one case or of a
+    script without case. Left out: signs with a compatibility form (raised, circled, bold and the like look
+    different), modifier letters, letters with a canonical decomposition (texts are decomposed before),
+    and Greek small letters but for GREEK_SMALL_ALIKE. The table does not tell I from l, so capitals
+    go to I, small letters to l, and letters without case to neither; what it reduces to "rn" is an m.
+    """
+    import unicodedata
+
+    kinds = {"Lu": "upper", "Ll": "lower", "Lo": "any", "Nl": "any"}
+    signs = [chr(c) for low, high in LETTERS for c in range(low, high) if unicodedata.category(chr(c)) in kinds and not unicodedata.decomposition(chr(c))]
+    signs = [c for c in signs if not ("\u03b1" <= c <= "\u03c9" and c not in GREEK_SMALL_ALIKE)]
+    checker = SparkContext._active_spark_context._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    out = {}
+    for sign, to in zip(signs, checker.getSkeleton("\n".join(signs)).split("\n")):
+        mine = kinds[unicodedata.category(sign)]
+        if to == "l":
+            to = {"upper": "I", "lower": "l"}.get(mine, sign)
+        elif to == "rn":
+            to = "m"
+        if to == sign or len(to) != 1:
+            continue
+        other = kinds.get(unicodedata.category(to))
+        if other and (other == mine or "any" in (other, mine)):
+            out[sign] = to
+    return out
+
+
+def look_map() -> dict[str, str]:
+    """``letter_map`` and ``shape_map``, which goes before; what a letter goes to is itself in its final form."""
+    shapes = shape_map()
+    letters = {c: shapes.get(to, to) for c, to in letter_map().items() if c not in shapes}
+    return letters | {c: letters.get(to, to) for c, to in shapes.items()}
+
+
 def _decomposed(text: Column) -> Column:
     """Canonical decomposition by the JVM's own Unicode library, called by name; it takes no null."""
     return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(False))
 
 
 def mapped(text: Column) -> Column:
-    """``text`` decomposed canonically, then every sign of shape_map() replaced; null stays null."""
-    table = shape_map()
+    """``text`` decomposed canonically, then every sign of look_map() replaced; null stays null."""
+    table = look_map()
     kept = [c for c, to in table.items() if to]
     gone = [c for c, to in table.items() if not to]
     plain = _decomposed(F.coalesce(text, F.lit("")))

@@ -66,3 +66,28 @@ def test_map_is_a_function_onto_plain_signs():
 def test_ignorable_signs_left_to_the_collation(spark, sign):
     assert sign not in L.shape_map()
     assert found(spark, [(1, "ab"), (2, f"a{sign}b"), (3, "aB"), (4, sign), (5, f" {sign}{sign}")]) == [(1, 2)]
+
+
+#: One pair of each block that holds letters of other letters' shapes.
+BLOCKS = [
+    ("a", "\u0430"), ("w", "\u0461"), ("O", "\u2c9e"), ("o", "\u2c9f"), ("A", "\u13aa"), ("s", "\uabaa"), ("B", "\ua4d0"), ("O", "\u0555"), ("o", "\u0585"), ("C", "\u2ca4"), ("p", "\u2ca3"),
+    ("\u039f", "\u041e"), ("\u03bf", "\u043e"), ("\u2c9f", "\u0585"), ("\u529b", "\u30ab"), ("T", "\u13a2"), ("K", "\u2c94"), ("v", "\u03bd"),
+]
+#: Letters of the table that a reader tells apart, and letters of other case.
+TOLD_APART = [("a", "\u03b1"), ("o", "\u03c3"), ("y", "\u03b3"), ("p", "\u03c1"), ("b", "\U0001d41b"), ("O", "0"), ("l", "I"), ("l", "1"), ("m", "rn"), ("c", "\u2ca4"), ("k", "\u212a")]
+
+
+def test_letters_of_every_block(spark):
+    texts = [(2 * n + s, f"{n} x{t}y") for n, pair in enumerate(BLOCKS) for s, t in enumerate(pair)]
+    assert found(spark, texts) == [(2 * n, 2 * n + 1) for n in range(len(BLOCKS))]
+
+
+def test_told_apart(spark):
+    texts = [(2 * n + s, f"{n} x{t}y") for n, pair in enumerate(TOLD_APART) for s, t in enumerate(pair)]
+    assert found(spark, texts) == []
+
+
+def test_look_map_ends_after_one_step(spark):
+    m = L.look_map()
+    assert len(m) > 800 and not any(v in m and m[v] != v for v in m.values() if v)
+    assert all(m[k] == m.get(v, v) for k, v in L.shape_map().items())
