@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.functions.timeunits import TO_NS_SQL, to_ns
-from aerolith.operators import folds
+from aerolith.functions.timeunits import TO_NS_SQL, to_ns, usable_reading, usable_sql
 from aerolith.operators.voxel import cell, explode_points
 from aerolith.plans.aggregates import IJK
 from aerolith.plans.book import POINTS, Book
-from aerolith.plans.joins import SENSORS, _asof, bracketed
+from aerolith.plans.joins import SENSORS, _asof
 from aerolith.plans.scalar import scans
 from aerolith.plans.windows import GATE, Z80
 from aerolith.runtime import table
@@ -43,12 +42,23 @@ _DELAY = f"""sc AS (SELECT vehicle, scan_id, {TO_NS_SQL.format('lidar_ts')} // 1
 nw AS (SELECT vehicle, max({TO_NS_SQL.format('ts_ns')} // 1000000) AS newest FROM sensor_sample WHERE sensor = 'state' AND vehicle IS NOT NULL AND ts_ns IS NOT NULL GROUP BY vehicle)"""
 
 
-def _queue(spark: SparkSession, sf: str) -> DataFrame:
-    sc = T.stream_table(spark, sf, "scan_buffer", ["scan_id", "vehicle", "lidar_ts"]).where("vehicle is not null and lidar_ts is not null")
-    st = T.stream_table(spark, sf, "sensor_sample", ["vehicle", "sensor", "ts_ns"]).where("sensor = 'state' and vehicle is not null and ts_ns is not null")
+#: About so many batches make up what the tables hold.
+BATCHES = 4
+
+
+def _scan_rows(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    sc = T.stream_table(spark, sf, "scan_buffer", ["scan_id", "vehicle", "lidar_ts", *more], BATCHES)
+    return sc.where("lidar_ts is not null").withColumn("ns", to_ns(F.col("lidar_ts")))
+
+
+def _reading_rows(spark: SparkSession, sf: str) -> DataFrame:
+    st = T.stream_table(spark, sf, "sensor_sample", ["vehicle", "sensor", "ts_ns", "v"], BATCHES)
+    return st.where("vehicle is not null and ts_ns is not null").withColumn("ns", to_ns(F.col("ts_ns")))
 
-    a = sc.withColumn("ns", to_ns(F.col("lidar_ts"))).select("vehicle", F.expr("ns div 1000000").alias("ts_ms"), F.col("scan_id").alias("frame"))
-    b = st.withColumn("ns", to_ns(F.col("ts_ns"))).select("vehicle", F.expr("ns div 1000000").alias("ts_ms"), F.lit(None).cast("bigint").alias("frame"))
+
+def _queue(spark: SparkSession, sf: str) -> DataFrame:
+    a = _scan_rows(spark, sf).where("vehicle is not null").select("vehicle", F.expr("ns div 1000000").alias("ts_ms"), F.col("scan_id").alias("frame"))
+    b = _reading_rows(spark, sf).where("sensor = 'state'").select("vehicle", F.expr("ns div 1000000").alias("ts_ms"), F.lit(None).cast("bigint").alias("frame"))
     return a.union(b)
 
 
@@ -60,37 +70,51 @@ def t01(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query("str_t06_flushed_frames", f"WITH {_DELAY} SELECT sc.vehicle, scan_id AS frame, ms AS ts_ms FROM sc")
 def t06(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with a flush at the end of each vehicle's stream: every scan goes out."""
-    end = T.stream_table(spark, sf, "scan_buffer", ["scan_id", "vehicle", "lidar_ts"]).where("vehicle is not null")
-    flush = end.select("vehicle", F.lit(0).cast("bigint").alias("ts_ms"), F.lit(-1).cast("bigint").alias("frame"))
-    return T.run_bounded(T.delayed(_queue(spark, sf).union(flush), "vehicle", 500), "stream-flush").distinct()
+    """The same with a flush at the end: once all is read, a closing row for each vehicle sends every scan that still waits."""
+    end, where = T.closing_source(spark, "vehicle string, ts_ms bigint, frame bigint")
+    vehicles = table(spark, sf, "scan_buffer").where("vehicle is not null").select("vehicle", F.lit(0).cast("bigint").alias("ts_ms"), F.lit(-1).cast("bigint").alias("frame")).distinct()
+    return T.run_bounded(T.delayed(_queue(spark, sf).union(end), "vehicle", 500), "stream-flush", closing=(vehicles, where)).distinct()
 
 
-@book.query("str_t03_count_delay", f"WITH s AS (SELECT DISTINCT ON (scan_id) scan_id, recording, {TO_NS_SQL.format('lidar_ts')} AS ns FROM scan_buffer WHERE lidar_ts IS NOT NULL) SELECT recording, scan_id FROM (SELECT *, lead(ns, 3) OVER (PARTITION BY recording ORDER BY ns, scan_id) AS later FROM s) WHERE later IS NOT NULL")
+@book.query("str_t03_count_delay", f"WITH s AS (SELECT DISTINCT recording, scan_id, {TO_NS_SQL.format('lidar_ts')} AS ns FROM scan_buffer WHERE lidar_ts IS NOT NULL AND recording IS NOT NULL) SELECT recording, scan_id FROM (SELECT *, lead(ns, 3) OVER (PARTITION BY recording ORDER BY ns, scan_id) AS later FROM s) WHERE later IS NOT NULL")
 def t03(spark: SparkSession, sf: str) -> DataFrame:
-    """Scans with three newer ones."""
-    w = Window.partitionBy("recording").orderBy("ns", "scan_id")
-    return scans(spark, sf).withColumn("later", F.lead("ns", 3).over(w)).where("later is not null").select("recording", "scan_id")
+    """Scans go out as three newer ones have come; the newest three of a recording stay in state."""
+    sc = _scan_rows(spark, sf, "recording").where("recording is not null").select("recording", F.col("ns").alias("ord"), F.col("scan_id").alias("id"))
+    return T.run_bounded(T.behind(sc, "recording", 3), "stream-count").select("recording", F.col("id").alias("scan_id")).distinct()
 
 
-_READY = f"{_asof(('imu', 'gps', 'state'))}, rdy AS (SELECT recording, scan_id, ns, imu_aid IS NOT NULL AND gps_aid IS NOT NULL AND state_aid IS NOT NULL AS ready FROM j)"
+_USABLE = f"({usable_sql('sensor', 'v')} OR (sensor = 'state' AND len(v) = 7))"
 
 
-@book.query("str_t04_blocked_queue", f"WITH {_READY} SELECT recording, scan_id, bool_and(ready) OVER (PARTITION BY recording ORDER BY ns, scan_id ROWS UNBOUNDED PRECEDING) AS emitted FROM rdy")
+@book.query("str_t04_blocked_queue", f"""WITH s AS (SELECT DISTINCT vehicle, scan_id, {TO_NS_SQL.format('lidar_ts')} AS ns FROM scan_buffer WHERE lidar_ts IS NOT NULL AND vehicle IS NOT NULL),
+nw AS (SELECT vehicle, sensor, max({TO_NS_SQL.format('ts_ns')}) AS top FROM sensor_sample WHERE vehicle IS NOT NULL AND ts_ns IS NOT NULL AND {_USABLE} GROUP BY vehicle, sensor),
+rd AS (SELECT vehicle, min(top) AS ready FROM nw GROUP BY vehicle HAVING count(*) = 3) SELECT vehicle, scan_id FROM s JOIN rd USING (vehicle) WHERE ns <= ready""")
 def t04(spark: SparkSession, sf: str) -> DataFrame:
-    """A scan waits until all sensors have a later reading, and all scans behind it wait with it."""
-    b = bracketed(spark, sf, SENSORS, False)
-    ready = F.col("after_imu").isNotNull() & F.col("after_gps").isNotNull() & F.col("after_state").isNotNull()
-    return folds.blocked(b.select("recording", "scan_id", "ns", ready.alias("ready")), "recording", ["ns", "scan_id"], "ready").select("recording", "scan_id", "emitted")
+    """A scan waits until all sensors of its vehicle have a later reading, and all scans behind it wait with it."""
+    sc = _scan_rows(spark, sf).where("vehicle is not null").select("vehicle", F.col("ns").alias("ord"), F.col("scan_id").alias("id"), F.lit(None).cast("int").alias("sensor"))
+    state = (F.col("sensor") == "state") & (F.size("v") == 7)
+    names = F.create_map(*[x for n, s in enumerate(SENSORS) for x in (F.lit(s), F.lit(n))])
+    rd = _reading_rows(spark, sf).where(usable_reading(F.col("sensor"), F.col("v")) | F.coalesce(state, F.lit(False)))
+    rd = rd.select("vehicle", F.col("ns").alias("ord"), F.lit(None).cast("bigint").alias("id"), names[F.col("sensor")].alias("sensor"))
+    out = T.run_bounded(T.blocked_queue(sc.union(rd), "vehicle", len(SENSORS)), "stream-blocked")
+    return out.select("vehicle", F.col("id").alias("scan_id")).distinct()
+
+
+NEAR_NS, FAR_NS = 10_000_000, 20_000_000
 
 
-@book.query("str_t05_dropped_counts", f"WITH {_asof(('state',))} SELECT recording, count(*) AS n, CAST(count_if(state_bid IS NULL OR state_aid IS NULL OR least(ns - state_bns, state_ans - ns) > 10000000 OR greatest(ns - state_bns, state_ans - ns) > 20000000) AS BIGINT) AS dropped FROM j GROUP BY recording")
+@book.query("str_t05_dropped_counts", f"WITH {_asof(('state',))} SELECT recording, count(*) AS n, CAST(count_if(state_bid IS NULL OR state_aid IS NULL OR least(ns - state_bns, state_ans - ns) > {NEAR_NS} OR greatest(ns - state_bns, state_ans - ns) > {FAR_NS}) AS BIGINT) AS dropped FROM j WHERE vehicle IS NOT NULL GROUP BY recording")
 def t05(spark: SparkSession, sf: str) -> DataFrame:
-    """How many scans of a recording are dropped for a poor bracket."""
-    b = bracketed(spark, sf, ["state"], False)
-    x, y = F.col("ns") - F.col("before_state.ts"), F.col("after_state.ts") - F.col("ns")
-    bad = F.col("before_state").isNull() | F.col("after_state").isNull() | (F.least(x, y) > 10_000_000) | (F.greatest(x, y) > 20_000_000)
-    return b.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("dropped"))
+    """How many scans of a recording are dropped for a poor bracket of states, found by event time; passed readings leave the buffer (T2)."""
+    end, where = T.closing_source(spark, T._ROW)
+    asks = T.bracket_rows(_scan_rows(spark, sf).select(F.col("vehicle").alias("entity"), "ns", F.col("scan_id").alias("id")), False, FAR_NS)
+    states = _reading_rows(spark, sf).where("sensor = 'state' and size(v) = 7").select(F.col("vehicle").alias("entity"), "ns")
+    stream = T.bracketing([asks.union(end), T.bracket_rows(states, True, FAR_NS).union(end)], FAR_NS, "12 hours")
+    last = spark.range(1).select(F.lit("").alias("entity"), F.lit(-1).cast("bigint").alias("shard"), F.lit(T.END_NS).alias("ns"), F.lit(None).cast("bigint").alias("id"), F.timestamp_micros(F.lit(T.END_NS // 1000)).alias("event_time"))
+    gaps = T.run_bounded(stream, "stream-bracket", closing=(last, where)).dropDuplicates(["id"])
+    bad = (F.col("before") < 0) | (F.col("after") < 0) | (F.least("before", "after") > NEAR_NS)
+    per = gaps.join(scans(spark, sf).select(F.col("scan_id").alias("id"), "recording"), "id")
+    return per.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("dropped"))
 
 
 @book.query("str_t10_batch_callback", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
