@@ -41,12 +41,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path in the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Where that is unset, as in tests on
-    one machine, a temporary folder is made and set, so that checkpoint() works too.
+    one machine, a temporary folder is made and set, so that checkpoint() works too; a cluster,
+    whose executors would each write to a disk of their own, is refused instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir() or ""
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="aerolith-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/aerolith/{purpose}-{uuid.uuid4().hex}"
