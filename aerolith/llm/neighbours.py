@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from aerolith.llm.arrowgroups import flat, lists, runs
 from aerolith.runtime import HOT_SHARE, salted_join, written
 
-TABLES = 4
+TABLES = 3
 FUNCTIONS = 4
 PROBES = 4
 #: Expected number of vectors in the cell of a random vector that asks.
-LOAD = 300
+LOAD = 800
 #: Those who ask again may meet so many times as many.
 AGAIN = 4
 #: A neighbour within so many widths has hardly been missed.
@@ -160,7 +160,11 @@ def _top(q: np.ndarray, q_ids: np.ndarray, m: np.ndarray, m_ids: np.ndarray, k:
     for i in range(0, len(row), 65536):
         diff = q[row[i : i + 65536]] - m[col[i : i + 65536]]
         far[i : i + 65536] = np.sqrt((diff * diff).sum(axis=1))
-    ids = m_ids[col]
+    return _first(row, m_ids[col], far, k)
+
+
+def _first(row: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each row; ties by id."""
     order = np.lexsort((ids, far, row))
     row, ids, far = row[order], ids[order], far[order]
     start = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.empty(0, dtype=np.int64)
@@ -204,15 +208,21 @@ def _distances(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator
         asked, first = np.unique(codes, return_index=True)
         last = np.append(first[1:], len(codes))
         at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for c in np.flatnonzero(names[at] == asked).tolist():
             lo, hi = starts[at[c]], starts[at[c] + 1]
             for i in range(first[c], last[c], CHUNK):
                 who = rows[i : min(i + CHUNK, last[c])]
                 row, ids, far = _top(q[who], q_ids[who], m[0][lo:hi], m_ids[0][lo:hi], k)
-                if len(row):
-                    mine, counts = np.unique(row, return_counts=True)
-                    out.append((q_ids[who[mine]], counts, ids, far))
-                    held += len(ids)
+                near.append((who[row], ids, far))
+        if not near:
+            return
+        # One list a query for all cells of the group.
+        row, ids, far = _first(*(np.concatenate(x) for x in zip(*near)), k)
+        if len(row):
+            mine, counts = np.unique(row, return_counts=True)
+            out.append((q_ids[mine], counts, ids, far))
+            held += len(ids)
 
     def answer() -> None:
         for w in waiting:
