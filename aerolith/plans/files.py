@@ -10,22 +10,23 @@ from aerolith.operators import spatial as S
 from aerolith.operators import summaries as A
 from aerolith.plans import aggregates
 from aerolith.plans.aggregates import IJK, _STEPS, map_metrics, steps, sync_rows
-from aerolith.plans.book import FRAMES, MAPS, POINTS, Book, frames, map_points, points, r6
+from aerolith.plans.book import FRAMES, MAPS, WORLD, WORLD_MAPS, Book, frames, map_points, r6, world, world_map_points
 from aerolith.runtime import shared_dir, table, written
 from aerolith.sources import recordings as R
 
 book = Book()
-LOCAL = "file:"
 
 
 def _frames_for_npz(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "lidar_frame")
-    return f.select("file_id", "recording", "frame_id", F.col("lidar_ts").alias("timestamp"), "points", "position", "orientation", "imu_angular_vel", "imu_linear_acc", "gps")
+    mount = F.struct(*[F.lit(0.0).alias(a) for a in "xyz"]), F.struct(*[F.lit(v).alias(a) for a, v in zip("wxyz", (1.0, 0.0, 0.0, 0.0))])
+    # The table does not hold the states around a frame; their times are left out of the file.
+    none = [F.lit(None).cast("bigint").alias(f"state_{side}_ts") for side in ("before", "after")]
+    return f.select("file_id", "recording", "frame_id", F.col("lidar_ts").alias("timestamp"), *none, "points", "position", "orientation", mount[0].alias("lidar_position"), mount[1].alias("lidar_orientation"), "imu_angular_vel", "imu_linear_acc", "gps")
 
 
 def _saved(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    where = shared_dir(spark, "npz")
-    where = where if where.startswith("file:") else f"file://{where}"
+    where = _posix(shared_dir(spark, "npz"))
     return where, written(R.write_frames(_frames_for_npz(spark, sf), where), "npz-list")
 
 
@@ -68,12 +69,24 @@ def s06(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "slam_map").select("map_id", L.folder_seconds(F.col("folder")).alias("seconds"))
 
 
-@book.query("src_s07_map_files", "SELECT map_id, folder, source, resolution, CAST(len(points) AS INTEGER) AS n, extra['registration_method'] AS method FROM (SELECT DISTINCT ON (map_id) * FROM slam_map)")
+def _posix(where: str) -> str:
+    """Files that Python writes one by one need a shared folder that is a POSIX path."""
+    if "://" in where and not where.startswith("file:"):
+        raise ValueError(f"npz files need a POSIX path, not {where}")
+    return where if where.startswith("file:") else f"file://{where}"
+
+
+@book.query("src_s07_map_files", "SELECT map_id, source, resolution, saved_s AS saved, CAST(len(points) AS INTEGER) AS n, round(bounds[1], 6) AS xmin, extra['registration_method'] AS method FROM (SELECT DISTINCT ON (map_id) * FROM slam_map)")
 def s07(spark: SparkSession, sf: str) -> DataFrame:
-    """Maps written with their metadata and read back; only the asked members are read."""
-    where = shared_dir(spark, "maps")
-    table(spark, sf, "slam_map").dropDuplicates(["map_id"]).write.parquet(where)
-    return spark.read.parquet(where).select("map_id", "folder", "source", "resolution", F.size("points").alias("n"), F.try_element_at("extra", F.lit("registration_method")).alias("method"))
+    """Maps written as one npz file each with all their metadata, and read back."""
+    where = _posix(shared_dir(spark, "maps"))
+    m = table(spark, sf, "slam_map").dropDuplicates(["map_id"])
+    m = m.select("map_id", "folder", "points", F.col("saved_s").alias("timestamp"), "source", "bounds", "resolution", F.map_entries("extra").alias("extra"))
+    m = m.withColumn("extra", F.transform("extra", lambda e: F.array(e["key"], e["value"])))
+    written(R.write_maps(m, where), "map-list")
+    d = R.read_maps(spark, where)
+    method = F.try_element_at("extra", F.lit("registration_method"))
+    return d.select(F.regexp_extract("path", r"/(\d+)-[^/]*/slam_map\.npz$", 1).cast("bigint").alias("map_id"), "source", "resolution", F.col("timestamp").alias("saved"), F.size("points").alias("n"), r6(F.col("bounds")[0]).alias("xmin"), method.alias("method"))
 
 
 @book.query("src_s08_maps_in_order", "WITH n AS (SELECT DISTINCT map_id, folder, regexp_replace(regexp_replace(regexp_replace(folder, '^[A-Za-z_]*[0-9]+_', ''), '_noise_[0-9.]+cm_[0-9.]+deg$', ''), '_clean$', '') AS method, coalesce(CAST(nullif(regexp_extract(folder, 'noise_([0-9.]+)cm', 1), '') AS DOUBLE), -1) AS cm FROM slam_map) SELECT map_id, CAST(row_number() OVER (PARTITION BY method ORDER BY cm, folder, map_id) AS INTEGER) AS place FROM n")
@@ -124,15 +137,14 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 TIMING = ["run_id", "frame", "t_total_ms", "t_gtsam_ms", "t_register_total_ms", "reg_src_pts"]
 
 
-@book.query("src_s17_timing_csv", "SELECT run_id, frame, coalesce(t_total_ms, 0) AS t_total_ms, coalesce(t_gtsam_ms, 0) AS t_gtsam_ms, coalesce(t_register_total_ms, 0) AS t_register_total_ms, coalesce(reg_src_pts, 0) AS reg_src_pts FROM frame_timing WHERE NOT coalesce(isnan(t_total_ms) OR isnan(t_gtsam_ms) OR isnan(t_register_total_ms), false)")
+@book.query("src_s17_timing_csv", "SELECT run_id, frame, coalesce(t_total_ms, 0) AS t_total_ms, coalesce(t_gtsam_ms, 0) AS t_gtsam_ms, coalesce(t_register_total_ms, 0) AS t_register_total_ms, coalesce(reg_src_pts, 0) AS reg_src_pts FROM frame_timing")
 def s17(spark: SparkSession, sf: str) -> DataFrame:
-    """Timings through CSV with a given schema; blanks are 0."""
+    """Timings through CSV with a given schema; blanks are 0, NaN stays NaN."""
     where = shared_dir(spark, "timing-csv")
     t = table(spark, sf, "frame_timing").select(*TIMING)
-    nan = F.coalesce(F.isnan("t_total_ms") | F.isnan("t_gtsam_ms") | F.isnan("t_register_total_ms"), F.lit(False))
-    t = t.where(~nan)
     t.write.option("header", True).csv(where)
-    return spark.read.schema(t.schema).option("header", True).csv(where).na.fill(0)
+    d = spark.read.schema(t.schema).option("header", True).csv(where)
+    return d.select("run_id", "frame", *[F.coalesce(c, F.lit(0)).alias(c) for c in TIMING[2:]])
 
 
 @book.query("src_s18_candidate_csv", "SELECT event_type AS selected_source, count(*) AS n FROM events GROUP BY event_type")
@@ -154,23 +166,52 @@ def k01(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(where).groupBy("recording").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"))
 
 
-@book.query("snk_k03_k04_map_export", f"WITH {POINTS}, {MAPS} SELECT map_id, count(*) AS n FROM mp WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.recording = mp.recording AND pow(mp.x - fr.px, 2) + pow(mp.y - fr.py, 2) + pow(mp.z - fr.pz, 2) <= 4.0) GROUP BY map_id")
-def k03(spark: SparkSession, sf: str) -> DataFrame:
-    """Map points outside 2 m of any pose of the recording, saved with the map's id."""
-    poses = frames(spark, sf).select("recording", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
-    kept = written(S.far_from(map_points(spark, sf), poses, 2.0, ["recording"]), "map-export")
-    return kept.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+@book.query("snk_k02_exploration_frames", "SELECT file_id, CAST(CASE WHEN len(points) > 0 THEN len(points) END AS INTEGER) AS n_points, CAST(NULL AS BIGINT) AS timestamp, gps.alt AS alt, 1.0::DOUBLE AS mount_w FROM lidar_frame")
+def k02(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames as the explorer stores them: points, pose, mount and GPS if there is one, but no times."""
+    where = _posix(shared_dir(spark, "npz-exploration"))
+    f = _frames_for_npz(spark, sf).select("file_id", "recording", "frame_id", "points", "position", "orientation", "lidar_position", "lidar_orientation", "gps")
+    written(R.write_frames(f, where), "npz-list")
+    d = R.read_frames(spark, where)
+    return d.select(F.regexp_extract("path", r"-(\d+)\.npz$", 1).cast("bigint").alias("file_id"), F.size("points").alias("n_points"), "timestamp", F.col("gps.alt").alias("alt"), F.col("lidar_orientation.w").alias("mount_w"))
+
+
+_EXPORT = f"""{FRAMES}, {WORLD_MAPS}, ra AS (SELECT DISTINCT ON (map_id) map_id, source, resolution, greatest(2 * coalesce(resolution, 0), 1.0) AS r FROM slam_map),
+kp AS (SELECT mp.map_id, source, resolution FROM mp JOIN ra USING (map_id) WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.recording = mp.recording AND pow(mp.x - fr.px, 2) + pow(mp.y - fr.py, 2) + pow(mp.z - fr.pz, 2) <= r * r))"""
 
 
-@book.query("snk_k05_truth", f"WITH {MAPS} SELECT recording, count(*) AS n, round(avg(x), 6) AS cx FROM mp GROUP BY recording")
+@book.query("snk_k03_k04_map_export", f"WITH {_EXPORT} SELECT map_id, source, resolution, count(*) AS n FROM kp GROUP BY ALL")
+def k03(spark: SparkSession, sf: str) -> DataFrame:
+    """World map points that lie farther from every pose of the recording than twice the resolution and a metre, saved beside a row of metadata per map."""
+    where = shared_dir(spark, "map-export")
+    m = table(spark, sf, "slam_map").dropDuplicates(["map_id"])
+    radius = m.select("map_id", F.greatest(2 * F.coalesce("resolution", F.lit(0.0)), F.lit(1.0)).alias("r"))
+    widest = radius.agg(F.max("r")).first()[0] or 1.0
+    poses = frames(spark, sf).select("recording", F.col("file_id").alias("pose"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+    p = world_map_points(spark, sf)
+    near = S.within(poses, p.withColumn("pid", F.struct("map_id", "pt_id")), widest, ["recording"], "pose", "pid").select("pid.map_id", "pid.pt_id", "d2")
+    near = near.join(radius, "map_id").where(F.col("d2") <= F.col("r") * F.col("r")).select("map_id", "pt_id").distinct()
+    p.join(near, ["map_id", "pt_id"], "left_anti").select("map_id", "x", "y", "z").write.parquet(f"{where}/points")
+    m.select("map_id", F.col("saved_s").alias("timestamp"), "source", "bounds", "resolution", "extra").write.parquet(f"{where}/metadata")
+    n = spark.read.parquet(f"{where}/points").groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{where}/metadata").join(n, "map_id").select("map_id", "source", "resolution", "n")
+
+
+@book.query("snk_k05_truth", f"WITH {WORLD_MAPS} SELECT recording, count(*) AS n, " + ", ".join(f"round((min({a}) + max({a})) / 2, 6) AS c{a}, CAST(ceil(max({a}) - min({a})) AS BIGINT) AS n{a}" for a in "xyz") + ", 1.0::DOUBLE AS resolution FROM mp GROUP BY recording")
 def k05(spark: SparkSession, sf: str) -> DataFrame:
-    return written(map_points(spark, sf), "truth").groupBy("recording").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x")).alias("cx"))
+    """Truth clouds with their centre, grid size and resolution."""
+    where = shared_dir(spark, "truth")
+    p = world_map_points(spark, sf)
+    p.write.parquet(f"{where}/points")
+    saved = spark.read.parquet(f"{where}/points")
+    parts = [c for a in "xyz" for c in (r6((F.min(a) + F.max(a)) / 2).alias(f"c{a}"), F.ceil(F.max(a) - F.min(a)).alias(f"n{a}"))]
+    return written(saved.groupBy("recording").agg(F.count(F.lit(1)).alias("n"), *parts, F.lit(1.0).alias("resolution")), "truth-members")
 
 
-@book.query("snk_k06_octree_levels", f"WITH {POINTS}, v AS (SELECT DISTINCT recording, {IJK.format('0.5')} FROM pt), l AS (SELECT recording, lv, CAST(floor(i / pow(2, lv)) AS BIGINT) AS i, CAST(floor(j / pow(2, lv)) AS BIGINT) AS j, CAST(floor(k / pow(2, lv)) AS BIGINT) AS k FROM v, generate_series(0, 4) q(lv)) SELECT recording, CAST(lv AS INTEGER) AS level, count(DISTINCT (i, j, k)) AS n FROM l GROUP BY ALL")
+@book.query("snk_k06_octree_levels", f"WITH {WORLD}, v AS (SELECT DISTINCT recording, {IJK.format('0.5')} FROM pt), l AS (SELECT recording, lv, CAST(floor(i / pow(2, lv)) AS BIGINT) AS i, CAST(floor(j / pow(2, lv)) AS BIGINT) AS j, CAST(floor(k / pow(2, lv)) AS BIGINT) AS k FROM v, generate_series(0, 4) q(lv)) SELECT recording, CAST(lv AS INTEGER) AS level, count(DISTINCT (i, j, k)) AS n FROM l GROUP BY ALL")
 def k06(spark: SparkSession, sf: str) -> DataFrame:
-    """Voxels with their ancestors of four levels, as an octree would store them."""
-    v = points(spark, sf).select("recording", *[F.floor(F.col(a) / 0.5).cast("bigint").alias(i) for a, i in zip("xyz", "ijk")]).distinct()
+    """Voxels of the world with their ancestors of four levels, as an octree would store them."""
+    v = world(spark, sf).select("recording", *[F.floor(F.col(a) / 0.5).cast("bigint").alias(i) for a, i in zip("xyz", "ijk")]).distinct()
     up = v.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(4))))
     cells = up.select("recording", "level", *[F.expr(f"shiftright({i}, level)").alias(i) for i in "ijk"]).distinct()
     return written(cells, "octree").groupBy("recording", "level").agg(F.count(F.lit(1)).alias("n"))
@@ -187,7 +228,7 @@ def k07(spark: SparkSession, sf: str) -> DataFrame:
 
 def _csv(d: DataFrame, purpose: str) -> DataFrame:
     where = shared_dir(d.sparkSession, purpose)
-    d.coalesce(1).write.option("header", True).csv(where)  # reports of a row a method or step
+    d.write.option("header", True).csv(where)
     return d.sparkSession.read.schema(d.schema).option("header", True).csv(where)
 
 
@@ -218,6 +259,17 @@ def k11(spark: SparkSession, sf: str) -> DataFrame:
     return _csv(map_metrics(spark, sf), "metrics")
 
 
+_METRICS = [c for c in ("rmse_s2g", "rmse_g2s", "rmse_sym", "chamfer", "accuracy", "median_s2g", "median_g2s", "mean_s2g", "mean_g2s", "precision", "recall", "fscore", "completeness")]
+_KIND = "split_part(recording, '_', 1)"
+
+
+@book.query("snk_k11_averaged_metric_csv", f"SELECT {_KIND} AS kind, count(*) AS n_runs, " + ", ".join(f"round(avg({c}), 5) AS {c}, round(coalesce(stddev_samp({c}), 0), 5) AS {c}_std" for c in _METRICS) + f" FROM ({aggregates.SQL['agg_a06_map_metrics']}) GROUP BY kind")
+def k11b(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics averaged over the recordings of a kind, with their spread."""
+    cols = [c for m in _METRICS for c in (F.round(F.avg(m), 5).alias(m), F.round(F.coalesce(F.stddev_samp(m), F.lit(0.0)), 5).alias(f"{m}_std"))]
+    return _csv(map_metrics(spark, sf).groupBy(F.expr("split_part(recording, '_', 1)").alias("kind")).agg(F.count(F.lit(1)).alias("n_runs"), *cols), "metrics-averaged")
+
+
 @book.query("snk_k12_trial_csv", "SELECT run_id, method, round(total_time, 3) AS total_time FROM benchmark_run WHERE status = 'OK'")
 def k12(spark: SparkSession, sf: str) -> DataFrame:
     return _csv(table(spark, sf, "benchmark_run").where("status = 'OK'").select("run_id", "method", F.round("total_time", 3).alias("total_time")), "trials")

@@ -14,10 +14,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from aerolith.functions.labels import folder_seconds
 
 FRAME_SCHEMA = (
-    "path string, frame_id bigint, timestamp bigint, points array<struct<x: float, y: float, z: float>>, position struct<x: double, y: double, z: double>, "
-    "orientation struct<w: double, x: double, y: double, z: double>, imu_angular_vel struct<x: double, y: double, z: double>, imu_linear_acc struct<x: double, y: double, z: double>, gps struct<lat: double, lon: double, alt: double>"
+    "path string, frame_id bigint, timestamp bigint, state_before_ts bigint, state_after_ts bigint, points array<struct<x: float, y: float, z: float>>, position struct<x: double, y: double, z: double>, "
+    "orientation struct<w: double, x: double, y: double, z: double>, lidar_position struct<x: double, y: double, z: double>, lidar_orientation struct<w: double, x: double, y: double, z: double>, imu_angular_vel struct<x: double, y: double, z: double>, imu_linear_acc struct<x: double, y: double, z: double>, gps struct<lat: double, lon: double, alt: double>"
 )
-MEMBERS = {"position": "xyz", "orientation": "wxyz", "imu_angular_vel": "xyz", "imu_linear_acc": "xyz", "gps": ("lat", "lon", "alt")}
+TIMES = ["timestamp", "state_before_ts", "state_after_ts"]
+MEMBERS = {"position": "xyz", "orientation": "wxyz", "lidar_position": "xyz", "lidar_orientation": "wxyz", "imu_angular_vel": "xyz", "imu_linear_acc": "xyz", "gps": ("lat", "lon", "alt")}
 
 
 def decode_frame(path: str, raw: bytes) -> tuple:
@@ -30,12 +31,12 @@ def decode_frame(path: str, raw: bytes) -> tuple:
                 return None
             return None if v is None or v.dtype == object or v.size == 0 else v
 
-        points, ts = get("points"), get("timestamp")
+        points, times = get("points"), [get(t) for t in TIMES]
         digits = "".join(c for c in path.rsplit("/", 1)[-1].split("-")[0].split(".")[0] if c.isdigit())
-        row = [path, int(digits) if digits else None, None if ts is None else int(ts.reshape(-1)[0]), None if points is None else [tuple(map(float, p)) for p in points.reshape(-1, 3)]]
+        row = [path, int(digits) if digits else None, *[None if t is None else int(t.reshape(-1)[0]) for t in times], None if points is None else [tuple(map(float, p)) for p in points.reshape(-1, 3)]]
         for name, parts in MEMBERS.items():
             v = get(name)
-            default = (0.0, 0.0, 0.0) if name == "position" else (1.0, 0.0, 0.0, 0.0) if name == "orientation" else None
+            default = (0.0, 0.0, 0.0) if name.endswith("position") else (1.0, 0.0, 0.0, 0.0) if name.endswith("orientation") else None
             row.append(default if v is None else tuple(map(float, v.reshape(-1)[: len(parts)])))
     return tuple(row)
 
@@ -45,8 +46,9 @@ def encode_frame(row: dict) -> bytes:
     out = {}
     if row.get("points") is not None:
         out["points"] = np.array([[p["x"], p["y"], p["z"]] for p in row["points"]], dtype=np.float32).reshape(-1, 3)
-    if row.get("timestamp") is not None:
-        out["timestamp"] = np.array(row["timestamp"], dtype=np.int64)
+    for t in TIMES:
+        if row.get(t) is not None:
+            out[t] = np.array(row[t], dtype=np.int64)
     for name, parts in MEMBERS.items():
         v = row.get(name)
         if v is not None:
@@ -67,23 +69,27 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
             for name in MEMBERS:
                 out[name] = [None if v is None else dict(zip(MEMBERS[name], v)) for v in out[name]]
             out["points"] = [None if v is None else [dict(zip("xyz", p)) for p in v] for v in out["points"]]
-            for c in ("frame_id", "timestamp"):
+            for c in ("frame_id", *TIMES):
                 out[c] = out[c].astype("Int64")
             yield out
 
     return files.mapInPandas(decode, FRAME_SCHEMA)
 
 
-COLUMNS = ["path", "frame_id", "timestamp", "points", *MEMBERS]
+COLUMNS = ["path", "frame_id", *TIMES, "points", *MEMBERS]
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+#: Files that one partition of the data source reads.
+FILES_A_TASK = 256
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
 
 class _NpzReader(DataSourceReader):
-    """One partition per file of a folder that driver and executors both see."""
+    """Partitions of many files each, of a folder that driver and executors both see."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"].removeprefix("file://")
@@ -93,11 +99,13 @@ class _NpzReader(DataSourceReader):
         import glob
 
         paths = sorted(glob.glob(f"{self.path}/**/*.npz", recursive=True))[:: self.skip]
-        return [_File(p) for p in (paths[: int(self.most)] if self.most else paths)]
+        paths = paths[: int(self.most)] if self.most else paths
+        return [_Files(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)]
 
-    def read(self, partition: _File):
-        with open(partition.path, "rb") as f:
-            yield decode_frame(partition.path, f.read())
+    def read(self, partition: _Files):
+        for path in partition.paths:
+            with open(path, "rb") as f:
+                yield decode_frame(path, f.read())
 
 
 class NpzFrames(DataSource):
@@ -123,6 +131,12 @@ def write_frames(frames: DataFrame, path: str) -> DataFrame:
     """
     target = path.removeprefix("file://")
 
+    return _write_each(frames, lambda r: (f"{target}/{r['recording']}", f"frame_{r['frame_id']:05d}-{r['file_id']}.npz", encode_frame(r)), "file_id")
+
+
+def _write_each(rows: DataFrame, encode, row_id: str) -> DataFrame:
+    """A file per row, lazily: (row_id, path, n_bytes). ``encode`` gives a row's folder, file name and bytes."""
+
     def save(batches):
         import os
         import uuid
@@ -132,18 +146,68 @@ def write_frames(frames: DataFrame, path: str) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                folder = f"{target}/{r['recording']}"
+                folder, name, raw = encode(r)
                 os.makedirs(folder, exist_ok=True)
-                name = f"{folder}/frame_{r['frame_id']:05d}-{r['file_id']}.npz"
-                raw = encode_frame(r)
-                part = f"{name}.{uuid.uuid4().hex}.part"
+                part = f"{folder}/{name}.{uuid.uuid4().hex}.part"
                 with open(part, "wb") as f:
                     f.write(raw)
-                os.replace(part, name)
-                out.append((r["file_id"], name, len(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["file_id", "path", "n_bytes"])
+                os.replace(part, f"{folder}/{name}")
+                out.append((r[row_id], f"{folder}/{name}", len(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=[row_id, "path", "n_bytes"])
+
+    return rows.mapInArrow(save, f"{row_id} bigint, path string, n_bytes bigint")
+
+
+MAP_SCHEMA = "path string, points array<struct<x: float, y: float, z: float>>, timestamp double, source string, bounds array<double>, resolution double, extra map<string, string>"
+
+
+def encode_map(row: dict) -> bytes:
+    """An npz file of a map: points, timestamp, source, bounds and resolution where there are any, and a member for each extra."""
+    out = {}
+    if row.get("points") is not None:
+        out["points"] = np.array([[p["x"], p["y"], p["z"]] if p else [0, 0, 0] for p in row["points"]], dtype=np.float32).reshape(-1, 3)
+    for name, kind in (("timestamp", float), ("source", str), ("bounds", float), ("resolution", float)):
+        v = row.get(name)
+        if v is not None:
+            out[name] = np.array([np.nan if x is None else x for x in v] if isinstance(v, list) else v, dtype=kind)
+    for name, v in row.get("extra") or []:
+        if v is not None and name not in out:
+            out[name] = np.array(v)
+    b = io.BytesIO()
+    np.savez_compressed(b, **out)
+    return b.getvalue()
+
+
+def decode_map(path: str, raw: bytes) -> dict:
+    """All members of a map's npz file; those without a column of their own are extras, as text."""
+    row: dict = {"path": path, "points": None, "timestamp": None, "source": None, "bounds": None, "resolution": None, "extra": {}}
+    with np.load(io.BytesIO(raw), allow_pickle=False) as f:
+        for name in f.files:
+            v = f[name]
+            if name == "points":
+                row[name] = [dict(zip("xyz", map(float, p))) for p in v.reshape(-1, 3)]
+            elif name in row and name not in ("path", "extra"):
+                row[name] = v.tolist()
+            else:
+                row["extra"][name] = str(v)
+    return row
+
+
+def write_maps(maps: DataFrame, path: str) -> DataFrame:
+    """One slam_map.npz per row in a folder of its own, as ``write_frames``: (map_id, path, n_bytes)."""
+    target = path.removeprefix("file://")
+    return _write_each(maps, lambda r: (f"{target}/{r['map_id']}-{r['folder']}", "slam_map.npz", encode_map(r)), "map_id")
+
+
+def read_maps(spark: SparkSession, path: str) -> DataFrame:
+    """Maps of all npz files below ``path`` with all their members."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([decode_map(p, c) for p, c in zip(b["path"], b["content"])], columns=["path", "points", "timestamp", "source", "bounds", "resolution", "extra"])
 
-    return frames.mapInArrow(save, "file_id bigint, path string, n_bytes bigint")
+    return files.mapInPandas(decode, MAP_SCHEMA)
 
 
 def decode_binvox(raw: bytes) -> tuple[dict, np.ndarray, np.ndarray]:
