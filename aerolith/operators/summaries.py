@@ -43,3 +43,31 @@ def histogram(df: DataFrame, value: str, top: DataFrame, bins: int) -> DataFrame
     d = df.select(F.col(value).alias("v"), limit.alias("top")).where((F.col("v") >= 0) & (F.col("v") <= F.col("top")))
     at = F.least(F.lit(bins), F.floor(F.col("v") / (F.col("top") / bins)) + 1).cast("bigint")
     return d.select(at.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Values that one task may sort to settle a quantile.
+SETTLE = 100_000
+
+
+def exact_quantile(df: DataFrame, value: str, p: float, settle: int = SETTLE) -> float | None:
+    """The interpolated quantile of a whole column, exact, without all values in one task; None if there are none.
+
+    An approximate quantile on either side bounds a window around the rank; its values are counted
+    exactly and the window is narrowed again until so few are left that one task sorts them. Null and
+    NaN are no values. A value that fills the window by its copies is the answer.
+    """
+    v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    within, below = v.count(), 0
+    if not within:
+        return None
+    rank, window = p * (within - 1), v
+    while within > settle:
+        at = (rank - below) / (within - 1)
+        low, high = window.agg(F.percentile_approx("v", [max(0.0, at - 0.001), min(1.0, at + 0.001)], 10_000)).first()[0]
+        less, some = window.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not (below + less <= rank and rank + 1 <= below + less + some) or (some == within and low < high):
+            break
+        window, below, within = window.where(F.col("v").between(low, high)), below + less, some
+        if low == high:
+            return low
+    return window.agg(F.percentile("v", (rank - below) / max(1, within - 1))).first()[0]

@@ -129,6 +129,15 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("recording").agg(F.count(F.lit(1)).alias("occupied"), *[F.max(f"i{a}").alias(f"max_i{a}") for a in "xyz"])
 
 
+@book.query("src_s12_points_to_grid", f"WITH {MAPS}, b AS (SELECT map_id, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM mp GROUP BY map_id) SELECT map_id, count(DISTINCT (CAST(floor((x - lx) / 2.0) AS BIGINT), CAST(floor((y - ly) / 2.0) AS BIGINT), CAST(floor((z - lz) / 2.0) AS BIGINT))) AS occupied FROM mp JOIN b USING (map_id) GROUP BY map_id")
+def s12(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved points as occupied cells of 2 m over each map's own bounds: the loader of maps without a grid."""
+    m = map_points(spark, sf)
+    b = m.groupBy("map_id").agg(*[F.min(a).alias(f"l{a}") for a in "xyz"])
+    cells = m.join(b, "map_id").select("map_id", *[F.floor((F.col(a) - F.col(f"l{a}")) / 2.0).cast("bigint").alias(i) for a, i in zip("xyz", "ijk")]).distinct()
+    return cells.groupBy("map_id").agg(F.count(F.lit(1)).alias("occupied"))
+
+
 @book.query("src_s11_latest_truth", "SELECT arg_max(map_id, (saved_s, map_id)) AS map_id FROM slam_map WHERE points IS NOT NULL AND saved_s IS NOT NULL")
 def s11(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "slam_map").where("points is not null and saved_s is not null").agg(F.max_by("map_id", F.struct("saved_s", "map_id")).alias("map_id"))

@@ -330,6 +330,26 @@ def j19(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark_run").select("run_id", "method", F.try_element_at(names, F.lower(F.trim("method"))).alias("family"))
 
 
+@book.query("join_j23_nearest_tree_node", "WITH t AS (SELECT event_id AS node, (event_id * 7919 % 1000) / 100.0::DOUBLE AS x, (event_id * 104729 % 1000) / 100.0::DOUBLE AS y FROM events WHERE event_type = 'view'), s AS (SELECT event_id AS sample, (event_id * 15485863 % 1000) / 100.0::DOUBLE AS x, (event_id * 32452843 % 1000) / 100.0::DOUBLE AS y FROM events WHERE event_type = 'error') SELECT sample, round(sqrt(min((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y))), 6) AS dist FROM s, t GROUP BY sample")
+def j23(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest node of a tree in the plane for each sample: one step of growth for all samples at once."""
+    e = table(spark, sf, "events")
+
+    def placed(kind: str, name: str, a: int, b: int) -> DataFrame:
+        at = [(F.col("event_id") * f % 1000 / 100.0).alias(c) for f, c in ((a, "x"), (b, "y"))]
+        return e.where(F.col("event_type") == kind).select(F.col("event_id").alias(name), *at, F.lit(0.0).alias("z"))
+
+    n = S.nearest(placed("error", "sample", 15485863, 32452843), placed("view", "node", 7919, 104729), [], "sample", "node", 0.25)
+    return n.select("sample", r6(F.col("dist")).alias("dist"))
+
+
+@book.query("src_s13_replay_carry_forward", f"WITH {_asof(('state', 'gps'))} SELECT scan_id, ns - state_bns AS odom_age_ns, ns - gps_bns AS gps_age_ns FROM j")
+def s13(spark: SparkSession, sf: str) -> DataFrame:
+    """How old the latest odometry and GPS are at each scan, carried to it as in the replay of a recording."""
+    b = bracketed(spark, sf, ["state", "gps"], False)
+    return b.select("scan_id", (F.col("ns") - F.col("before_state.ts")).alias("odom_age_ns"), (F.col("ns") - F.col("before_gps.ts")).alias("gps_age_ns"))
+
+
 def occupied(spark: SparkSession, sf: str, resolution: float = 1.0) -> DataFrame:
     """Occupied cells of the world per recording: (recording, i, j, k)."""
     return world(spark, sf).select("recording", *[V.cell(F.col(a), resolution).alias(i) for a, i in zip("xyz", "ijk")]).distinct()

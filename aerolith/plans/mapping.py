@@ -229,12 +229,35 @@ def g22(spark: SparkSession, sf: str) -> DataFrame:
     return one.join(op, ["recording", "frame_id"], "left").select("recording", "frame_id", *[r6(F.coalesce(f"o{a}", a, F.lit(0.0))).alias(a) for a in "xyz"])
 
 
+COURSE = [(3.0, 3.0, 1.0), (6.0, 5.0, 1.2), (4.0, 8.0, 1.0), (8.0, 7.0, 0.7)]
+
+
+def _trees(spark: SparkSession, both_ways: bool) -> DataFrame:
+    from aerolith.operators.trees import grow_trees
+
+    return grow_trees(spark.range(8).withColumnRenamed("id", "seed"), (1.0, 1.0), (9.0, 9.0), 10.0, COURSE, both_ways)
+
+
 @book.query("grid_g16_rrt")
 def g16(spark: SparkSession, sf: str) -> DataFrame:
     """Random trees through the plane course, one per seed, with the path from the node nearest the goal."""
-    from aerolith.operators.trees import grow_trees
+    return _trees(spark, False)
+
+
+@book.query("grid_g16_birrt")
+def g16b(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of trees from both ends that meet."""
+    return _trees(spark, True)
+
 
-    return grow_trees(spark.range(8).withColumnRenamed("id", "seed"), (1.0, 1.0), (9.0, 9.0), 10.0, [(3.0, 3.0, 1.0), (6.0, 5.0, 1.2), (4.0, 8.0, 1.0), (8.0, 7.0, 0.7)])
+@book.query("grid_g16_birrt_paths", "SELECT CAST(s AS BIGINT) AS seed, true AS connected, true AS clear FROM generate_series(0, 7) q(s)")
+def g16c(spark: SparkSession, sf: str) -> DataFrame:
+    """Does each pair of trees join both ends, by nodes that all lie outside the obstacles."""
+    clear = F.lit(True)
+    for x, y, r in COURSE:
+        clear = clear & ((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) > r * r)
+    ends = (F.col("on_path") & (F.col("parent") == -1)).cast("int")
+    return _trees(spark, True).groupBy("seed").agg((F.sum(ends) == 2).alias("connected"), F.bool_and(clear).alias("clear"))
 
 
 QUERIES, SQL = book.queries, book.sql

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions import geometry as G
 from aerolith.functions import labels as L
-from aerolith.functions.timeunits import TO_NS_SQL, to_ns
+from aerolith.functions.timeunits import TO_NS_SQL, to_ns, usable_reading, usable_sql
 from aerolith.operators import voxel as V
 from aerolith.plans.book import FRAMES, MAPS, POINTS, Book, frames, map_points, points, r6, rotated_sql
 from aerolith.runtime import table
@@ -111,13 +111,18 @@ def angle_wrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query(
     "fn_p16_staleness",
-    f"SELECT sample_id, sensor, round((epoch_us(received_at) - {TO_NS_SQL.format('ts_ns')} // 1000) / 1000.0, 3) AS staleness_ms FROM sensor_sample WHERE ts_ns IS NOT NULL AND received_at IS NOT NULL",
+    f"""SELECT sample_id, sensor, round(ms, 3) AS staleness_ms, round(rate, 6) AS yaw_rate, round(ms / 1000.0 * rate, 6) AS yaw_error
+  FROM (SELECT sample_id, sensor, (epoch_us(received_at) - {TO_NS_SQL.format('ts_ns')} // 1000) / 1000.0 AS ms, CASE WHEN sensor = 'imu' AND {usable_sql('sensor', 'v')} THEN degrees(v[3]) END AS rate
+  FROM sensor_sample WHERE ts_ns IS NOT NULL AND received_at IS NOT NULL)""",
 )
 def staleness(spark: SparkSession, sf: str) -> DataFrame:
-    """Milliseconds between a reading and its arrival."""
+    """Milliseconds between a reading and its arrival; of imu readings the yaw rate in degrees a second and the yaw error that it makes of the delay."""
     s = table(spark, sf, "sensor_sample").where("ts_ns is not null and received_at is not null")
     us = F.unix_micros(F.col("received_at").cast("timestamp"))
-    return s.withColumn("ns", to_ns(F.col("ts_ns"))).select("sample_id", "sensor", F.round((us - F.expr("ns div 1000")) / 1000.0, 3).alias("staleness_ms"))
+    ms = (us - F.expr("ns div 1000")) / 1000.0
+    rate = F.when((F.col("sensor") == "imu") & usable_reading(F.col("sensor"), F.col("v")), F.degrees(F.get("v", F.lit(2))))
+    d = s.withColumn("ns", to_ns(F.col("ts_ns"))).select("sample_id", "sensor", ms.alias("ms"), rate.alias("rate"))
+    return d.select("sample_id", "sensor", F.round("ms", 3).alias("staleness_ms"), F.round("rate", 6).alias("yaw_rate"), F.round(F.col("ms") / 1000.0 * F.col("rate"), 6).alias("yaw_error"))
 
 
 @book.query("fn_p17_timestamp_units", f"SELECT sample_id, ts_ns AS raw, {TO_NS_SQL.format('ts_ns')} AS ns, round({TO_NS_SQL.format('ts_ns')} / 1e9, 3) AS seconds FROM sensor_sample")
@@ -308,11 +313,23 @@ def height_ramp(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("file_id", "pt_id", r6(F.col("t")).alias("red"), r6(1 - F.abs(2 * F.col("t") - 1)).alias("green"), r6(1 - F.col("t")).alias("blue"))
 
 
+def gauss(draw: int, *ids: str, seed: int = 42) -> Column:
+    """A normal number that a row's ids and the seed fix, however the rows are split over tasks."""
+    def unit(half: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(*ids, F.lit(2 * draw + half), F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
+
+    return F.sqrt(-2 * F.log(unit(0))) * F.cos(2 * F.pi() * unit(1))
+
+
 @book.query("fn_p37_pose_noise")
 def pose_noise(spark: SparkSession, sf: str) -> DataFrame:
-    """Frame positions with seeded Gaussian noise of 0.1 m; another generator than the reference's, so not bit-equal."""
-    f = frames(spark, sf)
-    return f.select("file_id", *[(F.col(f"p{a}") + F.randn(42 + i) * 0.1).alias(f"p{a}") for i, a in enumerate("xyz")])
+    """Frame poses with seeded Gaussian noise of 0.1 m and half a degree about each axis; another generator than the reference's, so not bit-equal."""
+    f = frames(spark, sf).withColumns({f"h{n}": F.radians(gauss(3 + n, "file_id") * 0.5) / 2 for n in range(3)})
+    for n in range(3):
+        axis = [F.sin(f"h{n}") if m == n else F.lit(0.0) for m in range(3)]
+        turned = G.Quat(*[F.col(f"q{a}") for a in "wxyz"]) * G.Quat(F.cos(f"h{n}"), *axis)
+        f = f.withColumns({f"q{a}": getattr(turned, a) for a in "wxyz"})
+    return f.select("file_id", *[(F.col(f"p{a}") + gauss(n, "file_id") * 0.1).alias(f"p{a}") for n, a in enumerate("xyz")], *[f"q{a}" for a in "wxyz"])
 
 
 @book.query(

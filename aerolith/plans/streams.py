@@ -142,4 +142,19 @@ def t15(spark: SparkSession, sf: str) -> DataFrame:
     return sc.join(sent, "vehicle", "left").select("vehicle", "queued", F.coalesce("sent", F.lit(0)).alias("sent"))
 
 
+@book.query("src_s14_lidar_stream", f"SELECT DISTINCT scan_id, {TO_NS_SQL.format('lidar_ts')} AS ns FROM scan_buffer WHERE lidar_ts IS NOT NULL")
+def s14(spark: SparkSession, sf: str) -> DataFrame:
+    """Scans as a stream, their times brought to nanoseconds by size."""
+    return T.run_bounded(_scan_rows(spark, sf).select("scan_id", "ns"), "stream-scans").distinct()
+
+
+@book.query("src_s16_sensor_streams", f"SELECT sensor, count(*) AS n, min({TO_NS_SQL.format('ts_ns')}) AS first_ns, max({TO_NS_SQL.format('ts_ns')}) AS last_ns FROM sensor_sample WHERE vehicle IS NOT NULL AND ts_ns IS NOT NULL GROUP BY sensor")
+def s16(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream per sensor of the high-rate poll, in several batches, and what came of each."""
+    r = _reading_rows(spark, sf).select("sensor", "ns")
+    one = [r.where(F.col("sensor") == s) for s in SENSORS]
+    out = T.run_bounded(one[0].union(one[1]).union(one[2]), "stream-sensors")
+    return out.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.min("ns").alias("first_ns"), F.max("ns").alias("last_ns"))
+
+
 QUERIES, SQL = book.queries, book.sql

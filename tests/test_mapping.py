@@ -151,3 +151,26 @@ def test_a_confirmed_loop_takes_out_the_drift(spark):
 
     open_, closed = end(P.optimise(nodes, "g", "n")), end(P.optimise(nodes, "g", "n", loops=loops))
     assert open_ > 1.0 and closed < open_ / 10
+
+
+def test_two_trees_meet():
+    from aerolith.operators.trees import free, grow_two
+
+    course = [(3.0, 3.0, 1.0), (6.0, 5.0, 1.2)]
+    for seed in range(4):
+        nodes = grow_two(seed, (1.0, 1.0), (9.0, 9.0), 10.0, course)
+        path = [n for n in nodes if n[4]]
+        assert {(n[2], n[3]) for n in path if n[1] == -1} == {(1.0, 1.0), (9.0, 9.0)}
+        assert all(free(n[2], n[3], nodes[n[1]][2], nodes[n[1]][3], course) for n in nodes if n[1] >= 0)
+
+
+def test_exact_quantile_narrows_its_window(spark):
+    from pyspark.sql import functions as F
+
+    from aerolith.operators.summaries import exact_quantile
+
+    d = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.rand(3) * 100).alias("v"))
+    x = np.array([r["v"] for r in d.collect()])
+    for p in (0.0, 0.05, 0.31, 0.5, 0.99, 1.0):
+        assert np.isclose(exact_quantile(d, "v", p, settle=50), np.quantile(x, p), rtol=1e-12), p
+    assert exact_quantile(d.limit(0), "v", 0.5) is None
