@@ -262,10 +262,10 @@ def a17(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(Lattice(spark, sf).unknown, KEY).groupBy("file_id").agg(F.count(F.lit(1)).alias("gain"))
 
 
-@book.query("agg_a18_cluster_centroids", f"WITH {POINTS} SELECT recording, {IJK.format('10.0')}, round(avg(x), 10) AS cx, round(avg(y), 10) AS cy, round(avg(z), 10) AS cz, count(*) AS size FROM pt GROUP BY recording, i, j, k HAVING count(*) >= 3")
+@book.query("agg_a18_cluster_centroids", f"WITH {WORLD} SELECT recording, {IJK.format('10.0')}, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, count(*) AS size FROM pt GROUP BY recording, i, j, k HAVING count(*) >= 3")
 def a18(spark: SparkSession, sf: str) -> DataFrame:
     d = A.downsample(world(spark, sf), ["recording"], 10.0).where("n >= 3")
-    return d.select("recording", *[F.col(i) for i in "ijk"], *[F.round(a, 10).alias(f"c{a}") for a in "xyz"], F.col("n").alias("size"))
+    return d.select("recording", *[F.col(i) for i in "ijk"], *[r6(F.col(a)).alias(f"c{a}") for a in "xyz"], F.col("n").alias("size"))
 
 
 @book.query("agg_a19_plane_fit")
@@ -273,10 +273,10 @@ def a19(spark: SparkSession, sf: str) -> DataFrame:
     """Plane of each recording's points: slopes and residual from moment sums; the eigenvector in closed form."""
     from aerolith.operators.planes import fit_planes
 
-    return fit_planes(points(spark, sf), ["recording"])
+    return fit_planes(world(spark, sf), ["recording"])
 
 
-@book.query("agg_a20_pipeline_summary", f"WITH {POINTS}, v AS (SELECT DISTINCT recording, {IJK.format('0.5')} FROM pt), a AS (SELECT recording, count(*) AS n_voxels, 120 * count(*) AS bytes FROM v GROUP BY recording), b AS (SELECT recording, count(*) AS n_points FROM pt GROUP BY recording), c AS (SELECT recording, count(DISTINCT frame_id) AS n_nodes FROM fr GROUP BY recording) SELECT recording, n_points, n_voxels, n_nodes, round(n_voxels / n_points, 6) AS ratio, CAST(bytes AS BIGINT) AS bytes FROM a JOIN b USING (recording) JOIN c USING (recording)")
+@book.query("agg_a20_pipeline_summary", f"WITH {WORLD}, v AS (SELECT DISTINCT recording, {IJK.format('0.5')} FROM pt), a AS (SELECT recording, count(*) AS n_voxels, 120 * count(*) AS bytes FROM v GROUP BY recording), b AS (SELECT recording, count(*) AS n_points FROM pt GROUP BY recording), c AS (SELECT recording, count(DISTINCT frame_id) AS n_nodes FROM fr GROUP BY recording) SELECT recording, n_points, n_voxels, n_nodes, round(n_voxels / n_points, 6) AS ratio, CAST(bytes AS BIGINT) AS bytes FROM a JOIN b USING (recording) JOIN c USING (recording)")
 def a20(spark: SparkSession, sf: str) -> DataFrame:
     """Points, voxels, graph nodes and the memory estimate of 120 bytes per voxel key."""
     cells = A.downsample(world(spark, sf), ["recording"], 0.5).groupBy("recording").agg(F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("n_voxels"))

@@ -72,7 +72,11 @@ def test_windowed_counts_wait_for_the_watermark(spark):
 def test_frame_files_round_trip(spark):
     row = {"points": [{"x": 1.0, "y": 2.0, "z": 3.0}], "timestamp": 5, "position": None, "orientation": None, "imu_angular_vel": None, "imu_linear_acc": {"x": 1.0, "y": 2.0, "z": 3.0}, "gps": None}
     r = R.decode_frame("a/frame_00012-7.npz", R.encode_frame(row))
-    assert r == ("a/frame_00012-7.npz", 12, 5, [(1.0, 2.0, 3.0)], (0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0), None, (1.0, 2.0, 3.0), None)
+    zero, identity = (0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 0.0)
+    assert r == ("a/frame_00012-7.npz", 12, 5, None, None, [(1.0, 2.0, 3.0)], zero, identity, zero, identity, None, (1.0, 2.0, 3.0), None)
+    full = row | {"state_before_ts": 3, "state_after_ts": 8, "lidar_position": {"x": 0.5, "y": 0.0, "z": 0.0}}
+    again = dict(zip(R.COLUMNS, R.decode_frame("frame_00012-7.npz", R.encode_frame(full))))
+    assert (again["state_before_ts"], again["state_after_ts"], again["lidar_position"]) == (3, 8, (0.5, 0.0, 0.0))
     assert R.decode_frame("x.npz", R.encode_frame({}))[1:4] == (None, None, None)
 
 
