@@ -49,7 +49,7 @@ def _fitted(targets: DataFrame, group: list[str], cell: float) -> float:
 
 
 #: Targets in an occupied cell on average, and in a crowded one.
-LOAD = 2
+LOAD = 4
 CROWDED = 512
 
 
@@ -93,10 +93,14 @@ def nearest(queries: DataFrame, targets: DataFrame, group: list[str], query_id:
         last = size >= width
         near = t.select(*group, "__t", *[F.col(a).alias(f"t_{a}") for a in XYZ], *_cells(size))
         ask = _corners(left.select(*group, *[F.col(a).alias(f"q_{a}") for a in XYZ]), size)
-        hits = ask.join(near, key)
-        best = hits.groupBy(*group, *[f"q_{a}" for a in XYZ]).agg(F.min(F.struct(squared("q", "t").alias("d2"), F.col("__t").alias("__t"))).alias("b"), F.first("margin").alias("margin"))
-        done = best.select(*group, *[F.col(f"q_{a}").alias(a) for a in XYZ], F.col("b.__t").alias("__t"), F.sqrt("b.d2").alias("dist"), "margin")
-        done = written((done if last else done.where(F.col("dist") <= F.col("margin"))).drop("margin"), "nn-level")
+        at = [*group, *[f"q_{a}" for a in XYZ]]
+        # The least distance first, a number that hash aggregation can hold; then the targets that lie just so far.
+        best = ask.join(near, key).groupBy(*at).agg(F.min(squared("q", "t")).alias("__b"), F.first("margin").alias("__m"))
+        if not last:
+            best = best.where(F.sqrt("__b") <= F.col("__m"))
+        ties = _corners(best.drop("__m"), size).join(near, key).where(squared("q", "t") == F.col("__b"))
+        done = ties.groupBy(*at).agg(F.min("__t").alias("__t"), F.first("__b").alias("__b"))
+        done = written(done.select(*group, *[F.col(f"q_{a}").alias(a) for a in XYZ], "__t", F.sqrt("__b").alias("dist")), "nn-level")
         found = done if found is None else found.unionByName(done)
         if last:
             break
