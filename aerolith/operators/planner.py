@@ -34,18 +34,28 @@ def raycast(points: DataFrame, scan: list[str], low: tuple[float, float, float]
 def frustum_pairs(candidates: DataFrame, unknown: DataFrame, reach: float, half_angle: float, group: list[str] | None = None) -> DataFrame:
     """(*group, cid, x, y, z, i, j, k): unknown cells of unit size below each candidate of their group, in its cone and range.
 
-    Both sides are cut into columns of ``reach``, so only neighbours meet.
+    Both sides are cut into blocks of a third of ``reach``; a candidate is told to those blocks only
+    that its cone and range can touch.
     """
     group = group or []
-    size = float(math.ceil(reach))
-    u = unknown.select(*group, "i", "j", "k", F.floor((F.col("i") + 0.5) / size).alias("bx"), F.floor((F.col("j") + 0.5) / size).alias("by_"))
-    near = F.array(*[F.lit(d).cast("bigint") for d in (-1, 0, 1)])
-    c = candidates.select(*group, "cid", "x", "y", "z", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    c = c.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"bx": F.col("cx") + F.col("dx"), "by_": F.col("cy") + F.col("dy")})
+    size = float(math.ceil(reach / 3))
+    tan = math.tan(math.radians(half_angle))
+    far = math.ceil(reach / size)
+
+    def touched(x: int, y: int, z: int) -> bool:
+        flat, high = math.hypot(*(max(0, abs(v) - 1) * size for v in (x, y))), max(0, z - 1) * size
+        return math.hypot(flat, high) <= reach and flat <= (z + 1) * size * tan
+
+    blocks = [(x, y, z) for x in range(-far, far + 1) for y in range(-far, far + 1) for z in range(far + 1) if touched(x, y, z)]
+    names = ("bx", "by_", "bz")
+    u = unknown.select(*group, "i", "j", "k", *[F.floor((F.col(i) + 0.5) / size).alias(n) for i, n in zip("ijk", names)])
+    near = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip(names, block)]) for block in blocks])
+    c = candidates.select(*group, "cid", "x", "y", "z", F.explode(near).alias("__d"))
+    c = c.withColumns({n: F.floor(F.col(a) / size) + F.col(f"__d.{n}") for a, n in zip("xyz", names)}).drop("__d")
     d = {"__x": F.col("i") + 0.5 - F.col("x"), "__y": F.col("j") + 0.5 - F.col("y"), "__z": F.col("k") + 0.5 - F.col("z")}
     flat = F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y")
-    cone = F.col("__z") * math.tan(math.radians(half_angle))
-    p = c.join(u, [*group, "bx", "by_"]).withColumns(d).where((F.col("__z") > 0) & (flat <= cone * cone) & (flat + F.col("__z") * F.col("__z") <= reach * reach))
+    cone = F.col("__z") * tan
+    p = c.join(u, [*group, *names]).withColumns(d).where((F.col("__z") > 0) & (flat <= cone * cone) & (flat + F.col("__z") * F.col("__z") <= reach * reach))
     return p.select(*group, "cid", "x", "y", "z", "i", "j", "k")
 
 
