@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.voxel import cell, clipped_cell
+from aerolith.runtime import spread
 
 
 def raycast(points: DataFrame, scan: list[str], low: tuple[float, float, float] | None, shape: tuple[int, int, int] | None, res: float) -> DataFrame:
@@ -55,7 +56,8 @@ def frustum_pairs(candidates: DataFrame, unknown: DataFrame, reach: float, half_
     d = {"__x": F.col("i") + 0.5 - F.col("x"), "__y": F.col("j") + 0.5 - F.col("y"), "__z": F.col("k") + 0.5 - F.col("z")}
     flat = F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y")
     cone = F.col("__z") * tan
-    p = c.join(u, [*group, *names]).withColumns(d).where((F.col("__z") > 0) & (flat <= cone * cone) & (flat + F.col("__z") * F.col("__z") <= reach * reach))
+    # Few bytes, many pairs: both sides keep all cores busy.
+    p = spread(c, *group, *names).join(spread(u, *group, *names), [*group, *names]).withColumns(d).where((F.col("__z") > 0) & (flat <= cone * cone) & (flat + F.col("__z") * F.col("__z") <= reach * reach))
     return p.select(*group, "cid", "x", "y", "z", "i", "j", "k")
 
 
