@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.voxel import cell, clipped_cell
-from aerolith.runtime import spread
+from aerolith.runtime import by_sort, spread
 
 
 def raycast(points: DataFrame, scan: list[str], low: tuple[float, float, float] | None, shape: tuple[int, int, int] | None, res: float) -> DataFrame:
@@ -22,7 +22,7 @@ def raycast(points: DataFrame, scan: list[str], low: tuple[float, float, float]
     ends = points.groupBy(*scan, *[cell(F.col(a), res).alias(f"__{a}") for a in "xyz"]).agg(F.min_by(F.struct("x", "y", "z", "ox", "oy", "oz"), "pt_id").alias("e")).select(*scan, "e.*")
     length = F.sqrt(sum(((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in "yz"), (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox"))))
     steps = ends.groupBy(*scan).agg(F.greatest(F.lit(2), F.ceil(F.max(length) / (res / 2)) + 1).cast("int").alias("__n"))
-    rays = ends.join(steps, scan).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    rays = by_sort(ends).join(steps, scan).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     t = F.col("__s") / (F.col("__n") - 1)
     way = {a: F.col(f"o{a}") + (F.col(a) - F.col(f"o{a}")) * t for a in "xyz"}
     if low is None:

@@ -255,11 +255,9 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.query("agg_a17_unknown_in_box", f"WITH {LATTICE} SELECT file_id, count(*) AS gain FROM po0 JOIN un ON un.recording = po0.recording AND un.i BETWEEN po0.i - 2 AND po0.i + 2 AND un.j BETWEEN po0.j - 2 AND po0.j + 2 AND un.k BETWEEN po0.k - 2 AND po0.k + 2 GROUP BY file_id")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
-    """Unknown cells in the 5^3 box around each pose: the pose side is spread over its 125 cells, then an equi-join."""
+    """Unknown cells in the 5^3 box around each pose: its 125 cells, less those beyond the bounds and those observed."""
     c = poses(spark, sf).select("file_id", *KEY)
-    for i in "ijk":
-        c = c.withColumn(i, F.explode(F.sequence(F.col(i) - 2, F.col(i) + 2)))
-    return c.join(Lattice(spark, sf).unknown, KEY).groupBy("file_id").agg(F.count(F.lit(1)).alias("gain"))
+    return Lattice(spark, sf).unknown_near(c, 2).groupBy("file_id").agg(F.count(F.lit(1)).alias("gain"))
 
 
 @book.query("agg_a18_cluster_centroids", f"WITH {WORLD} SELECT recording, {IJK.format('10.0')}, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, count(*) AS size FROM pt GROUP BY recording, i, j, k HAVING count(*) >= 3")

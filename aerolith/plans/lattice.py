@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from aerolith.operators import graph, planner
 from aerolith.plans.book import WORLD, frames, world
-from aerolith.runtime import written
+from aerolith.runtime import by_sort, written
 
 #: Edge of a cell. Scans of some dozen points see a world of some hundred metres; dense scans want 1 m.
 CELL_M = 5.0
@@ -89,15 +89,19 @@ class Lattice:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        """(recording, i0, i1, j0, j1, k0, k1): the box of each recording, one small row."""
-        return self.observed.groupBy("recording").agg(*[c for i in "ijk" for c in (F.min(i).alias(f"{i}0"), F.max(i).alias(f"{i}1"))])
+        """(recording, i0, i1, j0, j1, k0, k1): the box of each recording, one small row; written, so that joins know it as small."""
+        box = self.observed.groupBy("recording").agg(*[c for i in "ijk" for c in (F.min(i).alias(f"{i}0"), F.max(i).alias(f"{i}1"))])
+        return written(box, "lattice-bounds")
 
     @cached_property
     def unknown(self) -> DataFrame:
         box = self.bounds
         for i in "ijk":
             box = box.withColumn(i, F.explode(F.sequence(f"{i}0", f"{i}1")))
-        return box.select(*KEY).join(self.observed.select(*KEY), KEY, "left_anti")
+        return box.select(*KEY).join(by_sort(self.observed.select(*KEY)), KEY, "left_anti")
+
+    def unknown_near(self, places: DataFrame, reach: int) -> DataFrame:
+        return unknown_near(places, reach, self.bounds, self.observed.select(*KEY))
 
     @property
     def free(self) -> DataFrame:
@@ -113,6 +117,17 @@ class Lattice:
         return frontier(self.free, self.observed.select(*KEY), self.bounds)
 
 
+def unknown_near(places: DataFrame, reach: int, bounds: DataFrame, known: DataFrame) -> DataFrame:
+    """Each of ``places`` (recording, i, j, k and more) once per cell within ``bounds`` at most ``reach`` cells off each way that is not ``known``; i, j, k are that cell's.
+
+    The work is that of the places: the unknown cells of the grid are never listed.
+    """
+    d = places.join(bounds, "recording")
+    for i in "ijk":
+        d = d.withColumn(i, F.explode(F.sequence(F.col(i) - reach, F.col(i) + reach))).where(f"{i} between {i}0 and {i}1")
+    return d.select(*places.columns).join(by_sort(known), KEY, "left_anti")
+
+
 def frontier(free: DataFrame, known: DataFrame, bounds: DataFrame) -> DataFrame:
     """Cells of ``free`` with a face neighbour within ``bounds`` that is not ``known``: the work is that of the free cells, however many are unknown."""
     moves = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(f"d{i}") for i, v in zip("ijk", s)]) for s in FACES])

@@ -70,6 +70,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_sort(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts both: for exploded rows and packed cells, which Spark sizes by the bytes they come from and would collect on the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores by ``keys``: for small rows with long work each, which adaptive execution would put in few tasks by their bytes."""
     spark = df.sparkSession
