@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.runtime import written
+from aerolith.runtime import by_sort, written
 
 XYZ = ("x", "y", "z")
 
@@ -121,7 +121,7 @@ def within(a: DataFrame, b: DataFrame, radius: float, group: list[str], a_id: st
     x = a.select(*group, F.col(a_id), *[F.col(i).alias(f"a_{i}") for i in XYZ], *_cells(radius))
     y = _around(b.select(*group, F.col(b_id), *[F.col(i).alias(f"b_{i}") for i in XYZ], *_cells(radius)))
     d2 = squared("a", "b")
-    return x.join(y, [*group, *[f"c{i}" for i in XYZ]]).where(d2 <= radius * radius).select(*group, a_id, b_id, d2.alias("d2"))
+    return x.join(by_sort(y), [*group, *[f"c{i}" for i in XYZ]]).where(d2 <= radius * radius).select(*group, a_id, b_id, d2.alias("d2"))
 
 
 def far_from(points: DataFrame, others: DataFrame, radius: float, group: list[str]) -> DataFrame:
