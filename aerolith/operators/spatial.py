@@ -95,16 +95,16 @@ def nearest(queries: DataFrame, targets: DataFrame, group: list[str], query_id:
         ask = _corners(left.select(*group, *[F.col(a).alias(f"q_{a}") for a in XYZ]), size)
         at = [*group, *[f"q_{a}" for a in XYZ]]
         # The least distance first, a number that hash aggregation can hold; then the targets that lie just so far.
-        best = ask.join(near, key).groupBy(*at).agg(F.min(squared("q", "t")).alias("__b"), F.first("margin").alias("__m"))
+        best = ask.join(by_sort(near), key).groupBy(*at).agg(F.min(squared("q", "t")).alias("__b"), F.first("margin").alias("__m"))
         if not last:
             best = best.where(F.sqrt("__b") <= F.col("__m"))
-        ties = _corners(best.drop("__m"), size).join(near, key).where(squared("q", "t") == F.col("__b"))
+        ties = _corners(best.drop("__m"), size).join(by_sort(near), key).where(squared("q", "t") == F.col("__b"))
         done = ties.groupBy(*at).agg(F.min("__t").alias("__t"), F.first("__b").alias("__b"))
         done = written(done.select(*group, *[F.col(f"q_{a}").alias(a) for a in XYZ], "__t", F.sqrt("__b").alias("dist")), "nn-level")
         found = done if found is None else found.unionByName(done)
         if last:
             break
-        left = left.join(done, [*group, *XYZ], "left_anti")
+        left = left.join(by_sort(done), [*group, *XYZ], "left_anti")
         if begin:
             size, more = begin.pop()
             left = written(left.unionByName(more), "nn-left")
@@ -113,7 +113,7 @@ def nearest(queries: DataFrame, targets: DataFrame, group: list[str], query_id:
         if left.isEmpty():
             break
         size *= 2
-    return q.join(found, [*group, *XYZ]).select(*group, F.col("__q").alias(query_id), F.col("__t").alias(target_id), "dist")
+    return q.join(by_sort(found), [*group, *XYZ]).select(*group, F.col("__q").alias(query_id), F.col("__t").alias(target_id), "dist")
 
 
 def within(a: DataFrame, b: DataFrame, radius: float, group: list[str], a_id: str, b_id: str) -> DataFrame:
