@@ -134,5 +134,5 @@ def frontier(free: DataFrame, known: DataFrame, bounds: DataFrame) -> DataFrame:
     here = F.struct("i", "j", "k").alias("__at")
     near = free.select("recording", here, F.explode(moves).alias("__d")).select("recording", "__at", *[(F.col(f"__at.{i}") + F.col(f"__d.d{i}")).alias(i) for i in "ijk"])
     inside = " and ".join(f"{i} between {i}0 and {i}1" for i in "ijk")
-    near = near.join(bounds, "recording").where(inside).select(*KEY, "__at").join(known, KEY, "left_anti")
+    near = near.join(bounds, "recording").where(inside).select(*KEY, "__at").join(by_sort(known), KEY, "left_anti")
     return near.select("recording", "__at.*").distinct()

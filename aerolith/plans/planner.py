@@ -9,7 +9,7 @@ from aerolith.operators import graph, planner
 from aerolith.operators import spatial as S
 from aerolith.plans.book import Book, r6
 from aerolith.plans.lattice import CELL_M, FACES, KEY, LATTICE, R, Lattice, ball_sql, floors, frontier, poses, rays, starts
-from aerolith.runtime import table, written
+from aerolith.runtime import by_sort, table, written
 
 book = Book()
 
@@ -51,7 +51,7 @@ class Grid:
     def __init__(self, spark: SparkSession, sf: str) -> None:
         lat = Lattice(spark, sf)
         seq = F.sequence(F.lit(-2).cast("bigint"), F.lit(2).cast("bigint"))
-        self.bounds = written(lat.bounds, "grid-bounds")
+        self.bounds = lat.bounds
         start = starts(spark, sf).join(self.bounds.select("recording"), "recording", "left_semi")
         self.start = written(start.select("*", *[F.floor(f"s{a}").cast("bigint").alias(f"s{i}") for a, i in zip("xyz", "ijk")]), "grid-starts")
         block = self.start
@@ -59,9 +59,10 @@ class Grid:
             block = block.withColumn("d", F.explode(seq)).withColumn(i, F.col(f"s{i}") + F.col("d"))
         block = block.select(*KEY)
         self.free = lat.free.union(block).distinct()
-        self.unknown = lat.unknown.join(block, KEY, "left_anti")
-        self.occupied = lat.occupied.join(block, KEY, "left_anti")
-        self.frontier = written(frontier(self.free, lat.observed.select(*KEY).union(block), self.bounds), "grid-frontier")
+        self.known = lat.observed.select(*KEY).union(block)
+        self.unknown = lat.unknown.join(by_sort(block), KEY, "left_anti")
+        self.occupied = lat.occupied.join(by_sort(block), KEY, "left_anti")
+        self.frontier = written(frontier(self.free, self.known, self.bounds), "grid-frontier")
 
     def reached(self, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
         at = self.start.select("recording", *[F.col(f"s{i}").alias(i) for i in "ijk"])
@@ -341,7 +342,7 @@ def f17(spark: SparkSession, sf: str) -> DataFrame:
 def g10(spark: SparkSession, sf: str) -> DataFrame:
     """A pseudo-random free cell near an obstacle: the target that the random planner flies to."""
     g = Grid(spark, sf)
-    near = g.free.join(S.shifted(g.occupied, S.offsets(2, "cross"), group=R), KEY, "left_semi")
+    near = g.free.join(by_sort(S.shifted(g.occupied, S.offsets(2, "cross"), group=R)), KEY, "left_semi")
     order = F.struct(number(F.col("i"), F.col("j"), F.col("k")) * 7919 % 10007, "i", "j", "k")
     return near.groupBy("recording").agg(F.min_by(F.struct("i", "j", "k"), order).alias("c")).select("recording", "c.*")
 
