@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aerolith.operators import graph, planner
 from aerolith.operators import spatial as S
 from aerolith.plans.book import Book, r6
-from aerolith.plans.lattice import CELL_M, FACES, KEY, LATTICE, R, Lattice, ball_sql, floors, frontier, poses, rays, starts
+from aerolith.plans.lattice import CELL_M, FACES, KEY, LATTICE, R, Lattice, ball_sql, floors, frontier, poses, rays, starts, unknown_near
 from aerolith.runtime import by_sort, table, written
 
 book = Book()
@@ -70,7 +70,7 @@ class Grid:
 
     def clusters(self) -> DataFrame:
         """Frontier cells that can be reached through free cells, with their cluster's number."""
-        c = graph.components(self.frontier.join(self.reached(), KEY, "left_semi"), group=R)
+        c = graph.components(self.frontier.join(by_sort(self.reached()), KEY, "left_semi"), group=R)
         return c.select(*KEY, number(F.col("cluster.i"), F.col("cluster.j"), F.col("cluster.k")).alias("lab"))
 
 
@@ -240,7 +240,7 @@ def cluster_targets(spark: SparkSession, sf: str) -> tuple[DataFrame, Grid]:
     side = [F.greatest(F.col(f"{i}0") + 0.5, F.least(F.col(f"{i}1") + 0.5, m)).alias(a) for (i, m), a in zip(at.items(), "xyz")]
     c = written(c.select(*key, "size", *side, F.col("mk").alias("zf")), "grid-targets")
     again = S.within(waypoints(spark, sf), c, 2.5, R, "wid", "lab").select(*key).distinct().withColumn("again", F.lit(True))
-    occ = c.select("*", *floors()).join(g.occupied, KEY, "left_semi").select(*key, F.lit(True).alias("occ"))
+    occ = c.select("*", *floors()).join(by_sort(g.occupied), KEY, "left_semi").select(*key, F.lit(True).alias("occ"))
     d = _from_start(c.join(again, key, "left").join(occ, key, "left"), g)
     reason = F.when(F.coalesce("occ", F.lit(False)), "occupied").when(F.coalesce("again", F.lit(False)), "revisited").when(F.greatest("dist", F.lit(0.01)) < 3, "too_close").otherwise("kept")
     return d.withColumn("reason", reason), g
@@ -263,10 +263,7 @@ def g09(spark: SparkSession, sf: str) -> DataFrame:
     c, g = cluster_targets(spark, sf)
     key = ["recording", "lab"]
     box = c.where("reason = 'kept'").select(*key, "dist", *[F.floor(a).cast("bigint").alias(i) for a, i in (("x", "i"), ("y", "j"), ("zf", "k"))])
-    cells = box
-    for i in "ijk":
-        cells = cells.withColumn(i, F.explode(F.sequence(F.col(i) - 3, F.col(i) + 3)))
-    n = cells.join(g.unknown, KEY).groupBy(*key).agg(F.count(F.lit(1)).alias("gain"))
+    n = unknown_near(box, 3, g.bounds, g.known).groupBy(*key).agg(F.count(F.lit(1)).alias("gain"))
     d = box.join(n, key, "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
     s = planner.score(F.col("gain"), F.col("dist"), 1.0)
     w = Window.partitionBy("recording").orderBy(F.desc(F.round(s, 9)), "lab")
