@@ -27,7 +27,7 @@ def sent(spark, run):
     return out
 
 
-@pytest.mark.parametrize("name", ["agg_a17_unknown_in_box", "join_j09_radius_top_k", "join_j08_nearest_mean", "grid_g10_random_target", "grid_g09_wfd_target", "win_w09_trajectory_error"])
+@pytest.mark.parametrize("name", ["agg_a17_unknown_in_box", "join_j09_radius_top_k", "join_j08_nearest_mean", "grid_g10_random_target", "grid_g09_wfd_target", "win_w09_trajectory_error", "join_j10_nearest_path_sample"])
 def test_exploded_rows_are_not_broadcast(spark, sf, name):
     """On small tables Spark takes every side for small. No broadcast may hold more than a row a frame."""
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")  # estimates before the run are at fault, measured sizes are not
