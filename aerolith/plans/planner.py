@@ -62,6 +62,7 @@ class Grid:
         self.known = lat.observed.select(*KEY).union(block)
         self.unknown = lat.unknown.join(by_sort(block), KEY, "left_anti")
         self.occupied = lat.occupied.join(by_sort(block), KEY, "left_anti")
+        self.cells = self.free.select(*KEY, F.lit(False).alias("occ")).unionByName(self.occupied.select(*KEY, F.lit(True).alias("occ")))
         self.frontier = written(frontier(self.free, self.known, self.bounds), "grid-frontier")
 
     def reached(self, steps: list[tuple[int, int, int]] = FACES) -> DataFrame:
@@ -176,8 +177,7 @@ def g06(spark: SparkSession, sf: str) -> DataFrame:
 def g07(spark: SparkSession, sf: str) -> DataFrame:
     """Gain by marched rays. Cells are reckoned by index, where the reference adds steps up in floating point: tested against a loop."""
     g = Grid(spark, sf)
-    pairs = planner.frustum_pairs(written(candidates(g), "grid-candidates"), g.unknown, REACH, HALF, R)
-    return planner.ray_gain(pairs, g.occupied, None, R)
+    return planner.marched_gain(written(candidates(g), "grid-candidates"), g.cells, g.bounds, REACH, HALF, R)
 
 
 _CAS = f"""{_COL}, cs AS (SELECT ca.recording, ca.cid, g, x, y, z, coalesce(gain, 0) AS gain, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS dist, EXISTS (SELECT 1 FROM po0 w WHERE w.recording = ca.recording AND pow(w.x - ca.x, 2) + pow(w.y - ca.y, 2) + pow(w.z - ca.z, 2) <= 6.25) AS again,
