@@ -1,9 +1,12 @@
 """Exploded rows and packed cells are never collected on the driver: Spark sizes them by the bytes they come from."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from aerolith import plans
+from aerolith.operators import paths
+from aerolith.operators.spatial import CROWDED
 from aerolith.plans.lattice import Lattice, poses
 
 Q, S = plans.registered()
@@ -48,3 +51,23 @@ def test_unknown_near_is_the_listed_cells(spark, sf):
     want = box.join(lat.unknown, ["recording", "i", "j", "k"]).groupBy("file_id").count()
     got = lat.unknown_near(places.union(far), 3).groupBy("file_id").count()
     assert sorted(want.collect()) == sorted(got.collect()) != []
+
+
+def test_crowded_cells_send_no_targets(spark):
+    """A hovering path crowds one cell of the search. What may be sent is a row for each path and for each crowded cell, of which each holds over CROWDED targets."""
+    rng = np.random.default_rng(7)
+    long = [("long", n, 20.0 * n, float(n % 3), -5.0) for n in range(200)]
+    still = [("still", n, *(float(v) for v in rng.uniform(0, 0.4, 3))) for n in range(1500)]
+    path = spark.createDataFrame(long + still, "path string, seq bigint, x double, y double, z double")
+    at = [("long", n, float(x), float(y), -5.0) for n, (x, y) in enumerate(rng.uniform((0, -30), (4000, 30), (300, 2)))] + [("still", 1000 + n, *(float(v) for v in rng.uniform(-1, 1.4, 3))) for n in range(300)]
+    actual = spark.createDataFrame(at, "path string, scan_id bigint, x double, y double, z double")
+    dense, got = paths.densified(path, "path", "seq", 0.5).toPandas(), {}
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sent(spark, lambda: got.update({r.scan_id: r.error for r in paths.trajectory_error(actual, path, "path", "seq", "scan_id", 0.5).collect()}))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert max(rows, default=0) <= len(dense) // CROWDED
+    places = {p: d[["x", "y", "z"]].to_numpy() for p, d in dense.groupby("path")}
+    want = {n: np.sqrt(((places[p] - (x, y, z)) ** 2).sum(1).min()) for p, n, x, y, z in at}
+    assert got == pytest.approx(want, abs=1e-9)
