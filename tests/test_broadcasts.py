@@ -1,5 +1,6 @@
 """Exploded rows and packed cells are never collected on the driver: Spark sizes them by the bytes they come from."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,21 @@ def test_crowded_cells_send_no_targets(spark):
     places = {p: d[["x", "y", "z"]].to_numpy() for p, d in dense.groupby("path")}
     want = {n: np.sqrt(((places[p] - (x, y, z)) ** 2).sum(1).min()) for p, n, x, y, z in at}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_worst_errors_of_copies_send_a_row_a_path(spark, sf, tmp_path):
+    """Copies of the scans under other keys have the errors of the originals, and no more than a row for each path is sent."""
+    name, one = "join_j10_nearest_path_sample", spark.read.parquet(f"{sf}/scan_buffer.parquet")
+    copies = [one.withColumns({"scan_id": F.col("scan_id") + n * 1_000_000, "recording": F.concat("recording", F.lit(f"+{n}"))}) for n in range(3)]
+    copies[0].union(copies[1]).union(copies[2]).write.parquet(f"{tmp_path}/scan_buffer.parquet")
+    got: list = []
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sent(spark, lambda: got.extend(Q[name](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW scan_buffer AS SELECT * FROM '{sf}/scan_buffer.parquet'")
+        want = {(f"{path}+{n}", *rest) for path, *rest in c.execute(S[name]).fetchall() for n in range(3)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert max(rows, default=0) <= len(want)
